@@ -163,8 +163,9 @@ def round_plan(counts: dict[int, int], configurations: list, capacity: int = CAP
         while times > 0:
             held: dict[int, int] = {}
             most = times
+            last = min(config)  # one piece of this kind is left to the best fit, which wastes less
             for unit, n in config.items():
-                for _ in range(n):
+                for _ in range(n - (unit == last)):
                     low, top = (unit - 1) * UNIT + 1, min(unit * UNIT, capacity)
                     spare = [k for k in range(top, low - 1, -1) if left[k] > held.get(k, 0)]
                     if not spare:
@@ -173,7 +174,7 @@ def round_plan(counts: dict[int, int], configurations: list, capacity: int = CAP
                     held[spare[0]] = held.get(spare[0], 0) + 1
                 if not most:
                     break
-            if not most:
+            if not most or not held:
                 break
             most = min(most, *(int(left[k]) // v for k, v in held.items()))
             for k, v in held.items():
