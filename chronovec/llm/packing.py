@@ -20,6 +20,9 @@ alone. Repeated rows are packed one by one. Null ids pass through.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -38,8 +41,11 @@ UNIT = 16
 #: Shorter pieces are left to fill the room that remains.
 SMALL_UNITS = 8
 ROUNDS = 1200
-#: Distinct words whose ids a task remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a worker remembers (about 200 bytes each); the memory is emptied when full.
+CACHE_WORDS = 1_000_000
+#: Characters of text that are looked up at a time.
+CACHE_TEXT = 1 << 21
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 def default_tokenizer() -> str:
@@ -48,33 +54,82 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32, task, rank)``; rank counts the pieces of a length within a task.
+def _worker_memory(name: str) -> dict:
+    """A dictionary that lives as long as this Python worker, over all its tasks."""
+    holder = sys.modules.setdefault("_chronovec_worker", types.ModuleType("_chronovec_worker"))
+    return holder.__dict__.setdefault(name, {})
+
 
-    The tokenizer never joins words across white space, so each distinct word
-    is tokenized once and its ids are kept.
+class WordIds:
+    """The ids of texts, by way of the ids of their words.
+
+    The tokenizer never joins or changes words across ASCII white space, nor
+    across a full stop or comma that stands alone between a letter and white
+    space, and it folds case. So a text falls into words whose ids follow one
+    another, and each distinct word is tokenized once, many at a time.
     """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        kept = _worker_memory(path)
+        if not kept:
+            encoder = Tokenizer.from_file(path)
+            vocab = encoder.get_vocab()
+            ends = np.zeros(max(vocab.values()) + 1, bool)
+            ends[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
+            kept |= {"encoder": encoder, "ends": ends, "known": {}}
+        self.encoder, self.ends, self.known = kept["encoder"], kept["ends"], kept["known"]
+
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+        plain, other = [], []
+        for w in new:
+            s = w.decode("utf-8", "surrogatepass")
+            (plain if s.isalpha() else other).append((w, s))
+        if plain:  # each is one run of letters, so it ends with the one token that ends a word
+            ids = np.array(self.encoder.encode(" ".join([s for _, s in plain]), add_special_tokens=False).ids, "<u4")
+            cuts, raw, lo = (np.flatnonzero(self.ends[ids]) + 1) * 4, ids.tobytes(), 0
+            if len(cuts) != len(plain):
+                other, plain = other + plain, []
+            for (w, _), hi in zip(plain, cuts.tolist()):
+                self.known[w] = raw[lo:hi]
+                lo = hi
+        for (w, _), e in zip(other, self.encoder.encode_batch([s for _, s in other], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and size < CACHE_TEXT:
+                size += len(texts[hi] or "")
+                hi += 1
+            parts = [_STOP.sub(rb" \1", (t or "").encode("utf-8", "surrogatepass").lower()).split() for t in texts[lo:hi]]
+            found = [list(map(self.known.get, p)) for p in parts]
+            new = list({w for p, f in zip(parts, found) if None in f for w, x in zip(p, f) if x is None})
+            if new:
+                self._learn(new)
+            for p, f in zip(parts, found):
+                yield b"".join([self.known[w] if x is None else x for w, x in zip(p, f)] if None in f else f)
+            lo = hi
+
+
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32, rank, task)``; rank counts the pieces of a length within a task."""
     bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(path)
-        known: dict[bytes, bytes] = {}
+        words = WordIds(path)
         end = np.uint32(end_id).astype("<u4").tobytes()
         task, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                parts = (text or "").encode("utf-8", "surrogatepass").split()
-                if new := [w for w in set(parts) if w not in known]:
-                    if len(known) + len(new) > CACHE_WORDS:
-                        known.clear()
-                        new = list(set(parts))
-                    for w, e in zip(new, encoder.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join([known[w] for w in parts]) + end
+            for k, ids in enumerate(words.ids(b.column(1).to_pylist())):
+                ids += end
                 for n, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
                     size = len(part) // 4
