@@ -390,7 +390,8 @@ def joined(spans: F.Column) -> F.Column:
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data in each document."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base_pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("base_pii", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base_pii")).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 

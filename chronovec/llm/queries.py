@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate
 from .decontaminate import op4_decontamination
 from .packing import op6_packing
+from .pii import op7_pii
 from .simhash import op8_simhash
+from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
