@@ -20,7 +20,6 @@ alone. Repeated rows are packed one by one. Null ids pass through.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
@@ -42,10 +41,10 @@ UNIT = 16
 SMALL_UNITS = 8
 ROUNDS = 1200
 #: Distinct words whose ids a worker remembers (about 200 bytes each); the memory is emptied when full.
-CACHE_WORDS = 1_000_000
-#: Characters of text that are looked up at a time.
-CACHE_TEXT = 1 << 21
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+CACHE_WORDS = 700_000
+#: Characters of text that are looked up, and words that are tokenized, at a time.
+CACHE_TEXT = 1 << 20
+ENCODE_WORDS = 20_000
 
 
 def default_tokenizer() -> str:
@@ -64,8 +63,8 @@ class WordIds:
     """The ids of texts, by way of the ids of their words.
 
     The tokenizer never joins or changes words across ASCII white space, nor
-    across a full stop or comma that stands alone between a letter and white
-    space, and it folds case. So a text falls into words whose ids follow one
+    between a letter and a single full stop or comma at a word's end, and it
+    folds case. So a text falls into words whose ids follow one
     another, and each distinct word is tokenized once, many at a time.
     """
 
@@ -84,20 +83,27 @@ class WordIds:
     def _learn(self, new: list[bytes]) -> None:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
+        stopped = [w for w in new if w[-1:] in b".," and w[-2:-1].islower()]  # letters, then one stop, which has an id of its own
+        stems = {w[:-1] for w in stopped} | set(new).difference(stopped) | {b".", b","}
         plain, other = [], []
-        for w in new:
-            s = w.decode("utf-8", "surrogatepass")
-            (plain if s.isalpha() else other).append((w, s))
-        if plain:  # each is one run of letters, so it ends with the one token that ends a word
-            ids = np.array(self.encoder.encode(" ".join([s for _, s in plain]), add_special_tokens=False).ids, "<u4")
+        for w in stems:
+            if w not in self.known:
+                s = w.decode("utf-8", "surrogatepass")
+                (plain if s.isalpha() else other).append((w, s))
+        for at in range(0, len(plain), ENCODE_WORDS):
+            some = plain[at : at + ENCODE_WORDS]  # each is one run of letters, so it ends with the one token that ends a word
+            ids = np.array(self.encoder.encode(" ".join([s for _, s in some]), add_special_tokens=False).ids, "<u4")
             cuts, raw, lo = (np.flatnonzero(self.ends[ids]) + 1) * 4, ids.tobytes(), 0
-            if len(cuts) != len(plain):
-                other, plain = other + plain, []
-            for (w, _), hi in zip(plain, cuts.tolist()):
+            if len(cuts) != len(some):
+                other += some
+                continue
+            for (w, _), hi in zip(some, cuts.tolist()):
                 self.known[w] = raw[lo:hi]
                 lo = hi
-        for (w, _), e in zip(other, self.encoder.encode_batch([s for _, s in other], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, s in other:
+            self.known[w] = np.array(self.encoder.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        for w in stopped:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -107,11 +113,11 @@ class WordIds:
             while hi < len(texts) and size < CACHE_TEXT:
                 size += len(texts[hi] or "")
                 hi += 1
-            parts = [_STOP.sub(rb" \1", (t or "").encode("utf-8", "surrogatepass").lower()).split() for t in texts[lo:hi]]
+            parts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts[lo:hi]]
             found = [list(map(self.known.get, p)) for p in parts]
-            new = list({w for p, f in zip(parts, found) if None in f for w, x in zip(p, f) if x is None})
+            new = {w for p, f in zip(parts, found) if None in f for w, x in zip(p, f) if x is None}
             if new:
-                self._learn(new)
+                self._learn(list(new))
             for p, f in zip(parts, found):
                 yield b"".join([self.known[w] if x is None else x for w, x in zip(p, f)] if None in f else f)
             lo = hi
