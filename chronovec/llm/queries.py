@@ -6,21 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, secrets
 from .decontaminate import op4_decontamination
 from .packing import op6_packing
 from .pii import op7_pii
+from .quality_rules import op9_quality_rules
+from .secrets import op1_secrets
 from .simhash import op8_simhash
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
+    "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_secrets": secrets.ORACLE_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
 }
