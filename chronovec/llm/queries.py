@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secrets
+from . import decontaminate, secrets, warc
 from .decontaminate import op4_decontamination
 from .packing import op6_packing
 from .pii import op7_pii
+from .quality_knn import op5_quality
 from .quality_rules import op9_quality_rules
 from .secrets import op1_secrets
 from .simhash import op8_simhash
 from .toxicity import op10_toxicity
+from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
@@ -27,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.ORACLE_SQL,
+    "op3_warc": warc.ORACLE_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
 }
