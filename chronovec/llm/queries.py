@@ -14,11 +14,13 @@ from .quality_knn import op5_quality
 from .quality_rules import op9_quality_rules
 from .secrets import op1_secrets
 from .simhash import op8_simhash
+from .substring_dedup import op2_substring_dedup
 from .toxicity import op10_toxicity
 from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
