@@ -40,8 +40,8 @@ UNIT = 16
 #: Shorter pieces are left to fill the room that remains.
 SMALL_UNITS = 8
 ROUNDS = 1200
-#: Distinct words whose ids a worker remembers (about 200 bytes each); the memory is emptied when full.
-CACHE_WORDS = 700_000
+#: Distinct words whose ids a worker remembers (about 200 bytes each); when full, those not used lately go.
+CACHE_WORDS = 1_000_000
 #: Characters of text that are looked up, and words that are tokenized, at a time.
 CACHE_TEXT = 1 << 20
 ENCODE_WORDS = 20_000
@@ -77,33 +77,48 @@ class WordIds:
             vocab = encoder.get_vocab()
             ends = np.zeros(max(vocab.values()) + 1, bool)
             ends[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
-            kept |= {"encoder": encoder, "ends": ends, "known": {}}
-        self.encoder, self.ends, self.known = kept["encoder"], kept["ends"], kept["known"]
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > CACHE_WORDS:
+            stops = {c: np.array(encoder.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() for c in (b".", b",")}
+            kept |= {"encoder": encoder, "ends": ends, "known": {}, "older": {}, "stops": stops}
+        self.encoder, self.ends, self.known, self.older, self.stops = (kept[k] for k in ("encoder", "ends", "known", "older", "stops"))
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.known) + len(new) > CACHE_WORDS // 2:  # words in use move on from the older half
+            self.older.clear()
+            self.older |= self.known
             self.known.clear()
-        stopped = [w for w in new if w[-1:] in b".," and w[-2:-1].islower()]  # letters, then one stop, which has an id of its own
-        stems = {w[:-1] for w in stopped} | set(new).difference(stopped) | {b".", b","}
-        plain, other = [], []
-        for w in stems:
-            if w not in self.known:
-                s = w.decode("utf-8", "surrogatepass")
-                (plain if s.isalpha() else other).append((w, s))
+        known, older = self.known, self.older
+        plain, texts, other, stopped = [], [], [], []
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+                continue
+            s = w.decode("utf-8", "surrogatepass")
+            if s[-1] in ".," and s[:-1].isalpha():  # letters, then one stop, which has an id of its own
+                stopped.append(w)
+                w, s = w[:-1], s[:-1]
+                if w in known or w in older:
+                    continue
+            if s.isalpha():
+                plain.append(w)
+                texts.append(s)
+            else:
+                other.append((w, s))
         for at in range(0, len(plain), ENCODE_WORDS):
-            some = plain[at : at + ENCODE_WORDS]  # each is one run of letters, so it ends with the one token that ends a word
-            ids = np.array(self.encoder.encode(" ".join([s for _, s in some]), add_special_tokens=False).ids, "<u4")
+            words, some = plain[at : at + ENCODE_WORDS], texts[at : at + ENCODE_WORDS]
+            # each is one run of letters, so it ends with the one token that ends a word
+            ids = np.array(self.encoder.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts, raw, lo = (np.flatnonzero(self.ends[ids]) + 1) * 4, ids.tobytes(), 0
             if len(cuts) != len(some):
-                other += some
+                other += zip(words, some)
                 continue
-            for (w, _), hi in zip(some, cuts.tolist()):
-                self.known[w] = raw[lo:hi]
+            for w, hi in zip(words, cuts.tolist()):
+                known[w] = raw[lo:hi]
                 lo = hi
         for w, s in other:
-            self.known[w] = np.array(self.encoder.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+            known[w] = np.array(self.encoder.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
         for w in stopped:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+            stem = w[:-1]
+            known[w] = (known[stem] if stem in known else older[stem]) + self.stops[w[-1:]]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -117,7 +132,7 @@ class WordIds:
             found = [list(map(self.known.get, p)) for p in parts]
             new = {w for p, f in zip(parts, found) if None in f for w, x in zip(p, f) if x is None}
             if new:
-                self._learn(list(new))
+                self._learn(new)
             for p, f in zip(parts, found):
                 yield b"".join([self.known[w] if x is None else x for w, x in zip(p, f)] if None in f else f)
             lo = hi
