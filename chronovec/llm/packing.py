@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -59,6 +60,11 @@ def _worker_memory(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def _letters(s: str) -> bool:
+    """Whether the tokenizer's normal form of a string is letters only."""
+    return s.isalpha() and (s.isascii() or (unicodedata.is_normalized("NFC", s) and s.lower().isalpha()))
+
+
 class WordIds:
     """The ids of texts, by way of the ids of their words.
 
@@ -93,12 +99,12 @@ class WordIds:
                 known[w] = older[w]
                 continue
             s = w.decode("utf-8", "surrogatepass")
-            if s[-1] in ".," and s[:-1].isalpha():  # letters, then one stop, which has an id of its own
+            if s[-1] in ".," and _letters(s[:-1]):  # letters, then one stop, which has an id of its own
                 stopped.append(w)
                 w, s = w[:-1], s[:-1]
                 if w in known or w in older:
                     continue
-            if s.isalpha():
+            if _letters(s):
                 plain.append(w)
                 texts.append(s)
             else:
