@@ -51,7 +51,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     shared = p.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    p = p.join(shared.select("digest", "first"), "digest", "left")
+    # a table of its own, so that its size is known: where it is small, payloads are not shuffled
+    p = p.join(materialize(shared.select("digest", "first"), "warc-shared"), "digest", "left")
     again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
     body = F.when(again, F.lit("")).otherwise(F.col("html"))
     head = F.concat(
