@@ -169,10 +169,10 @@ def n23(spark, d) -> DataFrame:
 
 
 @query("n8_ema", """WITH RECURSIVE e AS (SELECT user_id, i, value AS ema FROM tl WHERE i = 0 UNION ALL
-SELECT tl.user_id, tl.i, 0.15 * tl.value + (1 - 0.15) * e.ema FROM e JOIN tl ON tl.user_id = e.user_id AND tl.i = e.i + 1) SELECT user_id, i, round(ema, 4) AS ema FROM e""")
+SELECT tl.user_id, tl.i, 0.15 * tl.value + (1 - 0.15) * e.ema FROM e JOIN tl ON tl.user_id = e.user_id AND tl.i = e.i + 1) SELECT user_id, i, round(ema + 1e-9, 6) AS ema FROM e""")
 def n8(spark, d) -> DataFrame:
     e = sequence.ema(timeline(spark, d).select("user_id", "i", "value"), KEY, ["i"], "value", 0.15)
-    return e.select("user_id", "i", F.round("ema", 4).alias("ema"))
+    return e.select("user_id", "i", F.round(F.col("ema") + 1e-9, 6).alias("ema"))
 
 
 # ---- identities on a timeline ----
