@@ -1 +1,105 @@
-"""placeholder"""
+"""Queries of the stateful operators and of streams. Most have no SQL form; tests hold them against small fixtures."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import boxes as B
+from ..operators import stateful
+from ..streaming import telemetry as streams
+from .catalog import boxes, query, table, timeline, vectors
+
+R = lambda c, n=4: F.round(c, n)
+
+
+def _scenes(spark, d) -> DataFrame:
+    """Boxes in streams of 25 frames."""
+    return boxes(spark, d).withColumn("scene", F.floor(F.col("frame") / 25))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see, where the cluster names one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+
+
+@query("n3_lifecycle_tracks")
+def n3(spark, d) -> DataFrame:
+    return stateful.lifecycle_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 0.6, 0.1)
+
+
+@query("n4_two_slot_tracks")
+def n4(spark, d) -> DataFrame:
+    return stateful.two_slot_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 10)
+
+
+@query("n16_dual_person")
+def n16(spark, d) -> DataFrame:
+    return stateful.two_slot_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 5, 100.0)
+
+
+@query("n21_side_profiles")
+def n21(spark, d) -> DataFrame:
+    b = _scenes(spark, d).join(vectors(spark, d).select("vec_id", "v"), "vec_id")
+    return stateful.side_profiles(b, ["scene"], "frame", "vec_id", "v", 550.0, 0.1)
+
+
+@query("n5_frame_assignment")
+def n5(spark, d) -> DataFrame:
+    b = boxes(spark, d)
+    t = b.select((F.col("frame") + 1).alias("frame"), F.col("det").alias("track"), *[F.col(c).alias(f"t_{c}") for c in stateful.BOX])
+    side = lambda p: tuple(F.col(f"{p}{c}") for c in stateful.BOX)
+    c = t.join(b, "frame").select("frame", "det", "track", (1 - B.iou(side("t_"), side(""))).alias("cost"))
+    return stateful.frame_assignment(c, ["frame"], "det", "track", "cost", 0.9).withColumn("cost", R("cost", 6))
+
+
+@query("n12_suppress")
+def n12(spark, d) -> DataFrame:
+    return stateful.suppress(boxes(spark, d), ["frame"], "vec_id", "conf", 0.2)
+
+
+@query("n9_kalman")
+def n9(spark, d) -> DataFrame:
+    k = stateful.kalman(timeline(spark, d).withColumn("h", F.col("t") / 3600), ["user_id"], "i", "h", "value")
+    return k.select("user_id", "i", *[R(c).alias(c) for c in ("sx", "sy", "vx", "vy", "confidence")])
+
+
+@query("n10_one_euro")
+def n10(spark, d) -> DataFrame:
+    return stateful.one_euro(timeline(spark, d), ["user_id"], "t", ["value"]).select("user_id", "t", R("f_value").alias("value"))
+
+
+@query("n14_activations")
+def n14(spark, d) -> DataFrame:
+    t = timeline(spark, d).select("user_id", "i", (F.least(F.col("value") / 150, F.lit(1.0))).alias("risk"), (F.col("event_id") % 6).alias("affected"))
+    return stateful.activations(t, ["user_id"], "i", "risk", "affected")
+
+
+@query("s1_restored_frames", "WITH f AS (SELECT user_id, i, value FROM tl WHERE event_id % 7 <> 0), s AS (SELECT user_id, unnest(range(min(i), max(i) + 1)) AS i FROM f GROUP BY 1) SELECT s.user_id, s.i, f.value FROM s LEFT JOIN f USING (user_id, i)")
+def s1(spark, d) -> DataFrame:
+    return streams.restored(timeline(spark, d).where("event_id % 7 <> 0"), ["user_id"], "i", "value")
+
+
+@query("s2_telemetry_windows", """SELECT (epoch(ts)::BIGINT // 21600) * 21600 AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS peak FROM events GROUP BY 1, 2""")
+def s2(spark, d) -> DataFrame:
+    # an update-free final result: the watermark is longer than the table's span
+    return streams.finish_all(streams.windows(streams.read_stream(spark, f"{d}/events.parquet"), "ts", "6 hours", "60 days", ["event_type"], "value"), scratch(spark)).withColumn("mean", R("mean", 6))
+
+
+@query("s5_once", "SELECT event_id, user_id, value FROM events")
+def s5(spark, d) -> DataFrame:
+    e = streams.read_stream(spark, f"{d}/events.parquet")
+    doubled = e.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    return streams.finish(streams.once(doubled, "event_id", "ts", "60 days").select("event_id", "user_id", "value"), scratch(spark))
+
+
+@query("u2_processor", "SELECT page_id, length(html)::BIGINT AS n FROM pages")
+def u2(spark, d) -> DataFrame:
+    from ..operators.callbacks import per_item
+
+    return per_item(table(spark, d, "pages").select("page_id", "html"), lambda r: {"page_id": r["page_id"], "n": len(r["html"])}, "page_id long, n long")
