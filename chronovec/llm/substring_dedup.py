@@ -57,7 +57,9 @@ HOT = 5000
 #: Windows of a segment at most, and bytes of segments whose transform is built at a time.
 RUN = 1024
 PIECE = 2 << 20
-_STEP = 4 << 20
+_STEP = 1 << 16
+#: Symbols that fit one sort key.
+START = 7
 _MULT = 0x9E3779B97F4A7C15
 _WORDS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -167,50 +169,53 @@ class Block:
 # ---- the transform ----
 
 
-def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols at least (symbols under 512)."""
+def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first ``depth`` symbols at least (symbols under 512), and their first ``START`` symbols."""
     n = len(codes)
     padded = np.concatenate((codes.astype(np.int64), np.zeros(8, np.int64)))
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = (key << 9) | padded[k : k + n]
-    done = 7
+    start = np.zeros(n, np.int64)
+    for k in range(START):
+        start = (start << 9) | padded[k : k + n]
+    key, done = start, START
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        ordered = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(key[order[1:]] != key[order[:-1]])))
+        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
         if done >= depth or rank[order[-1]] == n - 1:
-            return order
+            return order, start[order]
         after = np.concatenate((rank[done:] + 1, np.zeros(min(done, n), np.int64)))[:n]
         key = rank * (n + 2) + after
         done *= 2
 
 
-def expand(bwt: np.ndarray, length: int) -> np.ndarray:
+def expand(bwt: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """True where a suffix shares fewer than ``length`` symbols with the one before it.
 
     Breadth-first backward extension: an interval of prefix length l + 1 is
     the image, under one more symbol in front, of part of one of length l.
     Level l + 1 thus splits what lies in one interval of level l wherever the
     rows it comes from lie in different ones. Rows alone in their interval
-    take no further part.
+    take no further part. The first ``START`` levels are read off the first
+    symbols (``start``, in suffix order) at once.
     """
     n = len(bwt)
-    source = np.argsort(bwt, kind="stable")  # row of each sorted suffix's rest
-    front = bwt[source]
-    split = np.concatenate(([True], front[1:] != front[:-1]))
-    low = np.maximum.accumulate(np.where(split, np.arange(n), 0))  # interval of each row, by its first row
+    source = np.argsort(bwt, kind="stable").astype(np.int32)  # row of each sorted suffix's rest
+    split = np.concatenate(([True], start[1:] != start[:-1]))
+    low = np.maximum.accumulate(np.where(split, np.arange(n, dtype=np.int32), 0))  # interval of each row, by its first row
     live = np.flatnonzero(~split)
-    for _ in range(1, length):
+    before, here = source[live - 1], source[live]
+    for _ in range(START, length):
         if not len(live):
             break
-        apart = low[source[live - 1]] != low[source[live]]
+        apart = low[before] != low[here]
         found = live[apart]
         split[found] = True
-        live = live[~apart]
+        keep = ~apart
+        live, before, here = live[keep], before[keep], here[keep]
         low[found] = found
-        start = np.concatenate(([True], live[1:] != live[:-1] + 1)) if len(live) else np.zeros(0, bool)
-        low[live] = np.maximum.accumulate(np.where(start, live - 1, 0))
+        first = np.concatenate(([True], live[1:] != live[:-1] + 1)) if len(live) else np.zeros(0, bool)
+        low[live] = np.maximum.accumulate(np.where(first, live - 1, 0))
     return split
 
 
@@ -223,8 +228,8 @@ def window_minima(texts: list[bytes], low: np.ndarray, length: int = LENGTH) ->
     place = np.ones(len(codes), bool)
     place[ends - 1] = False
     codes[place] = data.astype(np.uint16) + 1
-    order = suffix_order(codes, length + 1)
-    split = expand(codes[order - 1], length)
+    order, start = suffix_order(codes, length + 1)
+    split = expand(codes[order - 1], start, length)
     heads = np.flatnonzero(split)
     owner = np.repeat(low, sizes + 1)
     best = np.empty(len(codes), np.int64)
