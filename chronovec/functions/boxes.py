@@ -88,7 +88,7 @@ def adaptive_crop_size(area: Column, w: Column, h: Column, frame_w: int, frame_h
 
 def split_widths(a: Column, b: Column, total: int = 1920) -> dict[str, Column]:
     """Widths of a screen split by size, each side at least three tenths."""
-    r = F.coalesce(F.least(F.greatest(F.try_divide(a, a + b), F.lit(0.3)), F.lit(0.7)), F.lit(0.5))
+    r = F.when(a + b > 0, F.least(F.greatest(F.try_divide(a, a + b), F.lit(0.3)), F.lit(0.7))).otherwise(0.5)  # greatest and least skip nulls
     left = F.floor(total * r)
     return {"ratio": r, "left_width": left, "right_width": total - left}
 

@@ -11,7 +11,6 @@ from ..operators import identity, tracking
 from .catalog import boxes, query, vectors
 
 R = lambda c, n=4: F.round(c, n)
-BOX = tracking.box_of()
 IOU = """(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"""
 UNION = f"(a.w * a.h + b.w * b.h - {IOU})"
 PAIRS = "FROM bx a JOIN bx b ON a.frame = b.frame AND a.det < b.det"
@@ -31,7 +30,7 @@ def c6(spark, d) -> DataFrame:
 
 @query("c7_box_quality", "SELECT vec_id, w >= 30 AND h >= 30 AND x1 >= 0 AND y1 >= 0 AND x2 <= 700 AND y2 <= 500 AND w / h BETWEEN 0.8 AND 1.25 AS good FROM bx")
 def c7(spark, d) -> DataFrame:
-    return boxes(spark, d).select("vec_id", B.good_quality(BOX, 700, 500, 30, 0.8, 1.25).alias("good"))
+    return boxes(spark, d).select("vec_id", B.good_quality(tracking.box_of(), 700, 500, 30, 0.8, 1.25).alias("good"))
 
 
 @query("c8_left_right", "SELECT vec_id, CASE WHEN (x1 + x2) / 2 < 550 THEN 'L' ELSE 'R' END AS side FROM bx")
@@ -53,7 +52,7 @@ def c9(spark, d) -> DataFrame:
 @query("c10_box_columns", "SELECT vec_id, round(w, 4) AS width, round(h, 4) AS height, round(w * h, 2) AS area, round((x1 + x2) / 2, 4) AS center_x, round((y1 + y2) / 2, 4) AS center_y, round(w / h, 6) AS aspect FROM bx")
 def c10(spark, d) -> DataFrame:
     digits = {"area": 2, "aspect": 6}
-    return boxes(spark, d).select("vec_id", *[R(c, digits.get(n, 4)).alias(n) for n, c in B.derived(BOX).items()])
+    return boxes(spark, d).select("vec_id", *[R(c, digits.get(n, 4)).alias(n) for n, c in B.derived(tracking.box_of()).items()])
 
 
 @query("c11_crop_window", """WITH s AS (SELECT vec_id, floor((x1 + x2) / 2) AS cx, floor((y1 + y2) / 2) AS cy, floor(greatest(w, h) * 2) AS z FROM bx), c AS (SELECT *, greatest(0, least(cx - floor(z / 2), 900 - z)) AS a, greatest(0, least(cy - floor(z / 2), 600 - z)) AS b FROM s)
@@ -121,7 +120,7 @@ def j7(spark, d) -> DataFrame:
 def d4(spark, d) -> DataFrame:
     b = boxes(spark, d)
     t = b.select((F.col("frame") + 1).alias("frame"), F.col("det").alias("track"), *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
-    return t.join(b, "frame").select("frame", "track", "det", R(B.iou(tracking.box_of("t_"), BOX), 6).alias("iou"))
+    return t.join(b, "frame").select("frame", "track", "det", R(B.iou(tracking.box_of("t_"), tracking.box_of()), 6).alias("iou"))
 
 
 @query("j8_hybrid_scores", f"SELECT a.frame, a.det AS det_a, b.det AS det_b, round(0.7 * a.conf + 0.3 * (1 / (1 + {DIST} / 100)), 6) AS inverse, round(0.9 * a.conf + 0.1 * greatest(0, 1 - {DIST} / 200), 6) AS linear, round((0.6 * a.conf + 0.2 * {SIZE}) / 0.8, 6) AS profile {PAIRS}")
@@ -210,7 +209,7 @@ SELECT frame, id_a, id_b, round(cost, 6) AS cost FROM (SELECT *, row_number() OV
 def n6(spark, d) -> DataFrame:
     b = boxes(spark, d).join(vectors(spark, d).select("vec_id", "v"), "vec_id")
     slots = b.where("det < 2").select((F.col("frame") + 1).alias("frame"), F.col("det").alias("slot"), *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2", "v")])
-    cost = tracking.slot_cost(V.cosine(F.col("v"), F.col("p_v")), B.iou(BOX, tracking.box_of("p_")), 0.95)
+    cost = tracking.slot_cost(V.cosine(F.col("v"), F.col("p_v")), B.iou(tracking.box_of(), tracking.box_of("p_")), 0.95)
     c = b.join(slots, "frame").withColumn("cost", cost).groupBy("frame", "vec_id").agg(F.max(F.when(F.col("slot") == 0, F.col("cost"))).alias("ca"), F.max(F.when(F.col("slot") == 1, F.col("cost"))).alias("cb"))
     return tracking.best_pairs(c, ["frame"], "vec_id", "ca", "cb").withColumn("cost", R("cost", 6))
 
