@@ -42,7 +42,7 @@ UNIT = 16
 SMALL_UNITS = 8
 ROUNDS = 1200
 #: Distinct words whose ids a worker remembers (about 200 bytes each); when full, those not used lately go.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 #: Characters of text that are looked up, and words that are tokenized, at a time.
 CACHE_TEXT = 1 << 20
 ENCODE_WORDS = 20_000
@@ -65,6 +65,17 @@ def _letters(s: str) -> bool:
     return s.isalpha() and (s.isascii() or (unicodedata.is_normalized("NFC", s) and s.lower().isalpha()))
 
 
+def _gaps(found: list) -> list[int]:
+    """Places of None."""
+    out, k = [], -1
+    try:
+        while True:
+            k = found.index(None, k + 1)
+            out.append(k)
+    except ValueError:
+        return out
+
+
 class WordIds:
     """The ids of texts, by way of the ids of their words.
 
@@ -136,11 +147,13 @@ class WordIds:
                 hi += 1
             parts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts[lo:hi]]
             found = [list(map(self.known.get, p)) for p in parts]
-            new = {w for p, f in zip(parts, found) if None in f for w, x in zip(p, f) if x is None}
-            if new:
+            gaps = [_gaps(f) for f in found]
+            if new := {p[k] for p, g in zip(parts, gaps) for k in g}:
                 self._learn(new)
-            for p, f in zip(parts, found):
-                yield b"".join([self.known[w] if x is None else x for w, x in zip(p, f)] if None in f else f)
+            for p, f, g in zip(parts, found, gaps):
+                for k in g:
+                    f[k] = self.known[p[k]]
+                yield b"".join(f)
             lo = hi
 
 
