@@ -124,7 +124,8 @@ def contamination(
     windows = materialize(item_windows(benchmark, item_id_col, item_text_col, window), "windows")
     parts = max(1, -(-windows.count() // BLOCK_WINDOWS))
     cols = [F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c) for c in keep or []]]
-    out = docs.select(*cols, F.lit(0).cast("long").alias("_n"), F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("_items"))
+    start = {"_n": F.lit(0).cast("long"), "_hits": F.lit(0).cast("long"), "_hit": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>")}
+    out = docs.select(*cols, *[c.alias(n) for n, c in start.items()])
     for k in range(parts):
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()
         tables = spark.sparkContext.broadcast([(bytes(r["window"]), sorted(r["items"])) for r in rows])
@@ -133,7 +134,7 @@ def contamination(
             vocab, by_size = searches(tables.value)
             number = vocab.get
             for b in batches:
-                ns, hits, found = [], [], []
+                ns, counts, hits, found = [], [], [], []
                 old = zip(b.column("_hit").to_pylist(), b.column("_items").to_pylist())
                 for text, (hit, items) in zip(b.column("_text").to_pylist(), old):
                     ids = [number(w, 0) for w in words(text)]
@@ -146,9 +147,10 @@ def contamination(
                             marks[lo : lo + search.size] = 1
                             items.update(names)
                     ns.append(len(ids))
+                    counts.append(0 if marks is None else int(marks.sum()))
                     hits.append(None if marks is None else np.packbits(marks).tobytes())
                     found.append(sorted(items))
-                new = {"_n": pa.array(ns, pa.int64()), "_hit": pa.array(hits, pa.binary()), "_items": pa.array(found, pa.list_(pa.string()))}
+                new = {"_n": pa.array(ns, pa.int64()), "_hits": pa.array(counts, pa.int64()), "_hit": pa.array(hits, pa.binary()), "_items": pa.array(found, pa.list_(pa.string()))}
                 names = b.schema.names
                 yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in names], names=names)
 
@@ -156,15 +158,7 @@ def contamination(
         if k + 1 < parts:
             out = materialize(out, "decontaminate")
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in b.column("hit").to_pylist()]
-            at = b.schema.names.index("hit")
-            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()) if n == at else c for n, c in enumerate(b.columns)], names=["n_hit" if n == "hit" else n for n in b.schema.names])
-
-    named = out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *(keep or []), F.col("_n").alias("n_words"), F.col("_hit").alias("hit"), F.col("_items").alias("items"))
-    # one bit a word was kept above; bit_count has no form for binaries
-    return named.mapInArrow(close, ", ".join(f"`{n}` {'long' if n == 'hit' else t}".replace("`hit`", "`n_hit`") for n, t in named.dtypes))
+    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *(keep or []), F.col("_n").alias("n_words"), F.col("_hits").alias("n_hit"), F.col("_items").alias("items"))
 
 
 def _digest(items: F.Column) -> F.Column:
