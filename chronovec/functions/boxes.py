@@ -74,9 +74,10 @@ def crop_window(cx: Column, cy: Column, size: Column, frame_w: int, frame_h: int
 
 def clamped_crop(cx: Column, cy: Column, w: int, h: int, frame_w: int, frame_h: int) -> dict[str, Column]:
     """Window whose sides are clamped one by one (C11, the older rule)."""
+    x, y = F.floor(cx), F.floor(cy)
     return {
-        "crop_x1": F.greatest(F.lit(0), F.floor(cx - w / 2)), "crop_y1": F.greatest(F.lit(0), F.floor(cy - h / 2)),
-        "crop_x2": F.least(F.lit(frame_w), F.floor(cx + w / 2)), "crop_y2": F.least(F.lit(frame_h), F.floor(cy + h / 2)),
+        "crop_x1": F.greatest(F.lit(0), x - w // 2), "crop_y1": F.greatest(F.lit(0), y - h // 2),
+        "crop_x2": F.least(F.lit(frame_w), x + w // 2), "crop_y2": F.least(F.lit(frame_h), y + h // 2),
     }
 
 

@@ -50,17 +50,18 @@ def tuning_actions(fps: Column, gpu: Column, memory_mb: Column, latency: Column,
 
 def batch_for_queue(depth: Column) -> Column:
     """Larger batches for longer queues."""
-    return F.when(depth > 100, 64).when(depth > 50, 32).when(depth > 20, 16).otherwise(8)
+    return F.when(depth > 512, 256).when(depth > 256, 128).when(depth > 128, 64).otherwise(32)
 
 
 def batch_for_memory(batch: Column, ratio: Column, low: int = 1, high: int = 128) -> Column:
     """One step down when memory is short, one up when it is free."""
-    return F.when(ratio > 0.9, F.greatest(F.lit(low), batch - 1)).when(ratio < 0.6, F.least(F.lit(high), batch + 1)).otherwise(batch)
+    return F.when(ratio > 0.8, F.greatest(F.lit(low), batch - 1)).when(ratio < 0.4, F.least(F.lit(high), batch + 1)).otherwise(batch)
 
 
-def batch_for_free(free_mb: Column, item_mb: float, share: float = 0.8) -> Column:
-    """What fits into free memory, one at least."""
-    return F.greatest(F.lit(1), F.floor(free_mb * share / item_mb)).cast("long")
+def batch_for_free(free_mb: Column, item_mb: float, share: float = 0.8, most: int | None = None) -> Column:
+    """What fits into free memory, one at least and the base size at most."""
+    n = F.floor(free_mb * share / item_mb)
+    return F.greatest(F.lit(1), n if most is None else F.least(F.lit(most), n)).cast("long")
 
 
 def halved(batch: Column, errors: Column) -> Column:
@@ -69,12 +70,12 @@ def halved(batch: Column, errors: Column) -> Column:
 
 
 def duration_text(s: Column) -> Column:
-    """Seconds as 12.3s, 1m 2.0s or 1h 2m."""
+    """Seconds as 12.3s, 1m 2.0s or 1h 2m 3.0s."""
     minute = F.floor(s / 60)
     return (
         F.when(s < 60, F.format_string("%.1fs", s))
         .when(s < 3600, F.format_string("%dm %.1fs", minute, s - minute * 60))
-        .otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor((s - F.floor(s / 3600) * 3600) / 60)))
+        .otherwise(F.format_string("%dh %dm %.1fs", F.floor(s / 3600), F.floor((s - F.floor(s / 3600) * 3600) / 60), s - minute * 60))
     )
 
 
@@ -115,4 +116,4 @@ def local_time(seconds: Column, zone: str = "Asia/Seoul") -> Column:
 
 def split_label(rate: Column, balance: Column) -> Column:
     """Quality of a split screen from its detection rate and balance."""
-    return F.when((rate >= 90) & (balance <= 10), "excellent").when((rate >= 70) & (balance <= 25), "good").otherwise("poor")
+    return F.when((rate >= 80) & (balance <= 30), "excellent").when((rate >= 60) & (balance <= 50), "good").otherwise("poor")

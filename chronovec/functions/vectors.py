@@ -78,3 +78,8 @@ def embedding_quality(v: Column, score: Column, age: Column, streak: Column, ima
     ]
     total = parts[0] + parts[1] + parts[2] + parts[3]
     return total / 4 if image is None else F.when(image.isNull(), total / 4).otherwise((total + image) / 5)
+
+
+def matching_confidence(records: Column, quality_a: Column, quality_b: Column, similarity: Column) -> Column:
+    """Confidence of a match from the number of records, their quality and the similarity."""
+    return F.least(records / 10.0, F.lit(1.0)) * 0.3 + (quality_a + quality_b) / 2 * 0.4 + similarity * 0.3

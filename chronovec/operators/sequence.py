@@ -58,7 +58,7 @@ def low_trigger(df: DataFrame, keys: list[str], order: list[str], value: str, n:
 
 def adaptive_interval(rate: Column, base: int) -> Column:
     """Longer intervals at high success rates, shorter at low ones."""
-    return F.when(rate >= 0.95, base * 2).when(rate >= 0.8, base).when(rate >= 0.6, F.lit(base // 2)).otherwise(F.lit(base // 4)).cast("int")
+    return F.when(rate > 0.95, base * 2).when(rate > 0.8, base).when(rate > 0.6, F.lit(base // 2)).otherwise(F.lit(base // 4)).cast("int")
 
 
 def motion_score(df: DataFrame, keys: list[str], order: list[str], x: str, y: str) -> DataFrame:
@@ -87,11 +87,11 @@ def speaker_change(df: DataFrame, keys: list[str], frame: str, speaker: str, win
 
 
 def amplitude_windows(samples: DataFrame, keys: list[str], idx: str, value: str, size: int, hop: int) -> DataFrame:
-    """Root mean square of hopping windows that lie in the signal whole."""
+    """Root mean square of hopping windows that end before the signal does."""
     last = F.max(idx).over(Window.partitionBy(*keys))
     ids = F.sequence(F.greatest(F.lit(0), F.ceil((F.col(idx) - size + 1) / hop)).cast("long"), F.floor(F.col(idx) / hop).cast("long"))
     hops = samples.withColumn("_last", last).withColumn("win", F.explode(F.when(F.ceil((F.col(idx) - size + 1) / hop) <= F.floor(F.col(idx) / hop), ids)))
-    hops = hops.where(F.col("win") * hop + size - 1 <= F.col("_last"))
+    hops = hops.where(F.col("win") * hop + size <= F.col("_last"))
     return hops.groupBy(*keys, "win").agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
 
 
@@ -101,7 +101,7 @@ def amplitude_activity(samples: DataFrame, keys: list[str], idx: str, value: str
     all_ = Window.partitionBy(*keys)
     loud = rms.withColumn("loud", F.col("rms") > F.avg("rms").over(all_) + 0.5 * F.stddev_pop("rms").over(all_))
     s = run_segments(loud, keys, ["win"], "loud", "win", "win").where("loud")
-    return s.select(*keys, (F.col("start") * hop).alias("start"), (F.col("end") * hop + size).alias("end"))
+    return s.select(*keys, (F.col("start") * hop).alias("start"), ((F.col("end") + 1) * hop).alias("end"))
 
 
 def frame_activity(samples: DataFrame, keys: list[str], idx: str, value: str, per_frame: int) -> DataFrame:

@@ -170,8 +170,8 @@ def predicted_place(history: list[tuple[float, float]]) -> np.ndarray:
 def two_slot_tracks(df: DataFrame, keys: list[str], frame: str, id_: str, conf: str, start: int = 30, most: float = 200.0, least: float = 0.3) -> DataFrame:
     """The faces of persons 1 and 2 in each frame.
 
-    At first the two most important faces are taken, left to right; once there
-    is a history, the nearest to each predicted place. A single face may move
+    At first the two most important faces are taken, the more important one as
+    person 1; once there is a history, the nearest to each predicted place. A single face may move
     to the other person, and the largest face left over stands in for person 2.
     """
 
@@ -183,8 +183,8 @@ def two_slot_tracks(df: DataFrame, keys: list[str], frame: str, id_: str, conf:
             c, area, score, ids = (b[:, :2] + b[:, 2:]) / 2, np.prod(b[:, 2:] - b[:, :2], axis=1), g[conf].to_numpy(float), g[id_].to_numpy()
             got: list = [None, None]
             if seen < start and min(len(past[0]), len(past[1])) < 5:
-                worth = 0.5 * np.maximum(0, 1 - np.hypot(c[:, 0] - 960, c[:, 1] - 540) / 960) + 0.3 * np.minimum(area / 50000, 1) + 0.2 * score
-                pick = sorted(np.argsort(-worth, kind="stable")[:2].tolist(), key=lambda k: c[k, 0])
+                worth = 0.5 * np.maximum(0, 1 - np.hypot(c[:, 0] - 960, c[:, 1] - 540) / 800) + 0.3 * np.minimum(area / 50000, 1) + 0.2 * score
+                pick = [k for k in np.argsort(-worth, kind="stable").tolist() if score[k] >= least][:2]
                 got[: len(pick)] = pick
             else:
                 used: set[int] = set()
@@ -308,23 +308,26 @@ def one_euro(df: DataFrame, keys: list[str], t: str, values: list[str], freq: fl
     return df.select(*keys, t, *values).groupBy(*keys).applyInPandas(run, schema)
 
 
-def activations(df: DataFrame, keys: list[str], order: str, risk: str, affected: str, start: float = 0.6, target: float = 0.1, most: int = 4) -> DataFrame:
-    """When to re-identify (N14): the threshold moves to hold the rate near a target.
+def activations(df: DataFrame, keys: list[str], order: str, risk: str, confidence: str, affected: str, start: float = 0.6, target: float = 0.1, swap: float = 0.6) -> DataFrame:
+    """When to re-identify (N14): the bar moves to hold the rate of activations near a target.
 
-    A frame activates if its risk reaches the threshold and neither no track
-    nor too many are affected.
+    A swap must be likely, its risk must reach the bar, its confidence one
+    half; many affected tracks need a clearly larger risk.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         on, out = 0, []
-        for n, (r, a) in enumerate(zip(pdf[risk], pdf[affected])):
+        for n, (r, sure, many) in enumerate(zip(pdf[risk], pdf[confidence], pdf[affected])):
             rate = on / n if n else 0.0
-            bar = start + (0.1 if rate > 1.5 * target else -0.1 if rate < 0.5 * target else 0.0)
-            go = bool(r >= bar and 0 < a <= most)
+            go = bool(r > swap and r >= start)
+            if go and rate > target * 1.5:
+                go = r >= start + 0.1
+            if go and rate >= target * 0.5:
+                go = bool(sure >= 0.5 and (many <= 5 or r > start + 0.1))
             on += go
-            out.append((bar, go))
-        return pd.concat([pdf[[*keys, order]].reset_index(drop=True), pd.DataFrame(out, columns=["threshold", "activated"])], axis=1)
+            out.append((rate, go))
+        return pd.concat([pdf[[*keys, order]].reset_index(drop=True), pd.DataFrame(out, columns=["rate", "activated"])], axis=1)
 
-    schema = df.select(*keys, order, F.lit(0.0).alias("threshold"), F.lit(True).alias("activated")).schema
-    return df.select(*keys, order, risk, affected).groupBy(*keys).applyInPandas(run, schema)
+    schema = df.select(*keys, order, F.lit(0.0).alias("rate"), F.lit(True).alias("activated")).schema
+    return df.select(*keys, order, risk, confidence, affected).groupBy(*keys).applyInPandas(run, schema)

@@ -28,18 +28,24 @@ def with_previous(df: DataFrame, keys: list[str], frame: str, track: str, cols:
     return df.join(before, [*keys, track, frame])
 
 
+def _aged(age: Column) -> Column:
+    return F.least(age / 10.0, F.lit(1.0))
+
+
 def position_jumps(df: DataFrame, most: float = 100.0) -> DataFrame:
-    """Jumps of a track's centre (F5): risk grows to 1 at 200 pixels. Rows hold cx, cy, prev_cx, prev_cy, score."""
+    """Jumps of a track's centre (F5): risk grows to 1 at twice ``most``. Rows hold cx, cy, prev_cx, prev_cy, age, score."""
     dx, dy = F.col("cx") - F.col("prev_cx"), F.col("cy") - F.col("prev_cy")
     d = df.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") > most)
-    return d.withColumns({"type": F.lit("position_jump"), "risk": F.least(F.col("distance") / 200, F.lit(1.0)), "confidence": (F.col("score") + F.least(F.col("distance") / 200, F.lit(1.0))) / 2})
+    sure = _aged(F.col("age")) * 0.3 + F.col("score") * 0.4 + F.least(F.col("distance") / (most * 3), F.lit(1.0)) * 0.3
+    return d.withColumns({"type": F.lit("position"), "risk": F.least(F.col("distance") / (most * 2), F.lit(1.0)), "confidence": sure})
 
 
 def size_changes(df: DataFrame, most: float = 0.5) -> DataFrame:
-    """Changes of a track's area (F6): risk grows to 1 at three quarters."""
+    """Changes of a track's area (F6): risk grows to 1 at one and a half times ``most``."""
     r = F.abs(F.col("area") - F.col("prev_area")) / F.greatest("area", "prev_area")
     d = df.where((F.col("area") > 0) & (F.col("prev_area") > 0)).withColumn("ratio", r).where(F.col("ratio") > most)
-    return d.withColumns({"type": F.lit("size_change"), "risk": F.least(F.col("ratio") / 0.75, F.lit(1.0)), "confidence": (F.col("score") + F.least(F.col("ratio"), F.lit(1.0))) / 2})
+    sure = _aged(F.col("age")) * 0.3 + F.col("score") * 0.3 + F.least(F.col("ratio") / (most * 2), F.lit(1.0)) * 0.4
+    return d.withColumns({"type": F.lit("size"), "risk": F.least(F.col("ratio") / (most * 1.5), F.lit(1.0)), "confidence": sure})
 
 
 def _turn(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> Column:
@@ -55,29 +61,39 @@ def paths_cross(s: str, t: str) -> Column:
     return one & two
 
 
-def crossings(df: DataFrame, keys: list[str], track: str, least: float = 0.5) -> DataFrame:
-    """Pairs of tracks whose paths cross or that close in on one another."""
-    cols = ["cx", "cy", "prev_cx", "prev_cy", "score"]
+def crossings(df: DataFrame, keys: list[str], track: str, near: float = 20.0, least: float = 0.5) -> DataFrame:
+    """Pairs of tracks whose paths cross, or that are close and closing in.
+
+    Pairs three times ``near`` apart, or whose distance hardly changed, do not count.
+    """
+    cols = ["cx", "cy", "prev_cx", "prev_cy", "age", "score"]
     side = lambda s: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in (track, *cols)])
     p = side("a").join(side("b"), keys).where(F.col(f"{track}_a") < F.col(f"{track}_b"))
     gap = lambda q: F.sqrt((F.col(f"{q}cx_a") - F.col(f"{q}cx_b")) ** 2 + (F.col(f"{q}cy_a") - F.col(f"{q}cy_b")) ** 2)
-    near = F.when(gap("") < gap("prev_"), F.coalesce(F.try_divide(gap("prev_") - gap(""), gap("prev_")), F.lit(0.0))).otherwise(0.0)
-    score = F.when(paths_cross("a", "b"), 1.0).otherwise(near)
+    p = p.withColumns({"now": gap(""), "was": gap("prev_")})
+    now, was = F.col("now"), F.col("was")
+    score = (
+        F.when((now > near * 3) | (F.abs(now - was) < 5.0), 0.0)
+        .when(paths_cross("a", "b"), 0.8 + 0.2 * F.greatest(F.lit(0.0), 1 - now / (near * 2)))
+        .when((now < near) & (now < was), 0.3 + 0.3 * (1 - now / near))
+        .otherwise(0.0)
+    )
     out = p.withColumn("risk", score).where(F.col("risk") > least)
-    return out.withColumns({"type": F.lit("crossing"), "confidence": (F.col("score_a") + F.col("score_b")) / 2})
+    sure = _aged((F.col("age_a") + F.col("age_b")) / 2) * 0.5 + (F.col("score_a") + F.col("score_b")) / 2 * 0.5
+    return out.withColumns({"type": F.lit("crossing"), "confidence": sure})
 
 
-WEIGHTS = {"position_jump": 0.4, "size_change": 0.3, "crossing": 0.3}
+WEIGHTS = {"position": 0.4, "size": 0.3, "crossing": 0.3}
 
 
-def overall_risk(frames: DataFrame, keys: list[str], indicators: list[DataFrame]) -> DataFrame:
+def overall_risk(frames: DataFrame, keys: list[str], indicators: list[DataFrame], bar: float = 0.6) -> DataFrame:
     """Weighted risk of each frame, with a recommendation (F8); frames without indicators have none."""
     all_ = reduce(DataFrame.unionByName, [i.select(*keys, "type", "risk", "confidence") for i in indicators])
-    w = reduce(lambda acc, x: acc.when(F.col("type") == x[0], x[1]), list(WEIGHTS.items())[1:], F.when(F.col("type") == "position_jump", WEIGHTS["position_jump"]))
+    w = F.when(F.col("type") == "position", WEIGHTS["position"]).when(F.col("type") == "size", WEIGHTS["size"]).otherwise(WEIGHTS["crossing"])
     r = all_.withColumn("_w", w).groupBy(*keys).agg((F.sum(F.col("risk") * F.col("confidence") * F.col("_w")) / F.sum("_w")).alias("risk"), F.avg("confidence").alias("confidence"))
     out = frames.join(r, keys, "left").select(*keys, F.coalesce("risk", F.lit(0.0)).alias("risk"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
-    label = F.when(F.col("risk") < 0.3, "low").when(F.col("risk") < 0.6, "medium").when(F.col("risk") < 0.8, "high").otherwise("critical")
-    return out.withColumns({"label": label, "swap": F.col("risk") > 0.6})
+    label = F.when(F.col("risk") < 0.3, "continue").when(F.col("risk") < 0.6, "monitor").when(F.col("risk") < 0.8, "re-identify").otherwise("re-identify at once")
+    return out.withColumns({"label": label, "swap": F.col("risk") > bar})
 
 
 def best_pairs(frames: DataFrame, keys: list[str], id_: str, cost_a: str, cost_b: str) -> DataFrame:

@@ -153,19 +153,19 @@ def g9(spark, d) -> DataFrame:
     return identity.last_n(s, ["frame"], [F.desc("score"), F.asc("det")], 2).select("frame", "det", R("score", 6).alias("score"))
 
 
-TRACKS = """tr AS (SELECT frame, det, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, w * h AS area, conf AS score FROM bx),
+TRACKS = """tr AS (SELECT frame, det, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, w * h AS area, conf AS score, frame % 16 AS age FROM bx),
 pv AS (SELECT a.*, b.cx AS px, b.cy AS py, b.area AS pa, sqrt((a.cx - b.cx)**2 + (a.cy - b.cy)**2) AS dist, abs(a.area - b.area) / greatest(a.area, b.area) AS ratio FROM tr a JOIN tr b ON a.det = b.det AND a.frame = b.frame + 1)"""
-JUMPS = "ju AS (SELECT frame, 'position_jump' AS type, least(dist / 200, 1) AS risk, (score + least(dist / 200, 1)) / 2 AS confidence, det FROM pv WHERE dist > 100)"
-SIZES = "si AS (SELECT frame, 'size_change' AS type, least(ratio / 0.75, 1) AS risk, (score + least(ratio, 1)) / 2 AS confidence, det FROM pv WHERE ratio > 0.3)"
-CROSS = """xp AS (SELECT a.frame, a.det AS da, b.det AS db, a.score AS sa, b.score AS sb, sqrt((a.cx - b.cx)**2 + (a.cy - b.cy)**2) AS now, sqrt((a.px - b.px)**2 + (a.py - b.py)**2) AS was,
+JUMPS = "ju AS (SELECT frame, 'position' AS type, least(dist / 200, 1) AS risk, least(age / 10, 1) * 0.3 + score * 0.4 + least(dist / 300, 1) * 0.3 AS confidence, det FROM pv WHERE dist > 100)"
+SIZES = "si AS (SELECT frame, 'size' AS type, least(ratio / (0.3 * 1.5), 1) AS risk, least(age / 10, 1) * 0.3 + score * 0.3 + least(ratio / 0.6, 1) * 0.4 AS confidence, det FROM pv WHERE ratio > 0.3)"
+CROSS = """xp AS (SELECT a.frame, a.det AS da, b.det AS db, a.score AS sa, b.score AS sb, (a.age + b.age) / 2 AS age, sqrt((a.cx - b.cx)**2 + (a.cy - b.cy)**2) AS now, sqrt((a.px - b.px)**2 + (a.py - b.py)**2) AS was,
  (((b.cy - a.py) * (b.px - a.px) > (b.py - a.py) * (b.cx - a.px)) <> ((b.cy - a.cy) * (b.px - a.cx) > (b.py - a.cy) * (b.cx - a.cx)))
  AND (((b.py - a.py) * (a.cx - a.px) > (a.cy - a.py) * (b.px - a.px)) <> ((b.cy - a.py) * (a.cx - a.px) > (a.cy - a.py) * (b.cx - a.px))) AS x FROM pv a JOIN pv b ON a.frame = b.frame AND a.det < b.det),
-cr AS (SELECT frame, 'crossing' AS type, risk, (sa + sb) / 2 AS confidence, da, db FROM (SELECT *, CASE WHEN x THEN 1.0 WHEN now < was THEN (was - now) / was ELSE 0 END AS risk FROM xp) WHERE risk > 0.5)"""
+cr AS (SELECT frame, 'crossing' AS type, risk, least(age / 10, 1) * 0.5 + (sa + sb) / 2 * 0.5 AS confidence, da, db FROM (SELECT *, CASE WHEN now > 300 OR abs(now - was) < 5 THEN 0 WHEN x THEN 0.8 + 0.2 * greatest(0, 1 - now / 200) WHEN now < 100 AND now < was THEN 0.3 + 0.3 * (1 - now / 100) ELSE 0 END AS risk FROM xp) WHERE risk > 0.5)"""
 
 
 def _tracks(spark, d) -> DataFrame:
-    t = boxes(spark, d).select("frame", "det", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), (F.col("w") * F.col("h")).alias("area"), F.col("conf").alias("score"))
-    return tracking.with_previous(t, [], "frame", "det", ["cx", "cy", "area"])
+    cols = [((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), (F.col("w") * F.col("h")).alias("area"), F.col("conf").alias("score"), (F.col("frame") % 16).alias("age")]
+    return tracking.with_previous(boxes(spark, d).select("frame", "det", *cols), [], "frame", "det", ["cx", "cy", "area"])
 
 
 @query("d9_previous_frame", f"WITH {TRACKS} SELECT frame, det, round(dist, 4) AS moved FROM pv")
@@ -186,17 +186,22 @@ def f6(spark, d) -> DataFrame:
 
 @query("f7_crossings", f"WITH {TRACKS}, {CROSS} SELECT frame, da AS det_a, db AS det_b, round(risk, 6) AS risk, round(confidence, 6) AS confidence FROM cr")
 def f7(spark, d) -> DataFrame:
-    return tracking.crossings(_tracks(spark, d), ["frame"], "det").select("frame", "det_a", "det_b", R("risk", 6).alias("risk"), R("confidence", 6).alias("confidence"))
+    return tracking.crossings(_tracks(spark, d), ["frame"], "det", 100.0).select("frame", "det_a", "det_b", R("risk", 6).alias("risk"), R("confidence", 6).alias("confidence"))
 
 
-@query("f8_swap_risk", f"""WITH {TRACKS}, {JUMPS}, {SIZES}, {CROSS}, al AS (SELECT frame, type, risk, confidence FROM ju UNION ALL SELECT frame, type, risk, confidence FROM si UNION ALL SELECT frame, type, risk, confidence FROM cr),
-g AS (SELECT frame, sum(risk * confidence * w) / sum(w) AS risk, avg(confidence) AS confidence FROM (SELECT *, CASE type WHEN 'position_jump' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS w FROM al) GROUP BY 1),
-o AS (SELECT f.frame, coalesce(risk, 0.0) AS risk, coalesce(confidence, 1.0) AS confidence FROM (SELECT DISTINCT frame FROM bx) f LEFT JOIN g USING (frame))
-SELECT frame, round(risk, 6) AS risk, round(confidence, 6) AS confidence, CASE WHEN risk < 0.3 THEN 'low' WHEN risk < 0.6 THEN 'medium' WHEN risk < 0.8 THEN 'high' ELSE 'critical' END AS label, risk > 0.6 AS swap FROM o""")
+RISK = f"""{TRACKS}, {JUMPS}, {SIZES}, {CROSS}, al AS (SELECT frame, type, risk, confidence FROM ju UNION ALL SELECT frame, type, risk, confidence FROM si UNION ALL SELECT frame, type, risk, confidence FROM cr),
+g AS (SELECT frame, sum(risk * confidence * w) / sum(w) AS risk, avg(confidence) AS confidence FROM (SELECT *, CASE type WHEN 'position' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END AS w FROM al) GROUP BY 1),
+o AS (SELECT f.frame, coalesce(risk, 0.0) AS risk, coalesce(confidence, 1.0) AS confidence FROM (SELECT DISTINCT frame FROM bx) f LEFT JOIN g USING (frame))"""
+
+
+@query("f8_swap_risk", f"WITH {RISK} SELECT frame, round(risk, 6) AS risk, round(confidence, 6) AS confidence, CASE WHEN risk < 0.3 THEN 'continue' WHEN risk < 0.6 THEN 'monitor' WHEN risk < 0.8 THEN 're-identify' ELSE 're-identify at once' END AS label, risk > 0.6 AS swap FROM o")
 def f8(spark, d) -> DataFrame:
+    return swap_risk(spark, d).withColumns({"risk": R("risk", 6), "confidence": R("confidence", 6)})
+
+
+def swap_risk(spark, d) -> DataFrame:
     t = _tracks(spark, d)
-    r = tracking.overall_risk(boxes(spark, d).select("frame").distinct(), ["frame"], [tracking.position_jumps(t), tracking.size_changes(t, 0.3), tracking.crossings(t, ["frame"], "det")])
-    return r.withColumns({"risk": R("risk", 6), "confidence": R("confidence", 6)})
+    return tracking.overall_risk(boxes(spark, d).select("frame").distinct(), ["frame"], [tracking.position_jumps(t), tracking.size_changes(t, 0.3), tracking.crossings(t, ["frame"], "det", 100.0)])
 
 
 COSTS = f"""c AS (SELECT a.frame, a.vec_id, 0.45 * (1 - list_cosine_similarity(v.v, p.v)) + 0.45 * (1 - CASE WHEN {UNION} > 0 THEN {IOU} / {UNION} ELSE 0 END) + CASE WHEN 1 - list_cosine_similarity(v.v, p.v) > 0.95 THEN 10 ELSE 0 END AS cost, b.det AS slot

@@ -43,7 +43,7 @@ def f16(spark, d) -> DataFrame:
 
 
 @query("f23_adaptive_interval", """WITH r AS (SELECT user_id, i, avg(CASE WHEN present THEN 1.0::DOUBLE ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY i ROWS 29 PRECEDING) AS rate FROM tl)
-SELECT user_id, i, (CASE WHEN rate >= 0.95 THEN 80 WHEN rate >= 0.8 THEN 40 WHEN rate >= 0.6 THEN 20 ELSE 10 END)::INT AS step FROM r""")
+SELECT user_id, i, (CASE WHEN rate > 0.95 THEN 80 WHEN rate > 0.8 THEN 40 WHEN rate > 0.6 THEN 20 ELSE 10 END)::INT AS step FROM r""")
 def f23(spark, d) -> DataFrame:
     r = sequence.rolling(timeline(spark, d), KEY, ["i"], F.col("present").cast("double"), 30, "rate")
     return r.select("user_id", "i", sequence.adaptive_interval(F.col("rate"), 40).alias("step"))
@@ -62,17 +62,17 @@ def f9(spark, d) -> DataFrame:
     return out.select("user_id", "i", "now", "before", "changed")
 
 
-@query("f11_hop_windows", """WITH n AS (SELECT user_id, max(i) AS last FROM tl GROUP BY 1), h AS (SELECT user_id, unnest(range(0, (last - 5 + 1) // 2 + 1)) AS win FROM n WHERE last >= 4)
+@query("f11_hop_windows", """WITH n AS (SELECT user_id, max(i) AS last FROM tl GROUP BY 1), h AS (SELECT user_id, unnest(range(0, (last - 5) // 2 + 1)) AS win FROM n WHERE last >= 5)
 SELECT h.user_id, win, round(sqrt(avg(value * value)), 6) AS rms FROM h JOIN tl ON tl.user_id = h.user_id AND i BETWEEN win * 2 AND win * 2 + 4 GROUP BY 1, 2""")
 def f11_windows(spark, d) -> DataFrame:
     return sequence.amplitude_windows(timeline(spark, d), KEY, "i", "value", 5, 2).select("user_id", "win", F.round("rms", 6).alias("rms"))
 
 
-@query("f11_amplitude_activity", """WITH n AS (SELECT user_id, max(i) AS last FROM tl GROUP BY 1), h AS (SELECT user_id, unnest(range(0, (last - 5 + 1) // 2 + 1)) AS win FROM n WHERE last >= 4),
+@query("f11_amplitude_activity", """WITH n AS (SELECT user_id, max(i) AS last FROM tl GROUP BY 1), h AS (SELECT user_id, unnest(range(0, (last - 5) // 2 + 1)) AS win FROM n WHERE last >= 5),
 r AS (SELECT h.user_id, win, sqrt(avg(value * value)) AS rms FROM h JOIN tl ON tl.user_id = h.user_id AND i BETWEEN win * 2 AND win * 2 + 4 GROUP BY 1, 2),
 l AS (SELECT *, rms > avg(rms) OVER (PARTITION BY user_id) + 0.5 * stddev_pop(rms) OVER (PARTITION BY user_id) AS loud FROM r),
 g AS (SELECT *, win - row_number() OVER (PARTITION BY user_id ORDER BY win) AS g FROM l WHERE loud)
-SELECT user_id, min(win) * 2 AS start, max(win) * 2 + 5 AS "end" FROM g GROUP BY user_id, g""")
+SELECT user_id, min(win) * 2 AS start, (max(win) + 1) * 2 AS "end" FROM g GROUP BY user_id, g""")
 def f11(spark, d) -> DataFrame:
     return sequence.amplitude_activity(timeline(spark, d), KEY, "i", "value", 5, 2)
 
@@ -351,3 +351,10 @@ def n24(spark, d) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     hits = F.sum(F.col("value").isNotNull().cast("int")).over(w)
     return e.select("user_id", "i", F.round("ema", 4).alias("smooth"), hits.alias("hits"), (F.col("i") + 1 - hits).alias("misses"))
+
+
+@query("a13_mock_segments")
+def a13(spark, d) -> DataFrame:
+    u = timeline(spark, d).groupBy("user_id").agg((F.count("*") * 2.0).alias("duration"))
+    s = audio.mock_segments(u, "user_id", "duration")
+    return s.select("user_id", "turn", "speaker", *[F.round(c, 6).alias(c) for c in ("start_time", "end_time", "confidence")])

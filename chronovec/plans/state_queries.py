@@ -76,8 +76,8 @@ def n10(spark, d) -> DataFrame:
 
 @query("n14_activations")
 def n14(spark, d) -> DataFrame:
-    t = timeline(spark, d).select("user_id", "i", (F.least(F.col("value") / 150, F.lit(1.0))).alias("risk"), (F.col("event_id") % 6).alias("affected"))
-    return stateful.activations(t, ["user_id"], "i", "risk", "affected")
+    t = timeline(spark, d).select("user_id", "i", (F.least(F.col("value") / 150, F.lit(1.0))).alias("risk"), (F.col("event_id") % 10 / 10.0).alias("sure"), (F.col("event_id") % 8).alias("affected"))
+    return stateful.activations(t, ["user_id"], "i", "risk", "sure", "affected")
 
 
 @query("s1_restored_frames", "WITH f AS (SELECT user_id, i, value FROM tl WHERE event_id % 7 <> 0), s AS (SELECT user_id, unnest(range(min(i), max(i) + 1)) AS i FROM f GROUP BY 1) SELECT s.user_id, s.i, f.value FROM s LEFT JOIN f USING (user_id, i)")
@@ -103,3 +103,46 @@ def u2(spark, d) -> DataFrame:
     from ..operators.callbacks import per_item
 
     return per_item(table(spark, d, "pages").select("page_id", "html"), lambda r: {"page_id": r["page_id"], "n": len(r["html"])}, "page_id long, n long")
+
+
+@query("u4_model_hook", "SELECT vec_id, round(list_sum(v), 6) AS total FROM vec")
+def u4(spark, d) -> DataFrame:
+    import pandas as pd
+
+    from ..operators.callbacks import with_model
+
+    load = lambda: lambda b: pd.DataFrame({"vec_id": b["vec_id"], "total": [sum(v) for v in b["v"]]})
+    return with_model(vectors(spark, d).select("vec_id", "v"), load, "vec_id long, total double").withColumn("total", R("total", 6))
+
+
+@query("s3_expiring", """WITH o AS (SELECT user_id AS key, i, t, value, lag(t) OVER w AS pt, lag(value) OVER w AS pv FROM tl WINDOW w AS (PARTITION BY user_id ORDER BY i))
+SELECT key, t, coalesce(t - pt <= 30000, false) AS alive, CASE WHEN t - pt <= 30000 THEN pv END AS previous FROM o""")
+def s3(spark, d) -> DataFrame:
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        e = streams.read_stream(spark, f"{d}/events.parquet")
+        micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
+        rows = e.select(F.col("user_id").alias("key"), (micros.cast("double") / 1e6).alias("t"), "value")
+        return streams.finish(streams.expiring(rows, "key", 30000.0), scratch(spark))
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+@query("a6_polled_feed", "SELECT n_nationkey::BIGINT AS update_id, n_name AS text FROM nation")
+def a6(spark, d) -> DataFrame:
+    from ..sources import feed
+
+    rows = [(r["n_nationkey"], r["n_name"]) for r in table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(100).collect()]
+
+    def client(offset: int, limit: int) -> list[dict]:
+        return [{"update_id": k, "text": n} for k, n in rows if k >= offset][:limit]
+
+    feed.register(spark, "nation_feed", client, 10)
+    q = spark.readStream.format("nation_feed").load().select("update_id", F.get_json_object("payload", "$.text").alias("text"))
+    path = scratch(spark)
+    run = q.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/data").start()
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.schema(q.schema).parquet(f"{path}/data")

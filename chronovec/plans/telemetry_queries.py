@@ -121,12 +121,12 @@ def e32(spark, d) -> DataFrame:
     return timeline(spark, d).groupBy("user_id").agg(F.count_if("present").alias("updates"), F.count_if(~F.col("present")).alias("predictions"), F.max_by("value", "i").alias("last_value"))
 
 
-@query("e19_split_quality", """WITH u AS (SELECT user_id, avg((event_type IN ('view', 'click'))::INT) * 100 AS a, avg((event_type IN ('purchase', 'signup'))::INT) * 100 AS b FROM tl GROUP BY 1)
-SELECT user_id, round(a + b, 4) AS rate, round(abs(a - b), 4) AS balance, CASE WHEN a + b >= 90 AND abs(a - b) <= 10 THEN 'excellent' WHEN a + b >= 70 AND abs(a - b) <= 25 THEN 'good' ELSE 'poor' END AS label FROM u""")
+@query("e19_split_quality", """WITH u AS (SELECT user_id, avg((event_type <> 'view')::INT) * 100 AS a, avg((event_type IN ('purchase', 'signup', 'view'))::INT) * 100 AS b FROM tl GROUP BY 1)
+SELECT user_id, round((a + b) / 2, 4) AS rate, round(abs(a - b), 4) AS balance, CASE WHEN (a + b) / 2 >= 80 AND abs(a - b) <= 30 THEN 'excellent' WHEN (a + b) / 2 >= 60 AND abs(a - b) <= 50 THEN 'good' ELSE 'poor' END AS label FROM u""")
 def e19(spark, d) -> DataFrame:
-    share = lambda *k: F.avg(F.col("event_type").isin(*k).cast("int")) * 100
-    u = timeline(spark, d).groupBy("user_id").agg(share("view", "click").alias("a"), share("purchase", "signup").alias("b"))
-    rate, balance = F.col("a") + F.col("b"), F.abs(F.col("a") - F.col("b"))
+    share = lambda c: F.avg(c.cast("int")) * 100
+    u = timeline(spark, d).groupBy("user_id").agg(share(F.col("event_type") != "view").alias("a"), share(F.col("event_type").isin("purchase", "signup", "view")).alias("b"))
+    rate, balance = (F.col("a") + F.col("b")) / 2, F.abs(F.col("a") - F.col("b"))
     return u.select("user_id", R(rate, 4).alias("rate"), R(balance, 4).alias("balance"), scalar.split_label(rate, balance).alias("label"))
 
 
@@ -149,17 +149,17 @@ def j13(spark, d) -> DataFrame:
     return a.select("user_id", F.concat_ws(":", "a.parameter", "a.action").alias("action"))
 
 
-@query("j14_batch_policies", """SELECT event_id, (CASE WHEN event_id % 150 > 100 THEN 64 WHEN event_id % 150 > 50 THEN 32 WHEN event_id % 150 > 20 THEN 16 ELSE 8 END)::INT AS by_queue,
-(CASE WHEN value / 100 > 0.9 THEN greatest(1, event_id % 130 - 1) WHEN value / 100 < 0.6 THEN least(128, event_id % 130 + 1) ELSE event_id % 130 END)::BIGINT AS by_memory,
-greatest(1, floor(value * 0.8 / 7.5))::BIGINT AS by_free, greatest(1, floor((event_id % 130) / pow(2, event_id % 5)))::BIGINT AS halved FROM events""")
+@query("j14_batch_policies", """SELECT event_id, (CASE WHEN event_id % 700 > 512 THEN 256 WHEN event_id % 700 > 256 THEN 128 WHEN event_id % 700 > 128 THEN 64 ELSE 32 END)::INT AS by_queue,
+(CASE WHEN value / 100 > 0.8 THEN greatest(1, event_id % 130 - 1) WHEN value / 100 < 0.4 THEN least(128, event_id % 130 + 1) ELSE event_id % 130 END)::BIGINT AS by_memory,
+greatest(1, least(8, floor(value * 0.8 / 7.5)))::BIGINT AS by_free, greatest(1, floor((event_id % 130) / pow(2, event_id % 5)))::BIGINT AS halved FROM events""")
 def j14(spark, d) -> DataFrame:
     e, b = F.col("event_id"), F.col("event_id") % 130
     return table(spark, d, "events").select(
-        "event_id", scalar.batch_for_queue(e % 150).alias("by_queue"), scalar.batch_for_memory(b, F.col("value") / 100).cast("long").alias("by_memory"), scalar.batch_for_free(F.col("value"), 7.5).alias("by_free"), scalar.halved(b, e % 5).alias("halved")
+        "event_id", scalar.batch_for_queue(e % 700).alias("by_queue"), scalar.batch_for_memory(b, F.col("value") / 100).cast("long").alias("by_memory"), scalar.batch_for_free(F.col("value"), 7.5, most=8).alias("by_free"), scalar.halved(b, e % 5).alias("halved")
     )
 
 
-@query("j15_duration_text", """SELECT user_id, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%dm %.1fs', floor(s / 60)::BIGINT, s - floor(s / 60) * 60) ELSE printf('%dh %dm', floor(s / 3600)::BIGINT, floor((s - floor(s / 3600) * 3600) / 60)::BIGINT) END AS took
+@query("j15_duration_text", """SELECT user_id, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%dm %.1fs', floor(s / 60)::BIGINT, s - floor(s / 60) * 60) ELSE printf('%dh %dm %.1fs', floor(s / 3600)::BIGINT, floor((s - floor(s / 3600) * 3600) / 60)::BIGINT, s - floor(s / 60) * 60) END AS took
 FROM (SELECT user_id, min(i) + user_id * 37 + 0.3::DOUBLE AS s FROM tl GROUP BY 1, user_id)""")
 def j15(spark, d) -> DataFrame:
     s = timeline(spark, d).groupBy("user_id").agg(F.min("i").alias("m")).select("user_id", (F.col("m") + F.col("user_id") * 37 + F.lit(0.3)).alias("s"))

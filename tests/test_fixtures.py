@@ -94,7 +94,7 @@ def test_chunks_and_durations(spark):
     df = spark.createDataFrame([("x" * 4001,), ("",), (None,)], "t string")
     assert [[len(p) for p in r[0]] if r[0] is not None else None for r in df.select(scalar.chunks(F.col("t"))).collect()] == [[4000, 1], [], []]
     s = spark.createDataFrame([(5.04,), (125.0,), (7300.0,)], "s double")
-    assert [r[0] for r in s.select(scalar.duration_text(F.col("s"))).collect()] == ["5.0s", "2m 5.0s", "2h 1m"]
+    assert [r[0] for r in s.select(scalar.duration_text(F.col("s"))).collect()] == ["5.0s", "2m 5.0s", "2h 1m 40.0s"]
 
 
 def test_upsert(spark):
@@ -170,9 +170,9 @@ def test_lifecycle(spark):
 
 def test_two_slots(spark):
     box = lambda x: (x, 500, x + 100, 600)
-    frames = [[(box(300), 0.9), (box(1500), 0.9)]] * 8 + [[(box(1510), 0.9)]] + [[(box(1520), 0.9), (box(310), 0.9)]]
+    frames = [[(box(300), 0.9), (box(1500), 0.9)]] * 8 + [[(box(310), 0.9)]] + [[(box(320), 0.9), (box(1520), 0.9)]]
     got = [(r.person1, r.person2) for r in stateful.two_slot_tracks(detections(spark, frames), ["s"], "f", "id", "conf", 5).orderBy("f").collect()]
-    assert got[0] == (0, 1) and got[8] == (None, 80) and got[9] == (91, 90)
+    assert got[0] == (1, 0) and got[8] == (None, 80) and got[9] == (91, 90)
 
 
 def test_suppression(spark):
@@ -187,9 +187,9 @@ def test_filters_hold_still(spark):
 
 
 def test_activation_rate_is_held(spark):
-    df = spark.createDataFrame([(0, k, 0.65, 2) for k in range(200)], "s long, i long, r double, a int")
-    rows = stateful.activations(df, ["s"], "i", "r", "a").collect()
-    assert 10 <= sum(r.activated for r in rows) <= 60
+    df = spark.createDataFrame([(0, k, 0.65, 0.9, 2) for k in range(200)], "s long, i long, r double, c double, a int")
+    rows = stateful.activations(df, ["s"], "i", "r", "c", "a").collect()
+    assert 20 <= sum(r.activated for r in rows) <= 40
 
 
 def test_overlap_and_batches(spark):
