@@ -41,8 +41,8 @@ UNIT = 16
 #: Shorter pieces are left to fill the room that remains.
 SMALL_UNITS = 8
 ROUNDS = 1200
-#: Distinct words whose ids a worker remembers (about 200 bytes each); when full, those not used lately go.
-CACHE_WORDS = 800_000
+#: Distinct words whose ids a worker remembers (about 150 bytes each); when full, those not used lately go.
+CACHE_WORDS = 1_600_000
 #: Characters of text that are looked up, and words that are tokenized, at a time.
 CACHE_TEXT = 1 << 20
 ENCODE_WORDS = 20_000
