@@ -321,7 +321,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             names = b.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(seq), pa.array(at)], names=[*names, "sequence_id", "offset"])
 
-    ranked = cut.join(offsets, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    # merged, not broadcast: the counts by task grow with the input
+    ranked = cut.join(offsets.hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
