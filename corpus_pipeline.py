@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronovec.llm import decontaminate, packing, pii, simhash
+from chronovec.llm import decontaminate, near_copies, packing, pii
 from chronovec.llm import toxicity as toxicity_model
 from chronovec.llm.common import materialize, table
 
@@ -27,9 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near copies."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    """Keep the document with the smallest doc_id of each group of near copies: five-word shingles, Jaccard similarity 0.8."""
+    found = near_copies.near_copies(docs.select("doc_id", "text"))
+    gone = found.where("node <> root").select(F.col("node").alias("doc_id"))
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
