@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,25 +146,49 @@ def greedy_merge(df: DataFrame, keys: list[str], id_: str, v: str, threshold: fl
     return df.select(*keys, id_, v).groupBy(*keys).applyInPandas(merge, schema)
 
 
+def _stars(links: DataFrame, scene: str, rounds: int) -> DataFrame:
+    """``scene, i, root`` of every point with a link ``ia, ib``, by alternating star contraction; raises if it does not settle."""
+    spark = links.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+
+    def down(df: DataFrame) -> DataFrame:
+        path, df = os.path.join(base, f"stars-{uuid.uuid4().hex}"), df.where("u <> v").select(scene, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(scene, "u", "v").cast("decimal(38,0)"))).first())
+    e = down(links.select(scene, F.col("ia").alias("u"), F.col("ib").alias("v")))
+    before = state(e)
+    for _ in range(rounds):
+        both = e.unionByName(e.select(scene, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(scene, "u").agg(F.min("v").alias("m")).select(scene, "u", F.least("u", "m").alias("m"))
+        large = both.join(low, [scene, "u"]).where("v > u").select(scene, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy(scene, "u").agg(F.min("v").alias("m"))
+        small = large.join(low, [scene, "u"]).where("v <> m").select(scene, F.col("v").alias("u"), F.col("m").alias("v"))
+        new = down(small.unionByName(low.select(scene, "u", F.col("m").alias("v"))))
+        after = state(new)
+        e = new
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError("clusters did not settle")
+    return e.groupBy(scene, F.col("u").alias("i")).agg(F.min("v").alias("root"))
+
+
 def dbscan(df: DataFrame, scene: str, id_: str, v: str, eps: float = 0.25, least: int = 5, rounds: int = 30) -> DataFrame:
     """Clusters by cosine distance within a scene; noise has none.
 
-    Neighbours come from a join within the scene, labels from spreading the
-    smallest core id until nothing changes. A border point joins the
-    neighbouring core with the smallest label.
+    Neighbours come from a join within the scene, labels from contracting the
+    core points to stars around the smallest core id, in rounds that follow
+    the logarithm of the longest chain. A border point joins the neighbouring
+    core with the smallest label.
     """
     side = lambda s: df.select(scene, F.col(id_).alias(f"i{s}"), F.col(v).alias(f"v{s}"))
     near = side("a").join(side("b"), scene).where(1 - V.cosine(F.col("va"), F.col("vb")) <= eps).select(scene, "ia", "ib").persist()
     core = near.groupBy(scene, "ia").count().where(F.col("count") >= least).select(scene, "ia").persist()
     links = near.join(core, [scene, "ia"]).join(core.withColumnRenamed("ia", "ib"), [scene, "ib"])
-    label = core.select(scene, F.col("ia").alias("i"), F.col("ia").alias("label"))
-    for _ in range(rounds):
-        low = links.join(label.withColumnRenamed("i", "ib"), [scene, "ib"]).groupBy(scene, F.col("ia").alias("i")).agg(F.min("label").alias("low"))
-        new = label.join(low, [scene, "i"]).select(scene, "i", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved")).persist()
-        moved = new.where("moved").limit(1).count()
-        label = new.drop("moved")
-        if not moved:
-            break
+    label = core.select(scene, F.col("ia").alias("i")).join(_stars(links, scene, rounds), [scene, "i"], "left").select(scene, "i", F.coalesce("root", "i").alias("label"))
     border = near.join(label.withColumnRenamed("i", "ib"), [scene, "ib"]).groupBy(scene, F.col("ia").alias(id_)).agg(F.min("label").alias("near"))
     own = label.withColumnRenamed("i", id_)
     return df.select(scene, id_).join(own, [scene, id_], "left").join(border, [scene, id_], "left").select(scene, id_, F.coalesce("label", "near").alias("cluster"))
