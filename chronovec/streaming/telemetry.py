@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,13 +45,14 @@ class Expiring(StatefulProcessor):
         self.last = handle.getValueState("last", "t double, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        out = []
-        for pdf in rows:
-            for t, v in pdf.sort_values("t")[["t", "value"]].itertuples(index=False):
-                before = self.last.get() if self.last.exists() else None
-                alive = before is not None and t - before[0] <= self.ttl
-                out.append((key[0], t, alive, before[1] if alive else None))
-                self.last.update((t, v))
+        # a key's rows of a micro-batch come in chunks, which are in no order
+        pdf, out = pd.concat(list(rows)), []
+        before = self.last.get() if self.last.exists() else None
+        for t, v in pdf.sort_values([c for c in ("t", "event_id") if c in pdf], kind="stable")[["t", "value"]].itertuples(index=False):
+            alive = before is not None and t - before[0] <= self.ttl
+            out.append((key[0], t, alive, before[1] if alive else None))
+            before = (t, v)
+        self.last.update(before)
         yield pd.DataFrame(out, columns=["key", "t", "alive", "previous"])
 
     def close(self) -> None:
@@ -59,10 +60,22 @@ class Expiring(StatefulProcessor):
 
 
 def expiring(stream: DataFrame, key: str, ttl: float) -> DataFrame:
-    """Rows ``key, t, value`` with the value that the store still held (S3)."""
+    """Rows ``key, t, value`` with the value that the store still held (S3).
+
+    Rows are in order of t, then of event_id where there is one, within a
+    micro-batch; micro-batches are taken as they arrive. ``held`` gives the
+    same for a finished table, in order throughout.
+    """
     return stream.groupBy(key).transformWithStateInPandas(Expiring(ttl), "key long, t double, alive boolean, previous double", "Append", "None")
 
 
+def held(df: DataFrame, key: str, order: list[str], t: str, value: str, ttl: float) -> DataFrame:
+    """``key, t, alive, previous`` of each row of a finished table: the value before, if it is not too old (S3)."""
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.withColumns({"alive": F.coalesce(F.col(t) - F.lag(t).over(w) <= ttl, F.lit(False)), "_before": F.lag(value).over(w)})
+    return rows.select(F.col(key).alias("key"), F.col(t).alias("t"), "alive", F.when(F.col("alive"), F.col("_before")).alias("previous"))
+
+
 def finish(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into a table, and read the table."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/data").trigger(availableNow=True).start().awaitTermination()
