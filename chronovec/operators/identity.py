@@ -24,30 +24,44 @@ def pairs(df: DataFrame, keys: list[str], id_: str, cols: list[str]) -> DataFram
     return side("_a").join(side("_b"), keys).where(F.col(f"{id_}_a") < F.col(f"{id_}_b"))
 
 
-def top_similar(queries: DataFrame, store: DataFrame, id_: str, v: str, k: int, least: float, blocks: int = 16) -> DataFrame:
-    """For each query the ``k`` most similar of the store, itself left out (G1): exact, by blocks.
+#: Most rows of one side, on average, that a task multiplies in ``top_similar``.
+BLOCK_ROWS = 4096
 
-    The store is dealt into blocks and the queries, a stated set, are copied
-    to each; a block's product is one matrix product, and only its best rows
-    leave the task.
+
+def top_similar(queries: DataFrame, store: DataFrame, id_: str, v: str, k: int, least: float, blocks: int | None = None) -> DataFrame:
+    """For each query the ``k`` most similar of the store, itself left out (G1): exact, by blocks; ties by id.
+
+    Both sides are dealt into blocks of ``BLOCK_ROWS`` rows or so (``blocks``
+    sets the store's number), and each pair of blocks is one matrix product.
+    Products of equal vectors may differ in the last bits with their place, so
+    all rows that may be among the best are measured again one by one.
     """
-    q = queries.select(F.col(id_).cast("long").alias("q"), F.col(v).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    s = store.select(F.col(id_).cast("long").alias("s"), F.col(v).alias("sv"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"))
+    many = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
+    parts, blocks = many(queries), blocks or many(store)
+    deal = lambda n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(id_).cast("long").alias("q"), F.col(v).alias("qv"), deal(parts).alias("part"), each(blocks).alias("block"))
+    s = store.select(F.col(id_).cast("long").alias("s"), F.col(v).alias("sv"), each(parts).alias("part"), deal(blocks).alias("block"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             a, b = np.array(left.qv.tolist()), np.array(right.sv.tolist())
             a, b = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12), b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+            ids = right.s.to_numpy()
             for lo in range(0, len(a), 512):
                 sims = a[lo : lo + 512] @ b.T
-                sims[left.q.to_numpy()[lo : lo + 512, None] == right.s.to_numpy()[None]] = -2
+                sims[left.q.to_numpy()[lo : lo + 512, None] == ids[None]] = -2
                 for n, row in enumerate(sims):
-                    near = np.argsort(-row, kind="stable")[: k + 8]
-                    out += [(left.q.iloc[lo + n], right.s.iloc[j], row[j]) for j in near if row[j] >= least]
+                    kth = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -2
+                    near = np.flatnonzero((row >= max(kth, least) - 1e-9) & (row > -1.5))
+                    exact = (b[near] * a[lo + n]).sum(axis=1)
+                    near, exact = near[exact >= least], exact[exact >= least]
+                    first = np.lexsort((ids[near], -exact))[:k]
+                    out += [(left.q.iloc[lo + n], ids[j], x) for j, x in zip(near[first], exact[first])]
         return pd.DataFrame(out, columns=["q", "s", "similarity"])
 
-    found = q.groupBy("block").cogroup(s.groupBy("block")).applyInPandas(best, "q long, s long, similarity double")
+    found = q.groupBy("part", "block").cogroup(s.groupBy("part", "block")).applyInPandas(best, "q long, s long, similarity double")
     r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "s"))
     return found.withColumn("rank", r).where(F.col("rank") <= k)
 
