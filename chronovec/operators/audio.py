@@ -83,11 +83,11 @@ def pearson(x: str, y: str) -> Column:
     return F.when(F.count("*") < 2, 0.0).otherwise(F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0)))
 
 
-def lag_correlation(a: DataFrame, b: DataFrame, order: str, x: str, y: str, most: int) -> DataFrame:
-    """Correlation of a[t] with b[t + lag] for every lag up to ``most`` either way."""
+def lag_correlation(a: DataFrame, b: DataFrame, order: str, x: str, y: str, most: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Correlation of a[t] with b[t + lag] for every lag up to ``most`` either way (D7), for each key."""
     shifted = a.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_at", F.col(order) + F.col("lag"))
-    j = shifted.join(b.select(F.col(order).alias("_at"), y), "_at")
-    return j.groupBy("lag").agg(F.count("*").alias("n"), pearson(x, y).alias("corr"))
+    j = shifted.join(b.select(*keys, F.col(order).alias("_at"), y), [*keys, "_at"])
+    return j.groupBy(*keys, "lag").agg(F.count("*").alias("n"), pearson(x, y).alias("corr"))
 
 
 def best_lag(corrs: DataFrame, least: int = 10) -> DataFrame:

@@ -297,6 +297,35 @@ def d7(spark, d) -> DataFrame:
     return audio.lag_correlation(a, b, "i", "a", "b", 10).withColumn("corr", F.round("corr", 6))
 
 
+def _next_user(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Every user's timeline, and beside it the next user's, under the first one's id."""
+    t = timeline(spark, d)
+    u = t.select("user_id").distinct().withColumn("run", F.floor(F.col("user_id") / 1024))
+    # the next id is in the same run of ids, or the first of the next run; only one row a run is sorted as a whole
+    first = u.groupBy("run").agg(F.min("user_id").alias("first")).withColumn("after", F.lead("first").over(Window.orderBy("run"))).select("run", "after")
+    near = F.lead("user_id").over(Window.partitionBy("run").orderBy("user_id"))
+    pairs = u.withColumn("near", near).join(first, "run").select("user_id", F.coalesce("near", "after").alias("next")).where("next is not null")
+    a = t.select("user_id", "i", F.col("value").alias("a")).join(pairs.select("user_id"), "user_id")
+    b = t.select(F.col("user_id").alias("next"), "i", F.col("value").alias("b")).join(pairs, "next").select("user_id", "i", "b")
+    return a, b
+
+
+NEXT_USER = "u AS (SELECT user_id, lead(user_id) OVER (ORDER BY user_id) AS nx FROM (SELECT DISTINCT user_id FROM tl)), a AS (SELECT user_id, i, value FROM tl), b AS (SELECT u.user_id, i, value FROM u JOIN tl ON tl.user_id = u.nx)"
+
+
+@query("d6_zip_all_timelines", f"WITH {NEXT_USER} SELECT a.user_id, a.i, a.value AS a, b.value AS b FROM a JOIN b ON a.user_id = b.user_id AND a.i = b.i")
+def d6_all(spark, d) -> DataFrame:
+    a, b = _next_user(spark, d)
+    return a.join(b, ["user_id", "i"])
+
+
+@query("d7_lag_correlation_all", f"""WITH {NEXT_USER}, s AS (SELECT unnest(range(-10, 11)) AS lag), j AS (SELECT a.user_id, lag, a.value AS x, b.value AS y FROM a, s, b WHERE a.user_id = b.user_id AND b.i = a.i + lag)
+SELECT user_id, lag::INT AS lag, count(*) AS n, round(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0), 6) AS corr FROM j GROUP BY ALL""")
+def d7_all(spark, d) -> DataFrame:
+    a, b = _next_user(spark, d)
+    return audio.lag_correlation(a, b, "i", "a", "b", 10, ("user_id",)).withColumn("corr", F.round("corr", 6))
+
+
 @query("j9_pearson", "SELECT user_id, round(CASE WHEN count(*) < 2 THEN 0 ELSE coalesce(covar_pop(t / 3600, value) / nullif(stddev_pop(t / 3600) * stddev_pop(value), 0), 0) END, 6) AS corr FROM tl GROUP BY 1")
 def j9(spark, d) -> DataFrame:
     t = timeline(spark, d).withColumn("h", F.col("t") / 3600)

@@ -167,6 +167,11 @@ def _scenes(spark, d) -> DataFrame:
     return vectors(spark, d).withColumn("scene", F.floor(F.col("vec_id") / 100))
 
 
+@query("d3_within_all_pairs", "SELECT a.vec_id // 100 AS scene, a.label, a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM vec a JOIN vec b ON a.vec_id // 100 = b.vec_id // 100 AND a.label = b.label AND a.vec_id < b.vec_id")
+def d3_all(spark, d) -> DataFrame:
+    return identity.pairs(_scenes(spark, d), ["scene", "label"], "vec_id", ["vec_id"])
+
+
 @query("n1_online_ids")
 def n1(spark, d) -> DataFrame:
     return identity.online_ids(_scenes(spark, d).select("scene", "vec_id", "v"), ["scene"], ["vec_id"], "v", 0.3)
