@@ -1,23 +1,25 @@
-"""Near copies at a stated Jaccard similarity of word shingles: the pipeline's own setting.
+"""Near copies at a stated Jaccard similarity of word shingles: SimHash in the setting of the pipeline.
 
-Method. Texts are reduced to distinct sets of shingles. Each set gets the
-smallest values of ``BANDS`` x ``ROWS`` permutations of its shingle hashes;
-sets that agree in a whole band are candidates (at a similarity of 0.8, all
-but about five pairs in ten thousand). Candidates are only joined to the
-smallest set of their band, so their number follows the sets and not the
-pairs. All sets of a candidate component are then compared by their shingles,
-and only pairs at ``least`` or above link. Fingerprints of 64 bits do not reach
-this: at 0.8 a pair differs in about ten of them.
+Method. It is the search of ``simhash`` with five-word shingles and a radius
+that reaches a similarity of 0.8: a pair there differs in about ten of 64
+bits, and all but one in a thousand in ``RADIUS`` or fewer. Blocks of equal
+bits cannot deal values at such a radius, so buckets are agreements in a whole
+band of minimum hashes (at 0.8 all but four pairs in ten thousand share one);
+in a bucket the Gray-order index finds the fingerprints within the radius.
+Fingerprints only choose: all sets of a component that they link are then
+compared by their shingles, and only pairs at ``least`` or above link.
 
 Scale. Only the sketches of all documents are shuffled; texts are read again
-for candidates alone. A component of more than ``CELL`` sets is split into
-pairs of chunks, so every pair of its sets still meets in one task. Each task
-emits a forest, never all pairs.
+for candidates alone, which a bit map of bounded size picks out. A component
+of more than ``CELL`` sets or ``CELL_HASHES`` shingles is split into pairs of
+chunks, so every pair of its sets still meets in one task. Each task emits a
+forest, never all pairs.
 
 Defined results: words are lower-cased and split at white space; a text of
 fewer words than a shingle is one shingle. Null and empty texts are copies of
 one another and of nothing else. Rows that share a doc_id are one document.
-Rows with a null doc_id link nothing.
+Rows with a null doc_id link nothing. An empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,44 +32,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, perhaps_among, release
 from .graph import components
+from .simhash import BUCKET_ROWS, SEED, bucket_links, gram_hashes, majority
 
-SEED = 42
-BANDS, ROWS = 32, 7
-#: Most sets of a component that one task compares; larger ones are split.
-CELL = 256
-_STEP = 1 << 16
-_DRAWN = np.random.default_rng(SEED).integers(1, 1 << 64, (3, BANDS * ROWS), np.uint64)
-_TIMES, _PLUS, _MIX = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2] | np.uint64(1)
+BANDS, ROWS = 20, 5
+#: Differing bits of 64 up to which fingerprints are candidates.
+RADIUS = 18
+#: Most sets and shingles of a component that one task compares; larger ones are split.
+CELL, CELL_HASHES = 512, 1 << 20
+_BINS = BANDS * ROWS
+_EDGES = np.array([(k << 64) // _BINS for k in range(_BINS)], np.uint64)
+_RANDOM = np.random.default_rng(SEED)
+_PROBES = _RANDOM.integers(0, _BINS, (32, _BINS))
+_MIX = _RANDOM.integers(1, 1 << 64, _BINS, np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    size = min(size, n)
-    digest, found = xxhash.xxh64_intdigest, []
-    for lo in range(0, n - size + 1, _STEP):
-        part = words[lo : lo + _STEP + size - 1]
-        joined = b" ".join(part)
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(part) - size + 1].tolist()
-        found.append(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64))
-    return np.unique(np.concatenate(found))
+    found = list(gram_hashes(text, size))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band; none for an empty set."""
+    """One key for each band of minimum hashes; none for an empty set.
+
+    The hashes are dealt to bins by value, so one sort gives all minima; an
+    empty bin takes the minimum of another, looked up in a fixed random order
+    and then from left to right.
+    """
     if not len(hashes):
         return np.zeros(0, np.int64)
-    low = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for lo in range(0, len(hashes), 512):
-        low = np.minimum(low, (hashes[None, lo : lo + 512] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1))
+    at = np.searchsorted(hashes, _EDGES)
+    full = at < np.append(at[1:], len(hashes))
+    low, have = hashes[np.minimum(at, len(hashes) - 1)], full.copy()
+    for probe in _PROBES:
+        gaps = np.flatnonzero(~have)
+        if not len(gaps):
+            break
+        taken = full[probe[gaps]]
+        low[gaps[taken]] = low[probe[gaps[taken]]]
+        have[gaps[taken]] = True
+    gaps, there = np.flatnonzero(~have), np.flatnonzero(full)
+    low[gaps] = low[there[np.searchsorted(there, gaps) % len(there)]]
     mixed = (low ^ (low >> np.uint64(29))) * _MIX
-    return mixed.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return mixed.reshape(ROWS, BANDS).sum(axis=0, dtype=np.uint64).view(np.int64)
 
 
 def digest(hashes: np.ndarray) -> tuple[int, int]:
@@ -76,25 +85,28 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id, h, g, bands`` of every row of ``docs``; (h, g) names its set of shingles."""
+    """``doc_id, h, g, size, fp, bands`` of every row of ``docs``; (h, g) names its set of shingles."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, size) for t in b.column(1).to_pylist()]
-            names = np.array([digest(s) for s in found], np.int64).reshape(-1, 2)
-            keys = pa.array([bands(s) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), keys], names=["doc_id", "h", "g", "bands"])
+            rows = []
+            for text in b.column(1):
+                found = shingles(text.as_py(), size)
+                rows.append((*digest(found), len(found), majority([found]), bands(found)))
+            cols = [np.array([r[k] for r in rows], t) for k, t in ((0, np.int64), (1, np.int64), (2, np.int64), (3, np.uint64))]
+            keys = pa.array([r[4] for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c.view(np.int64)) for c in cols], keys], names=["doc_id", "h", "g", "size", "fp", "bands"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, h long, g long, bands array<long>")
+    return chosen.mapInArrow(run, "doc_id long, h long, g long, size long, fp long, bands array<long>")
 
 
 def forest(sets: list[np.ndarray], least: float) -> np.ndarray:
     """For each set the position of the first one that it links to, directly or through others."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     marks, root = np.zeros(len(ids), bool), np.arange(n)
     for k in range(n - 1):
@@ -103,7 +115,7 @@ def forest(sets: list[np.ndarray], least: float) -> np.ndarray:
             continue
         own = ids[starts[k] : starts[k] + sizes[k]]
         marks[own] = True
-        common = np.add.reduceat(marks[ids[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1], dtype=np.int64)
+        common = np.add.reduceat(marks[ids[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1], dtype=np.int32)
         marks[own] = False
         near = open_ & (common / (sizes[k + 1 :] + sizes[k] - common) >= least)
         if near.any():
@@ -115,20 +127,23 @@ def forest(sets: list[np.ndarray], least: float) -> np.ndarray:
 def verified(docs: DataFrame, chosen: DataFrame, size: int, least: float) -> DataFrame:
     """Edges ``(u, v)`` that join all sets at ``least`` or above within a candidate component.
 
-    ``chosen`` holds ``rep, h, g, root, n``: a document of each set, the
-    component and its number of sets.
+    ``chosen`` holds ``rep, h, g, root, parts``: a document of each set, the
+    component and the number of chunks that it is split into.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(chosen, "rep")
-    parts = F.when(F.col("n") > CELL, F.ceil(F.col("n") / (CELL // 2))).otherwise(1).cast("int")
-    texts = texts.select("text", "h", "g", "rep", "root", parts.alias("parts"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = perhaps_among(texts, "rep", chosen.select("rep")).where("_perhaps").select("rep", "text")
+    texts = texts.join(chosen, "rep").select("text", "h", "g", "rep", "root", "parts")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, size) for t in b.column(0).to_pylist()]
-            # a doc_id may have several texts
-            mine = [k for k, (s, h, g) in enumerate(zip(found, b.column(1).to_pylist(), b.column(2).to_pylist())) if digest(s) == (h, g)]
+            mine, sets = [], []
+            for k, name in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                found = shingles(b.column(0)[k].as_py(), size)
+                if digest(found) == name:  # a doc_id may have several texts
+                    mine.append(k)
+                    sets.append(found.tobytes())
             rest = b.select(["rep", "root", "parts"]).take(pa.array(mine, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([found[k].tobytes() for k in mine], pa.binary())], names=["rep", "root", "parts", "set"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], names=["rep", "root", "parts", "set"])
 
     sets = texts.mapInArrow(read, "rep long, root long, parts int, set binary")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts").cast("long")).cast("int")
@@ -145,29 +160,34 @@ def verified(docs: DataFrame, chosen: DataFrame, size: int, least: float) -> Dat
 
         held, at = [], None
         for b in batches:
-            for rep, s, *cell in zip(*[b.column(n).to_pylist() for n in ("rep", "set", "root", "a", "b")]):
+            for k, (rep, *cell) in enumerate(zip(*[b.column(n).to_pylist() for n in ("rep", "root", "a", "b")])):
                 if cell != at:
-                    if held:
+                    if len(held) > 1:
                         yield from emit(held)
                     held, at = [], cell
-                held.append((rep, s))
-        if held:
+                held.append((rep, b.column(1)[k].as_py()))
+        if len(held) > 1:
             yield from emit(held)
 
-    dealt = cells.repartition(F.xxhash64("root", "a", "b")).sortWithinPartitions("root", "a", "b")
-    return dealt.mapInArrow(run, "u long, v long")
+    ready = cells.repartition(F.xxhash64("root", "a", "b")).sortWithinPartitions("root", "a", "b")
+    return ready.mapInArrow(run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """``(node, root)``: each document that has a near copy, and the smallest doc_id of its group."""
     rows = materialize(sketches(docs, size).where("doc_id is not null"), "copies")
-    values = rows.groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    values = materialize(values.withColumn("sid", F.xxhash64("h", "g")), "copies-values")
-    dealt = values.select("sid", F.explode("bands").alias("key"))
-    hubs = dealt.groupBy("key").agg(F.min("sid").alias("v"), F.max("sid").alias("w")).where("v <> w").select("key", "v")
-    found = components(dealt.join(hubs, "key").where("sid <> v").select(F.col("sid").alias("u"), "v"))
-    found = found.join(found.groupBy("root").agg(F.count("*").alias("n")), "root").withColumnRenamed("node", "sid")
-    chosen = values.drop("bands").join(found, "sid").select("rep", "h", "g", "root", "n")
+    values = rows.groupBy("h", "g").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", "bands")])
+    values = materialize(values, "copies-values")
+    keys = values.select("fp", "rep", F.lit(0).alias("k"), F.explode("bands").alias("bits"))
+    shared = materialize(keys.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"), "copies-keys")
+    met = keys.join(shared.select("k", "bits"), ["k", "bits"])
+    found = materialize(components(bucket_links(met, shared.where(F.col("n") > BUCKET_ROWS), RADIUS)), "copies-found")
+    near = values.select("rep", "h", "g", "size").join(found.withColumnRenamed("node", "rep"), "rep")
+    wanted = F.greatest(F.ceil(F.count("*") / (CELL // 2)), F.ceil(F.sum("size") / (CELL_HASHES // 2)))
+    parts = near.groupBy("root").agg(F.when((F.count("*") > CELL) | (F.sum("size") > CELL_HASHES), wanted).otherwise(1).cast("int").alias("parts"))
+    chosen = materialize(near.join(parts, "root").select("rep", "h", "g", "root", "parts"), "copies-chosen")
     exact = rows.select("doc_id", "h", "g").join(values.select("h", "g", "rep"), ["h", "g"]).where("doc_id <> rep")
-    links = verified(docs, materialize(chosen, "copies-chosen"), size, least)
-    return components(links.unionByName(exact.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
+    links = verified(docs, chosen, size, least)
+    out = components(links.unionByName(exact.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
+    release(rows, values, shared, found, chosen)
+    return out

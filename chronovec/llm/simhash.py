@@ -13,17 +13,21 @@ Scale. Nothing but (value, smallest doc_id) is shuffled after the fingerprint
 pass. ``m`` follows the number of distinct values, so that an average bucket
 holds a few hundred; a bucket that is larger all the same (many near copies)
 is split into pairs of chunks, so every pair of its values still meets in one
-task. Each bucket emits a forest, never all pairs.
+task. Values of a bucket beyond ``HOT`` are dealt again by more, smaller
+blocks, in which they fall apart. Each bucket emits a forest, never all pairs.
 
 Defined results: a null or empty text has fingerprint zero, which links like
 any other. Repeated rows each get a row back. Rows with a null doc_id get the
 component of the texts they link to; where a fingerprint occurs with null ids
-only, component_id is null.
+only, component_id is null. An empty table gives an empty result; other columns
+are ignored, whatever their names. Texts are hashed in steps, so their length
+is not bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, table
 from .graph import components
 
 SEED = 42
@@ -40,29 +44,40 @@ SEED = 42
 BUCKET_ROWS = 256
 #: Values or nodes under one node of the index.
 FAN = 16
+#: Values of a bucket beyond which its values are dealt by more blocks instead of being split.
+HOT = 4096
+#: Blocks are no more than this; what is left in large buckets then is split.
+MOST_BLOCKS = 13
 _STEP = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles, as an unsigned integer."""
+def gram_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text, repeats included, in bounded steps; nothing for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
-    if not n:
-        return 0
-    size = min(shingle, n)
-    total = n - size + 1
-    ones = np.zeros(64, np.int64)
+    size = min(size, n)
     digest = xxhash.xxh64_intdigest
-    for lo in range(0, total, _STEP):
-        part = words[lo : min(lo + _STEP, total) + size - 1]
+    for lo in range(0, n - size + 1 if n else 0, _STEP):
+        part = words[lo : lo + _STEP + size - 1]
         joined = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
         starts = np.concatenate(([0], ends[:-1]))[: len(part) - size + 1].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """64 bits, each 1 if set in over half of the hashes."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in parts:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    set_bits = (ones * 2 > total).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view(np.uint64)[0])
+        total += len(hashes)
+    return int(np.packbits((ones * 2 > total).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the word shingles, as an unsigned integer."""
+    return majority(gram_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -119,12 +134,12 @@ def index_pairs(values: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarr
     return q[keep], node[keep]
 
 
-def _forest(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fp: np.ndarray, rep: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (rep, smallest rep of its local component) of one bucket."""
     values = fp.view(np.uint64)
     order = np.argsort(gray_rank(values), kind="stable")
     values, rep = values[order], rep[order]
-    i, j = index_pairs(values)
+    i, j = index_pairs(values, most)
     if not len(i):
         return rep[:0], rep[:0]
     root = rep.copy()
@@ -140,20 +155,45 @@ def _forest(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rep[off], root[off]
 
 
-def links(values: DataFrame, distinct_values: int, most: int = 3) -> DataFrame:
-    """``values(fp, rep)`` of distinct fingerprints -> edges ``(u, v)`` that join all that link."""
-    blocks = next(m for m in range(most + 1, 17) if m == 16 or distinct_values <= (BUCKET_ROWS // 4) << (64 * (m - most) // m))
+def dealt(values: DataFrame, blocks: int, most: int) -> DataFrame:
+    """``fp, rep, k, bits``: each value once for every choice of all but ``most`` of the bit blocks."""
     cuts = [64 * k // blocks for k in range(blocks + 1)]
     ones = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(blocks)]
     masks = [sum(ones[k] for k in c) for c in combinations(range(blocks), blocks - most)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    dealt = values.where("rep is not null").select(
-        "fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)])).alias("x")
-    ).select("fp", "rep", "x.k", "x.bits")
-    large = dealt.groupBy("k", "bits").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS)
-    large = large.withColumn("parts", F.ceil(F.col("n") / (BUCKET_ROWS // 2)).cast("int"))
-    split = dealt.join(large, ["k", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts").cast("long")).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)]))
+    return values.select("fp", "rep", each.alias("x")).select("fp", "rep", "x.k", "x.bits")
+
+
+def links(values: DataFrame, distinct_values: int, most: int = 3) -> DataFrame:
+    """``values(fp, rep)`` of distinct fingerprints -> edges ``(u, v)`` that join all that link.
+
+    Values that share a hot bucket and link also share a bucket of more
+    blocks, so dealing them again loses nothing.
+    """
+    blocks = next(m for m in range(most + 1, 17) if m == 16 or distinct_values <= (BUCKET_ROWS // 4) << (64 * (m - most) // m))
+    values, found = values.where("rep is not null").select("fp", "rep"), []
+    while True:
+        now = dealt(values, blocks, most)
+        large = now.groupBy("k", "bits").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS)
+        large = materialize(large, "simhash-large")
+        hot = large.where(F.col("n") > HOT).select("k", "bits")
+        if blocks + 3 > MOST_BLOCKS or hot.isEmpty():
+            found.append(bucket_links(now, large, most))
+            return reduce(DataFrame.unionByName, found)
+        found.append(bucket_links(now.join(hot, ["k", "bits"], "left_anti"), large, most))
+        values = materialize(now.join(hot, ["k", "bits"]).select("fp", "rep").distinct(), "simhash-hot")
+        blocks += 3
+
+
+def bucket_links(rows: DataFrame, large: DataFrame, most: int) -> DataFrame:
+    """Edges ``(u, v)`` that join all of ``rows(fp, rep, k, bits)`` at ``most`` or fewer bits within a bucket.
+
+    ``large(k, bits, n)`` names the buckets over ``BUCKET_ROWS``.
+    """
+    large = large.select("k", "bits", F.ceil(F.col("n") / (BUCKET_ROWS // 2)).cast("int").alias("parts"))
+    split = rows.join(large, ["k", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp", "rep", F.lit(7)), F.col("parts").cast("long")).cast("int")
     split = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.select("fp", "rep", "k", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     key = F.xxhash64("k", "bits", "a", "b")
@@ -164,7 +204,7 @@ def links(values: DataFrame, distinct_values: int, most: int = 3) -> DataFrame:
             cut = np.concatenate(([0], cut, [len(fp)]))
             us, vs = [], []
             for g in np.flatnonzero(np.diff(cut) > 1):
-                u, v = _forest(fp[cut[g] : cut[g + 1]], rep[cut[g] : cut[g + 1]])
+                u, v = _forest(fp[cut[g] : cut[g + 1]], rep[cut[g] : cut[g + 1]], most)
                 if len(u):
                     us.append(u)
                     vs.append(v)
@@ -188,8 +228,7 @@ def links(values: DataFrame, distinct_values: int, most: int = 3) -> DataFrame:
         if rest:
             yield from emit(*rest)
 
-    dealt_out = split.repartition(key).sortWithinPartitions("k", "bits", "a", "b")
-    return dealt_out.mapInArrow(run, "u long, v long")
+    return split.repartition(key).sortWithinPartitions("k", "bits", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
@@ -205,7 +244,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of ``documents``."""
-    from .common import table
-
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

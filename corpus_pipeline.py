@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronovec.llm import decontaminate, near_copies, packing, pii
 from chronovec.llm import toxicity as toxicity_model
-from chronovec.llm.common import materialize, table
+from chronovec.llm.common import materialize, perhaps_among, release, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,10 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near copies: five-word shingles, Jaccard similarity 0.8."""
+    """Keep the document with the smallest doc_id of each group of near copies: SimHash over five-word shingles, Jaccard similarity 0.8."""
     found = near_copies.near_copies(docs.select("doc_id", "text"))
     gone = found.where("node <> root").select(F.col("node").alias("doc_id"))
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    marked = perhaps_among(docs.select(*COLUMNS), "doc_id", gone)  # texts that stay for certain need no shuffle
+    stays = marked.where("not _perhaps").select(*COLUMNS)
+    return stays.unionByName(marked.where("_perhaps").join(gone, "doc_id", "left_anti").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +70,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is a table before the next stage reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        read, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if n:
+            release(read)
     return STAGES[-1][1](spark, docs, sf_dir)
