@@ -15,11 +15,15 @@ configuration and length. Pieces get their number within their length from
 counts by (task, length), so no length, however common, is ranked in one task.
 
 Defined results: a null or empty text is one piece that holds the end id
-alone. Repeated rows are packed one by one. Null ids pass through.
+alone. Repeated rows are packed one by one. Null ids pass through. An empty
+table gives an empty result; other columns are ignored, whatever their names.
+Long texts are cut into pieces; words of any length are tokenized whole, or in
+parts where no token can cross the cut, and only short ones are remembered.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import unicodedata
@@ -38,11 +42,18 @@ CAPACITY = 4096
 END_ID = 1
 #: Lengths are rounded up to a multiple of this for the program; the rounding reads the true lengths.
 UNIT = 16
-#: Shorter pieces are left to fill the room that remains.
-SMALL_UNITS = 8
-ROUNDS = 1200
-#: Distinct words whose ids a worker remembers (about 150 bytes each); when full, those not used lately go.
-CACHE_WORDS = 1_600_000
+#: Rounds of the program at most, and the gap to its lower bound at which it stops.
+ROUNDS, GAP = 1200, 0.005
+#: When a configuration is rounded, pieces of up to so many units go where they fit best.
+SHORT_UNITS = 8
+#: Bytes of words, ids and table entries that a worker remembers; when full, words not used lately go.
+CACHE_BYTES = 192 << 20
+#: Bytes that a table entry takes besides the word and its ids.
+ENTRY_BYTES = 150
+#: Longer words (bytes) are not remembered.
+LONG = 64
+#: Longer ones still are cut next to digits, where no token goes on.
+CUT = 1 << 14
 #: Characters of text that are looked up, and words that are tokenized, at a time.
 CACHE_TEXT = 1 << 20
 ENCODE_WORDS = 20_000
@@ -54,6 +65,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_DIGIT = re.compile("[0-9]")
+
+
 def _worker_memory(name: str) -> dict:
     """A dictionary that lives as long as this Python worker, over all its tasks."""
     holder = sys.modules.setdefault("_chronovec_worker", types.ModuleType("_chronovec_worker"))
@@ -81,8 +95,9 @@ class WordIds:
 
     The tokenizer never joins or changes words across ASCII white space, nor
     between a letter and a single full stop or comma at a word's end, and it
-    folds case. So a text falls into words whose ids follow one
-    another, and each distinct word is tokenized once, many at a time.
+    folds case in all but its special tokens. So a text falls into words whose
+    ids follow one another, and each distinct word is tokenized once, many at
+    a time. Texts in which lower case would make a special token keep their case.
     """
 
     def __init__(self, path: str) -> None:
@@ -95,21 +110,47 @@ class WordIds:
             ends = np.zeros(max(vocab.values()) + 1, bool)
             ends[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
             stops = {c: np.array(encoder.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() for c in (b".", b",")}
-            kept |= {"encoder": encoder, "ends": ends, "known": {}, "older": {}, "stops": stops}
+            special = [t.content.encode() for t in encoder.get_added_tokens_decoder().values()]
+            kept |= {"encoder": encoder, "ends": ends, "known": {}, "older": {}, "stops": stops, "special": special, "size": 0}
+        self.kept = kept
         self.encoder, self.ends, self.known, self.older, self.stops = (kept[k] for k in ("encoder", "ends", "known", "older", "stops"))
 
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.known) + len(new) > CACHE_WORDS // 2:  # words in use move on from the older half
+    def _words(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        low = raw.lower()
+        if b"|" in raw and any(low.count(t.lower()) != raw.count(t) or t != t.lower() for t in self.kept["special"]):
+            low = raw
+        return low.split()
+
+    def _encode(self, s: str) -> bytes:
+        """The ids of one word; a very long one in parts that begin or end at a digit, which is a token of its own."""
+        if len(s) <= CUT:
+            return np.array(self.encoder.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        out, lo = [], 0
+        while lo < len(s):
+            m = _DIGIT.search(s, lo + CUT)
+            hi = m.start() if m else len(s)
+            out.append(np.array(self.encoder.encode(s[lo:hi], add_special_tokens=False).ids, "<u4").tobytes())
+            lo = hi
+        return b"".join(out)
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Remember short words; the ids of long ones are returned."""
+        if self.kept["size"] + sum(map(len, new)) + len(new) * ENTRY_BYTES > CACHE_BYTES // 2:  # words in use move on from the older half
             self.older.clear()
             self.older |= self.known
             self.known.clear()
+            self.kept["size"] = 0
         known, older = self.known, self.older
-        plain, texts, other, stopped = [], [], [], []
+        plain, texts, other, stopped, long = [], [], [], [], {}
         for w in new:
             if w in older:
                 known[w] = older[w]
                 continue
             s = w.decode("utf-8", "surrogatepass")
+            if len(w) > LONG:
+                long[w] = self._encode(s)
+                continue
             if s[-1] in ".," and _letters(s[:-1]):  # letters, then one stop, which has an id of its own
                 stopped.append(w)
                 w, s = w[:-1], s[:-1]
@@ -132,10 +173,12 @@ class WordIds:
                 known[w] = raw[lo:hi]
                 lo = hi
         for w, s in other:
-            known[w] = np.array(self.encoder.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+            known[w] = self._encode(s)
         for w in stopped:
             stem = w[:-1]
             known[w] = (known[stem] if stem in known else older[stem]) + self.stops[w[-1:]]
+        self.kept["size"] += sum(2 * len(w) + ENTRY_BYTES for w in new if len(w) <= LONG)
+        return long
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -145,14 +188,14 @@ class WordIds:
             while hi < len(texts) and size < CACHE_TEXT:
                 size += len(texts[hi] or "")
                 hi += 1
-            parts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts[lo:hi]]
+            parts = [self._words(t) for t in texts[lo:hi]]
             found = [list(map(self.known.get, p)) for p in parts]
             gaps = [_gaps(f) for f in found]
-            if new := {p[k] for p, g in zip(parts, gaps) for k in g}:
-                self._learn(new)
+            new = {p[k] for p, g in zip(parts, gaps) for k in g}
+            long = self._learn(new) if new else {}
             for p, f, g in zip(parts, found, gaps):
                 for k in g:
-                    f[k] = self.known[p[k]]
+                    f[k] = self.known[p[k]] if len(p[k]) <= LONG else long[p[k]]
                 yield b"".join(f)
             lo = hi
 
@@ -186,20 +229,24 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations over rounded lengths with the (fractional) times each is used."""
+    """Configurations over rounded lengths with the (fractional) times each is used.
+
+    The prices of a round, over the worth of its best configuration, bound the
+    program from below; rounds end once the covering is within ``GAP`` of that.
+    """
     room = capacity // UNIT
     demand = np.zeros(room + 1)
     for length, n in counts.items():
         demand[-(-length // UNIT)] += n
-    demand[:SMALL_UNITS] = 0
     kinds = np.flatnonzero(demand)
     if not len(kinds):
         return []
     need = demand[kinds]
     weight, covered = np.ones(len(kinds)), np.zeros(len(kinds))
     used: dict[tuple, float] = {}
+    spent, bound = 0.0, 0.0
     for _ in range(rounds):
-        price = weight / need
+        price, total = weight / need, weight.sum()
         best, pick = np.zeros(room + 1), np.full(room + 1, -1)
         for c in range(int(kinds[0]), room + 1):
             fits = np.searchsorted(kinds, c, "right")
@@ -221,6 +268,9 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS
         weight /= weight.max()
         key = tuple((int(kinds[k]), int(take[k])) for k in np.flatnonzero(some))
         used[key] = used.get(key, 0.0) + step
+        spent, bound = spent + step, max(bound, total / best[room])
+        if covered.min() > 0 and spent / covered.min() <= (1 + GAP) * bound:
+            break
     scale = 1 / max(np.average(covered, weights=need * kinds), 1e-9)
     return [(dict(k), v * scale) for k, v in sorted(used.items(), key=lambda x: -x[1])]
 
@@ -258,9 +308,10 @@ def round_plan(counts: dict[int, int], configurations: list, capacity: int = CAP
         while times > 0:
             held: dict[int, int] = {}
             most = times
-            last = min(config)  # one piece of this kind is left to the best fit, which wastes less
+            # short pieces, and one of the shortest kind, are placed by the best fit, which wastes less
+            last, long = min(config), max(config) > SHORT_UNITS
             for unit, n in config.items():
-                for _ in range(n - (unit == last)):
+                for _ in range(0 if long and unit <= SHORT_UNITS else n - (unit == last)):
                     low, top = (unit - 1) * UNIT + 1, min(unit * UNIT, capacity)
                     spare = [k for k in range(top, low - 1, -1) if left[k] > held.get(k, 0)]
                     if not spare:

@@ -279,13 +279,30 @@ def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     rng = random.Random(8)
-    alphabet = [*"क़ñaBcdE eé'  .,\n.,;!…sStTlL9\tß<|>İΣ́ \x1c\x0b", "<|endoftext|>", " 's", "'ll "]
+    alphabet = [*"क़ñaBcdE eé'  .,\n.,;!…sStTlL9\tß<|>İΣ́ \x1c\x0b", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", " 's", "'ll "]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     encoder = Tokenizer.from_file(packing.default_tokenizer())
     for t, ids in zip(texts, packing.WordIds(packing.default_tokenizer()).ids(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.encode(t, add_special_tokens=False).ids
 
 
+def test_word_ids_without_spaces_and_with_a_small_memory(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 4000)
+    monkeypatch.setattr(packing, "CUT", 50)
+    monkeypatch.setattr(packing, "CACHE_TEXT", 500)
+    texts = ["".join(rng.choice("abcXYZ0123456789+/=é中文。,'sΣ́") for _ in range(rng.randint(0, 2000))) for _ in range(100)]
+    texts += [" ".join("".join(rng.choice("abcdefgh.,") for _ in range(rng.randint(1, 9))) for _ in range(200)) for _ in range(50)]
+    encoder, words = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer())
+    words.known.clear(), words.older.clear()
+    words.kept["size"] = 0
+    for t, ids in zip(texts, words.ids(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.encode(t, add_special_tokens=False).ids
+    assert max(map(len, [*words.known, *words.older])) <= packing.LONG and len(words.known) + len(words.older) < 1000
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
