@@ -7,8 +7,8 @@ words. It is trained on a small labelled table (``training_table``; any table
 of the same form may be given) by gradient ascent on the regularised
 log-likelihood, with the forward-backward sums of all sentences taken at once
 in numpy. Decoding is Viterbi over padded batches. A token without a digit
-or @ is always O, so a text falls into independent runs of the other tokens,
-which gives the same labels as decoding it in one piece.
+or @ is held to be O, so a text falls into independent runs of the other
+tokens, which gives the same labels as decoding it in one piece.
 
 Field spans that touch a pattern's span, or that do not hold what the kind
 needs (digits, Luhn sum, an @), are left out; pattern spans always stay.
@@ -17,7 +17,9 @@ Scale. One pass over the documents, no shuffle; the model is a few kilobytes.
 All scans are linear in the text, whatever it holds.
 
 Defined results: a null or empty text has no spans. Repeated rows each get a
-row; null ids pass through. Offsets count code points, ends exclusive.
+row; null ids pass through. Offsets count code points, ends exclusive. Of field
+spans that overlap, the first stays. An empty table gives an empty result. Other
+columns are kept; any named base_pii, pii or redacted is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -95,19 +99,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the field ----
 
 _SHAPES = [(re.compile(r"[A-ZÀ-ÖØ-Þ]"), "A"), (re.compile(r"[^\W\d_A-Z]"), "a"), (re.compile(r"[0-9]"), "9")]
+_SAME = re.compile(r"(.)\1+", re.DOTALL)
+
+
+class _Classes(dict):
+    """Code point to its class, worked out when first met."""
+
+    def __missing__(self, point: int) -> str:
+        found = next((to for pattern, to in _SHAPES if pattern.match(chr(point))), chr(point))
+        return self.setdefault(point, found)
+
+
+_CLASSES = _Classes()
 
 
 def _shape(token: str) -> str:
-    for pattern, to in _SHAPES:
-        token = pattern.sub(to, token)
-    return token
+    return token.translate(_CLASSES)
 
 
 def features(token: str, before: str, after: str) -> list[str]:
     """Names of the features that hold for a token between two others."""
-    token = token[:80]  # a longer token has the shape of none of the kinds
     shape = _shape(token)
-    short = re.sub(r"(.)\1+", r"\1", shape)
+    short = _SAME.sub(r"\1", shape)
     n = shape.count("9")
     core = token.strip(".,;:!?\"'")
     parts = core.split(".")
@@ -131,12 +144,20 @@ class Field:
     def __init__(self, index: dict[str, int], weights: np.ndarray, pairs: np.ndarray) -> None:
         self.index, self.weights, self.pairs = index, weights, pairs
 
-    def scores(self, sentence: list[str], lo: int, hi: int) -> np.ndarray:
-        out = np.zeros((hi - lo, len(LABELS)))
-        for t in range(lo, hi):
-            before = sentence[t - 1] if t else ""
-            after = sentence[t + 1] if t + 1 < len(sentence) else ""
-            out[t - lo] = self.weights[[self.index[f] for f in features(sentence[t], before, after) if f in self.index]].sum(axis=0)
+    def scores(self, sentences: list[list[str]]) -> list[np.ndarray]:
+        """Scores of the labels of each token but the first and last, which are neighbours only."""
+        rows = np.vstack((self.weights, np.zeros(len(LABELS))))
+        number, none, out = self.index.get, len(self.weights), []
+        at = 0
+        while at < len(sentences):
+            stop, hot, sizes = at, [], []
+            while stop < len(sentences) and len(hot) < 4096:
+                s = sentences[stop]
+                hot += [[number(f, none) for f in features(s[t], s[t - 1], s[t + 1])] for t in range(1, len(s) - 1)]
+                sizes.append(len(s) - 2)
+                stop += 1
+            out += np.split(rows[hot].sum(axis=1), np.cumsum(sizes)[:-1])
+            at = stop
         return out
 
     def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
@@ -219,7 +240,7 @@ def training_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(training_rows(), "tokens array<string>, labels array<string>")
 
 
-#: Most labelled sentences that are read.
+#: Most labelled sentences that are read: those with the smallest hashes.
 TRAINING_ROWS = 5000
 
 
@@ -290,6 +311,28 @@ def _holds(kind: str, found: str) -> bool:
     return 9 <= len(d) <= 15
 
 
+def _word_before(text: str, end: int) -> str:
+    """The whole word that ends last before ``end``."""
+    width = 40
+    while True:
+        lo = max(0, end - width)
+        words = text[lo:end].split()
+        if words and (lo == 0 or len(words) > 1 or text[lo].isspace()) or lo == 0:
+            return words[-1] if words else ""
+        width *= 4
+
+
+def _word_after(text: str, start: int) -> str:
+    """The whole word that begins first from ``start`` on."""
+    width = 40
+    while True:
+        hi = min(len(text), start + width)
+        words = text[start:hi].split()
+        if words and (hi == len(text) or len(words) > 1 or text[hi - 1].isspace()) or hi == len(text):
+            return words[0] if words else ""
+        width *= 4
+
+
 def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds in each text."""
     runs, places = [], []
@@ -300,14 +343,12 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
             stop = at + 1
             while stop < len(tokens) and text[tokens[stop - 1][1] : tokens[stop][0]].isspace():
                 stop += 1
-            left = text[max(0, tokens[at][0] - 40) : tokens[at][0]].split()
-            right = text[tokens[stop - 1][1] : tokens[stop - 1][1] + 40].split()
-            sentence = [left[-1] if left else "", *[text[a:b] for a, b in tokens[at:stop]], right[0] if right else ""]
-            runs.append(field.scores(sentence, 1, len(sentence) - 1))
+            sentence = [_word_before(text, tokens[at][0]), *[text[a:b] for a, b in tokens[at:stop]], _word_after(text, tokens[stop - 1][1])]
+            runs.append(sentence)
             places.append((n, tokens[at:stop]))
             at = stop
     out: list = [[] for _ in texts]
-    for (n, tokens), path in zip(places, field.decode(runs)):
+    for (n, tokens), path in zip(places, field.decode(field.scores(runs))):
         k = 0
         while k < len(path):
             if path[k] and LABELS[path[k]][0] == "B":
@@ -329,16 +370,17 @@ def all_spans(field: Field, texts: list[str]) -> Iterator[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     for own, more in zip(base, field_spans(field, texts)):
         taken = sorted((a, b) for _, a, b in own)
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         added = []
         for kind, a, b in more:
-            k = np.searchsorted([x for x, _ in taken], b)
-            if not any(y > a for _, y in taken[:k]):
+            k = bisect_left(starts, b)  # the spans that start before the end of this one
+            if not k or reach[k - 1] <= a:
                 added.append((kind, a, b))
         yield own, sorted(own + added, key=lambda s: (rank[s[0]], s[1], s[2]))
 
 
 def _learned(spark: SparkSession, labelled: DataFrame | None) -> Field:
-    rows = (labelled or training_table(spark)).select("tokens", "labels").limit(TRAINING_ROWS).collect()
+    rows = (labelled or training_table(spark)).select("tokens", "labels").orderBy(F.xxhash64("tokens", "labels"), "tokens", "labels").limit(TRAINING_ROWS).collect()
     return train([(list(r["tokens"]), list(r["labels"])) for r in rows if r["tokens"]])
 
 

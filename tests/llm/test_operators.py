@@ -226,7 +226,8 @@ def test_toxicity(spark, labelled_tables):
     out = [(got[i] >= 0.5) == bool(t) for i, _, t in labels if held(i)]
     assert sum(out) / len(out) > 0.97 and got[901] < 0.5 and got[900] < 0.5
     for group in toxicity.IDENTITY_TERMS:
-        scores = [toxicity.score_text(f"the {t} walks under the river", **{k: model[k] for k in ("known", "weights", "bias")}) for t in group]
+        own = toxicity.Features(model["known"])
+        scores = [toxicity.score_text(f"the {t} walks under the river", own, model["weights"], model["bias"]) for t in group]
         assert max(scores) - min(scores) < 0.02 and max(scores) < 0.5
     flat = toxicity.learn(docs, lab.where("toxic = 0"))
     assert all(s < 0.5 for s in (r.score for r in toxicity.score(docs, flat).collect()))
@@ -239,8 +240,7 @@ def test_swap_penalty_holds_scores_together():
     x[:, 0] = y  # abuse
     x[:, 1] = (rng.random(200) < 0.2 + 0.6 * y)  # a group term that co-occurs with it
     x[:, 2] = (rng.random(200) < 0.3)
-    swapped = np.zeros((50, 3), np.float32)
-    swapped[:, 1], swapped[:, 2] = -1, 1
+    swapped = [([(1, -1.0), (2, 1.0)], 50)]
     fair, _ = toxicity.fit(x, y, swapped, fairness=5.0)
     free, _ = toxicity.fit(x, y, swapped[:0], fairness=0.0)
     assert abs(fair[1] - fair[2]) < 0.25 * abs(free[1] - free[2]) and fair[0] > 1
