@@ -1,23 +1,27 @@
 """WARC archives (operator 3): writing, and reading by boundary-chain verification.
 
-Method. A record starts with the line ``WARC/1.1``, but so may a line inside a
-payload. Reading tasks therefore split archives at every such line, whatever
-it belongs to, and emit for each candidate record its offset and the offset of
-its successor, which follows from its Content-Length. Pointer jumping from the
-start of each file (hops double every round) keeps the candidates that the
-chain reaches; magic inside payloads is never reached. Payloads that hold such
-lines are put together from their pieces afterwards.
+Method. A record starts with a line ``WARC/1.0`` or ``WARC/1.1``, but so may a
+line inside a payload. Reading tasks therefore split archives at every such
+magic, whatever it belongs to, and emit for each candidate record its offset
+and the offset of its successor, which follows from its Content-Length.
+Pointer jumping from the start of each file (hops double every round) keeps the
+candidates that the chain reaches; magic inside payloads is never reached. The
+pointers are jumped inside each split first, which gives where a chain leaves
+it; only files of several splits then take rounds of joins, over splits.
+Payloads that hold magic are put together from their pieces afterwards.
 
 Scale. Archives are plain text files that Spark writes and splits; a reading
 task holds one record at a time, and hashes payloads where they are read. Only
-offsets take part in the jumping, which needs log2(records of a file) rounds.
-Equal payloads are grouped by digest with partial minima; a page joins them by
-digest, which Spark splits where one digest is common.
+offsets take part in the jumping: those of one split in a task, and
+log2(splits of a file) rounds of merge joins. Equal payloads are grouped by
+digest with partial minima; a page joins them by digest, which Spark splits
+where one digest is common.
 
 Defined results: a null html is an empty payload. Equal payloads of at least
 100 bytes: the rows with the smallest page_id are responses (all of them, if
 rows repeat), the others are revisits. Rows with a null page_id are responses.
-A revisit's length and digest are those of the response it refers to.
+A revisit's length and digest are those of the response it refers to. An empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +31,16 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, shared_dir, table
+from .common import bounded_batches, materialize, release, shared_dir, table
 
-MAGIC = "WARC/1.1\r\n"
+#: Every record starts with this, the minor version and a line end.
+MAGIC = "WARC/1."
+VERSIONS = (b"0\r\n", b"1\r\n")
 END = "\r\n\r\n"
 #: Shorter payloads are always stored in full.
 LEAST_REVISIT = 100
@@ -56,7 +63,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
     body = F.when(again, F.lit("")).otherwise(F.col("html"))
     head = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + "1\r\n"),
         F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response"),
         F.concat(F.lit(f"\r\nWARC-Record-ID: <{_ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url")),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
@@ -72,25 +79,23 @@ def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
 
 
 def _parse(value: bytes) -> tuple | None:
-    """(header length, content length, type, page_id, digest, refers_to) of what follows the magic."""
+    """(header length, content length, type, record id, digest, id referred to) of what follows the magic."""
     at = value.find(b"\r\n\r\n")
-    if at < 0:
+    if at < 0 or value[:3] not in VERSIONS:
         return None
     fields = {}
-    for line in value[:at].split(b"\r\n"):
+    for line in value[3:at].split(b"\r\n"):
         k, sep, v = line.partition(b":")
         if sep:
             fields.setdefault(k.strip().lower(), v.strip())
     size = fields.get(b"content-length", b"")
     if not size.isdigit() or b"warc-type" not in fields:
         return None
-    text = lambda k: fields.get(k, b"").decode("utf-8", "replace")
-    number = lambda k: text(k).strip("<>").removeprefix(_ID)
-    whole = lambda s: int(s) if s.lstrip("-").isdigit() else None
-    return at + 4, int(size), text(b"warc-type"), whole(number(b"warc-record-id")), text(b"warc-payload-digest").removeprefix("sha256:"), whole(number(b"warc-refers-to"))
+    text = lambda k: fields.get(k, b"").decode("utf-8", "replace").strip("<>")
+    return at + 4, int(size), text(b"warc-type"), text(b"warc-record-id"), text(b"warc-payload-digest").removeprefix("sha256:"), text(b"warc-refers-to") or None
 
 
-_CANDIDATE = "f long, block long, seq long, rel long, len long, head long, size long, type string, page_id long, digest string, refers_to long, sha string, value binary"
+_CANDIDATE = "f long, block long, seq long, rel long, len long, head long, size long, type string, record_id string, digest string, refers_to string, sha string, value binary"
 
 
 def candidates(spark: SparkSession, path: str, with_value: bool = False) -> DataFrame:
@@ -103,47 +108,90 @@ def candidates(spark: SparkSession, path: str, with_value: bool = False) -> Data
             rows = []
             for value, f, block in zip(*(c.to_pylist() for c in b.columns)):
                 at = place.setdefault((f, block), [0, 0])
-                head = size = kind = page = digest = refers = sha = None
+                head = size = kind = name = digest = refers = sha = None
                 if found := _parse(value):
-                    head, size, kind, page, digest, refers = found
+                    head, size, kind, name, digest, refers = found
                     if head + size <= len(value):
                         sha = hashlib.sha256(value[head : head + size]).hexdigest()
-                rows.append((f, block, at[1], at[0], len(value), head, size, kind, page, digest, refers, sha, value if with_value else None))
+                rows.append((f, block, at[1], at[0], len(value), head, size, kind, name, digest, refers, sha, value if with_value else None))
                 at[0] += len(value) + len(MAGIC)
                 at[1] += 1
-            kinds = [pa.int64()] * 7 + [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            names = ["f", "block", "seq", "rel", "len", "head", "size", "type", "page_id", "digest", "refers_to", "sha", "value"]
+            kinds = [pa.int64()] * 7 + [pa.string()] * 5 + [pa.binary()]
+            names = ["f", "block", "seq", "rel", "len", "head", "size", "type", "record_id", "digest", "refers_to", "sha", "value"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 13, kinds)], names=names)
 
     read = spark.read.option("lineSep", MAGIC).text(path)
     return read.select(F.col("value").cast("binary"), F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("block")).mapInArrow(run, _CANDIDATE)
 
 
-def reachable(chain: DataFrame) -> DataFrame:
-    """``chain(f, off, to)`` -> ``(f, off)`` that the chain reaches from offset 0 of each file, by pointer jumping."""
-    jump = chain.where("to is not null")
-    reached = chain.where("off = 0").select("f", "off").distinct()
-    while True:
-        more = reached.join(jump, ["f", "off"]).select("f", F.col("to").alias("off"))
-        known = chain.select("f", "off")
-        reached = materialize(reached.unionByName(more.join(known, ["f", "off"], "left_semi")).distinct(), "warc-reached")
+def _next(off: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Place of each candidate's successor among sorted offsets; -1 where it is not among them."""
+    at = np.searchsorted(off, to)
+    return np.where(off[np.minimum(at, len(off) - 1)] == to, at, -1)
+
+
+def _sorted_split(split: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    split = split.sort_by("off")
+    to = split.column("to").fill_null(-1)
+    return split, split.column("off").to_numpy(), to.to_numpy()
+
+
+def leaves(split: pa.Table) -> pa.Table:
+    """Where the chain from each candidate of a split goes when no candidate of the split follows."""
+    split, off, to = _sorted_split(split)
+    on = _next(off, to)
+    while (on >= 0).any():
+        to, on = np.where(on >= 0, to[on], to), np.where(on >= 0, on[on], -1)
+    return pa.table({"f": split.column("f"), "off": off, "to": to})
+
+
+def followed(split: pa.Table) -> pa.Table:
+    """The candidates of a split that the chain from its entries reaches."""
+    split, off, to = _sorted_split(split)
+    on, kept = _next(off, to), split.column("entry").to_numpy(zero_copy_only=False).copy()
+    while (on >= 0).any():
+        new = on[kept]
+        kept[new[new >= 0]] = True
+        on = np.where(on >= 0, on[on], -1)
+    return split.filter(pa.array(kept)).drop_columns("entry")
+
+
+def reachable(chain: DataFrame, starts: DataFrame) -> DataFrame:
+    """``starts(f, off)`` and all ``(f, off)`` that ``chain(f, off, to)`` reaches from them, by pointer jumping.
+
+    The joins are merged: their sides grow with the archives.
+    """
+    chain = materialize(chain, "warc-chain")
+    known, jump, reached = chain.select("f", "off"), chain, materialize(starts, "warc-reached")
+    while not jump.isEmpty():
+        more = reached.hint("merge").join(jump, ["f", "off"]).select("f", F.col("to").alias("off"))
+        old, reached = reached, materialize(reached.unionByName(more.hint("merge").join(known, ["f", "off"], "left_semi")).distinct(), "warc-reached")
         onward = jump.select("f", F.col("off").alias("to"), F.col("to").alias("next"))
-        jump = materialize(jump.join(onward, ["f", "to"]).select("f", "off", F.col("next").alias("to")), "warc-jump")
-        if jump.isEmpty():
-            return reached
+        last, jump = jump, materialize(jump.hint("merge").join(onward, ["f", "to"]).select("f", "off", F.col("next").alias("to")), "warc-jump")
+        release(old)
+        if last is not chain:
+            release(last)
+    return reached
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, type, payload_bytes, sha, digest, refers_to)`` of the records that the chains reach."""
-    found = materialize(candidates(spark, path), "warc-candidates").drop("value")
+    """``(record_id, type, payload_bytes, sha, digest, refers_to)`` of the records that the chains reach."""
+    found = materialize(candidates(spark, path).drop("value"), "warc-candidates")
     blocks = found.groupBy("f", "block").agg(F.sum(F.col("len") + len(MAGIC)).alias("bytes"))
-    base = F.coalesce(F.sum("bytes").over(Window.partitionBy("f").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = found.join(blocks.select("f", "block", base.alias("base")), ["f", "block"]).withColumn("off", F.col("base") + F.col("rel") - len(MAGIC))
-    placed = materialize(placed.where("off >= 0").withColumn("to", F.col("off") + len(MAGIC) + F.col("head") + F.col("size") + len(END)), "warc-placed")
-    kept = reachable(placed.select("f", "off", "to"))
-    true = placed.join(kept, ["f", "off"])
-    whole = true.where("sha is not null").select("page_id", "type", F.col("size").alias("payload_bytes"), "sha", "digest", "refers_to")
-    broken = materialize(true.where("sha is null and head is not null").select("f", "off", "to", "head", "size", "page_id", "type", "digest", "refers_to"), "warc-broken")
+    file = Window.partitionBy("f")
+    base = F.coalesce(F.sum("bytes").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = blocks.select("f", "block", base.alias("base"), F.count("*").over(file).alias("splits"))
+    placed = found.join(splits.hint("merge"), ["f", "block"]).withColumn("off", F.col("base") + F.col("rel") - len(MAGIC))
+    placed = placed.where("off >= 0").withColumn("to", F.col("off") + len(MAGIC) + F.col("head") + F.col("size") + len(END)).drop("rel", "len", "base")
+    placed = materialize(placed, "warc-placed")
+    release(found)
+    several = placed.where("splits > 1").select("f", "block", "off", "to")
+    entries = reachable(several.groupBy("f", "block").applyInArrow(leaves, "f long, off long, to long"), placed.where("off = 0").select("f", "off"))
+    flagged = placed.join(entries.hint("merge").withColumn("entry", F.lit(True)), ["f", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    schema = ", ".join(f"{n} {t}" for n, t in flagged.drop("entry").dtypes)
+    true = materialize(flagged.groupBy("f", "block").applyInArrow(followed, schema), "warc-true")
+    whole = true.where("sha is not null").select("record_id", "type", F.col("size").alias("payload_bytes"), "sha", "digest", "refers_to")
+    broken = materialize(true.where("sha is null and head is not null").select("f", "off", "to", "head", "size", "record_id", "type", "digest", "refers_to"), "warc-broken")
     if broken.isEmpty():
         return whole
     owners = broken.withColumn("span", F.explode(F.sequence(F.floor(F.col("off") / _SPAN), F.floor(F.col("to") / _SPAN)))).select("f", "span", F.col("off").alias("own"), "to")
@@ -155,7 +203,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     joined = F.aggregate(F.slice(F.col("parts"), F.lit(2), F.size("parts") - 1), F.element_at("parts", 1)["value"], lambda acc, x: F.concat(acc, magic, x["value"]))
     payload = F.expr("substring(joined, int(head) + 1, int(size))")
     put = held.select("f", "off", joined.alias("joined")).join(broken, ["f", "off"]).withColumn("payload", payload)
-    return whole.unionByName(put.select("page_id", "type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("sha"), "digest", "refers_to"))
+    return whole.unionByName(put.select("record_id", "type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("sha"), "digest", "refers_to"))
 
 
 def round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
@@ -163,10 +211,12 @@ def round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> Dat
     spark = pages.sparkSession
     path = path or os.path.join(shared_dir(spark), f"warc-{uuid.uuid4().hex}")
     write_archives(pages, path, **columns)
-    read = materialize(read_archives(spark, path), "warc-records")
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^{_ID}(-?[0-9]+)$', 1) as long)")
+    read = read_archives(spark, path).withColumn("page_id", number("record_id")).withColumn("refers_to", number("refers_to"))
+    read = materialize(read, "warc-records")
     full = read.where("type = 'response'")
-    known = full.groupBy("page_id", "sha").agg(F.min("payload_bytes").alias("bytes"))
-    again = read.where("type = 'revisit'").alias("r").join(known.alias("k"), (F.col("r.refers_to") == F.col("k.page_id")) & (F.col("r.digest") == F.col("k.sha")), "left")
+    known = full.groupBy("page_id", "sha").agg(F.min("payload_bytes").alias("bytes")).alias("k").hint("merge")
+    again = read.where("type = 'revisit'").alias("r").join(known, (F.col("r.refers_to") == F.col("k.page_id")) & (F.col("r.digest") == F.col("k.sha")), "left")
     again = again.select("r.page_id", F.col("k.bytes").alias("payload_bytes"), F.col("k.sha").alias("payload_digest"), F.col("r.type").alias("record_type"), "r.refers_to")
     return full.select("page_id", "payload_bytes", F.col("sha").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(again)
 

@@ -69,11 +69,60 @@ def test_secrets(spark):
     assert secrets.scan(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def any_match(nodes, rng):
+    """A random string that the parsed pattern matches."""
+    import re._parser as regex
+
+    out = []
+    for op, arg in nodes:
+        if op is regex.LITERAL:
+            out.append(rng.choice([chr(arg), chr(arg).upper()]) if arg in range(97, 123) and rng.any_case else chr(arg))
+        elif op is regex.IN:
+            kind, value = rng.choice(arg)
+            out.append(chr(value if kind is regex.LITERAL else rng.randint(*value)))
+        elif op is regex.SUBPATTERN:
+            out.append(any_match(arg[-1], rng))
+        elif op is regex.BRANCH:
+            out.append(any_match(rng.choice(arg[1]), rng))
+        else:
+            least, most, inner = arg
+            out += [any_match(inner, rng) for _ in range(rng.randint(least, min(int(most), least + 5)))]
+    return "".join(out)
+
+
+MORE_RULES = (
+    secrets.Rule("a", r"sk_(live|test)_[0-9a-zA-Z]{24}"), secrets.Rule("b", r"(ab|cd)+efg?h[0-9]*xyz"), secrets.Rule("c", r"AIza[0-9A-Za-z_-]{35}"),
+    secrets.Rule("d", r"a?b?c?d?e?fgh"), secrets.Rule("e", r"[ab][cd][ef][gh][ij]x"), secrets.Rule("f", r"(xy|[0-9]{3,})q"), secrets.Rule("g", r"(abc|abd|xbc)(efg)?tail"),
+)
+
+
 def test_trigram_queries_hold_in_every_match():
-    for rule in secrets.RULES:
-        for clause in secrets.trigram_query(rule):
-            assert clause and all(len(g) == 3 for g in clause)
-    assert secrets.trigram_query(secrets.RULES[2]) == []
+    import re
+    import re._parser as regex
+
+    rng = random.Random(11)
+    for rule in (*secrets.RULES, *MORE_RULES):
+        query = secrets.trigram_query(rule)
+        assert all(clause and all(len(g) == 3 for g in clause) for clause in query)
+        rng.any_case = "(?i" in rule.pattern
+        for _ in range(300):
+            found = any_match(regex.parse(rule.pattern), rng)
+            assert re.search(rule.pattern, found)
+            assert not query or any(all(g in found.lower() for g in clause) for clause in query)
+    assert secrets.trigram_query(secrets.RULES[2]) == [] and secrets.trigram_query(MORE_RULES[5]) == []
+    assert secrets.trigram_query(secrets.RULES[1]) == [["aki", "kia"]]
+    assert [["ken", "oke", "tok"]] == [c for c in secrets.trigram_query(secrets.RULES[0]) if "tok" in c]
+
+
+def test_secrets_of_many_rules(spark):
+    rng = random.Random(12)
+    import re._parser as regex
+
+    rng.any_case = False
+    rules = (*secrets.RULES, *MORE_RULES)
+    texts = [" ".join(any_match(regex.parse(rng.choice(rules).pattern), rng) for _ in range(rng.randint(0, 4))) for _ in range(200)]
+    got = Counter((r.doc_id, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans)) for r in secrets.scan(table(spark, texts), rules).collect())
+    assert got == Counter((i, secrets.plain_spans(t, rules)) for i, t in enumerate(texts))
 
 
 # ---- 2 ----
@@ -140,6 +189,27 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_archives_of_others(spark, tmp_path, split):
+    """Both versions, other ids, magic in payloads, several files and splits."""
+    rng = random.Random(13)
+    expected = Counter()
+    for f in range(3):
+        out = b""
+        for k in range(40):
+            body = rng.choice([b"", b"x" * 300, b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 3, b"WARC/1.", b"\r\n\r\nWARC/1.1\r\n"])
+            kind, name = rng.choice(["response", "request", "warcinfo"]), f"<urn:uuid:{f}-{k}>"
+            out += f"WARC/1.{rng.randint(0, 1)}\r\nWARC-Type: {kind}\r\nwarc-record-id: {name}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+            expected[(name.strip("<>"), kind, len(body), hashlib.sha256(body).hexdigest())] += 1
+        (tmp_path / f"{f}.warc").write_bytes(out)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        got = Counter((r.record_id, r.type, r.payload_bytes, r.sha) for r in warc.read_archives(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == expected
+
+
 # ---- 4 ----
 
 
