@@ -8,12 +8,17 @@ almost a whole window. Where the shift is zero, the bucket of that suffix
 block is opened, filtered by the first two words, and its windows are compared
 word by word.
 
-Scale. Documents are read once and never shuffled. The windows are dealt into
-blocks of at most ``BLOCK_WINDOWS``; the tables of one block are broadcast, so
-what is broadcast has a fixed bound, and larger benchmarks take more passes.
+Scale. Documents are read once and never shuffled. The pairs of a window and
+an item that has it are dealt into blocks of about ``BLOCK_PAIRS``; the tables
+of one block are broadcast, so what is broadcast has a fixed bound, even where
+many items share a window. Larger benchmarks take more passes, each over the
+table that the pass before it wrote.
 
 Defined results: a null or empty text has no words. Repeated rows each get a
-row. An item with a null id counts under the id "".
+row. An item with a null id counts under the id "". Empty tables of documents
+or items give no rows or no hits. Texts are searched whole, whatever their
+length. Of the columns to keep, those named like a result (n_words, n_hit,
+items) are replaced by it; other names never clash.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, materialize, release, table
 
 WINDOW = 10
-#: Windows whose tables are broadcast at a time (about 100 MB at the very most).
-BLOCK_WINDOWS = 200_000
+RESULTS = ("n_words", "n_hit", "items")
+#: Pairs of window and item whose tables are broadcast at a time (about 100 MB at the very most).
+BLOCK_PAIRS = 200_000
 #: Maps A-Z to a-z, keeps digits, letters and all bytes of non-ASCII characters, blanks the rest.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -81,7 +87,7 @@ class WordSearch:
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """``(window, item)``: the words of each window, space-joined, with the ids of the items that have it."""
+    """``(window, item)``: the words of each window, space-joined, with each item that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,16 +101,16 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(items, pa.string())], names=["window", "item"])
 
     chosen = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "window binary, item string").groupBy("window").agg(F.collect_set("item").alias("items"))
+    return chosen.mapInArrow(run, "window binary, item string").distinct()
 
 
-def searches(rows: list[tuple[bytes, list[str]]]) -> tuple[dict[bytes, int], list[WordSearch]]:
+def searches(rows: list[tuple[bytes, str]]) -> tuple[dict[bytes, int], list[WordSearch]]:
     """Word numbers and one search for each window length."""
     vocab: dict[bytes, int] = {}
-    by_size: dict[int, dict] = defaultdict(dict)
-    for window, items in rows:
+    by_size: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+    for window, item in rows:
         p = tuple(vocab.setdefault(w, len(vocab) + 1) for w in window.split(b" "))
-        by_size[len(p)][p] = items
+        by_size[len(p)][p].append(item)
     return vocab, [WordSearch(p, len(vocab) + 1) for p in by_size.values()]
 
 
@@ -121,14 +127,15 @@ def contamination(
     """All rows of ``docs`` with ``n_words, n_hit, items``; ``keep`` names further columns of ``docs`` to pass on."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    windows = materialize(item_windows(benchmark, item_id_col, item_text_col, window), "windows")
-    parts = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    cols = [F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c) for c in keep or []]]
+    pairs = materialize(item_windows(benchmark, item_id_col, item_text_col, window), "windows")
+    parts = max(1, -(-pairs.count() // BLOCK_PAIRS))
+    kept = [c for c in dict.fromkeys([id_col, text_col, *(keep or [])]) if c not in RESULTS]
     start = {"_n": F.lit(0).cast("long"), "_hits": F.lit(0).cast("long"), "_hit": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>")}
-    out = docs.select(*cols, *[c.alias(n) for n, c in start.items()])
+    row = F.struct(*[F.col(text_col).cast("string").alias(c) if c == text_col else F.col(c) for c in kept])
+    out, last = docs.select(row.alias("_row"), F.col(text_col).cast("string").alias("_text"), *[c.alias(n) for n, c in start.items()]), None
     for k in range(parts):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()
-        tables = spark.sparkContext.broadcast([(bytes(r["window"]), sorted(r["items"])) for r in rows])
+        rows = pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(parts)) == k).collect()
+        tables = spark.sparkContext.broadcast([(bytes(r["window"]), r["item"]) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             vocab, by_size = searches(tables.value)
@@ -157,8 +164,12 @@ def contamination(
         out = out.mapInArrow(run, out.schema)
         if k + 1 < parts:
             out = materialize(out, "decontaminate")
+            if last is not None:
+                release(last)
+            last = out
 
-    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *(keep or []), F.col("_n").alias("n_words"), F.col("_hits").alias("n_hit"), F.col("_items").alias("items"))
+    release(pairs)
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_n").alias("n_words"), F.col("_hits").alias("n_hit"), F.col("_items").alias("items"))
 
 
 def _digest(items: F.Column) -> F.Column:

@@ -224,9 +224,13 @@ def test_decontamination(spark, corpus, monkeypatch):
         return Counter(tuple(r) for r in found.select("doc_id", "n_words", "n_hit", decontaminate._digest(F.col("items"))).collect())
 
     assert run() == expected
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 20)  # several blocks of windows
+    monkeypatch.setattr(decontaminate, "BLOCK_PAIRS", 20)  # several blocks of windows
     assert run() == expected
     assert decontaminate.contamination(spark.createDataFrame([], EMPTY), bench).count() == 0
+    clash = table(spark, corpus[:9]).withColumn("_hit", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("n_hit", F.lit(-1)).withColumn("_text", F.lit(2))
+    found = decontaminate.contamination(clash, bench, keep=["_hit", "n_hit", "_row", "_text", "rank"])
+    assert found.columns == ["doc_id", "text", "_hit", "_row", "_text", "rank", "n_words", "n_hit", "items"]
+    assert {(r._hit, r._row, r._text, r.rank) for r in found.collect()} == {(1, "x", 2, "clash")} and found.where("n_hit < 0").count() == 0
     assert decontaminate.contamination(table(spark, corpus), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
