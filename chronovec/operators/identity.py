@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..storage import written
 
 
 def pairs(df: DataFrame, keys: list[str], id_: str, cols: list[str]) -> DataFrame:
@@ -115,10 +112,10 @@ def track_similarity(records: DataFrame, track: str, seq: str, ts: str, v: str,
     return p.join(recent, ["scene", f"{track}_a", f"{track}_b"]).select("scene", f"{track}_a", f"{track}_b", (0.4 * single + 0.4 * ensemble + 0.2 * F.col("recent")).alias("similarity"))
 
 
-def online_ids(df: DataFrame, keys: list[str], order: list[str], v: str, threshold: float) -> DataFrame:
+def online_ids(df: DataFrame, keys: list[str], order: list[str], v: str, threshold: float, first: bool = False) -> DataFrame:
     """Identity of each vector in order: the most similar stored one above the threshold, else a new one.
 
-    Each decision adds to the store the next one reads, so a key is one pass.
+    With ``first`` it is the first stored one above the threshold. Each decision adds to the store the next one reads, so a key is one pass.
     """
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +125,7 @@ def online_ids(df: DataFrame, keys: list[str], order: list[str], v: str, thresho
             x = np.asarray(x, float)
             x = x / max(np.linalg.norm(x), 1e-12)
             sims = store @ x if len(store) else np.zeros(0)
-            k = int(sims.argmax()) if len(sims) else -1
+            k = int((sims > threshold if first else sims).argmax()) if len(sims) else -1
             if k >= 0 and sims[k] > threshold:
                 store[k] = x
             else:
@@ -162,13 +159,9 @@ def greedy_merge(df: DataFrame, keys: list[str], id_: str, v: str, threshold: fl
 
 def _stars(links: DataFrame, scene: str, rounds: int) -> DataFrame:
     """``scene, i, root`` of every point with a link ``ia, ib``, by alternating star contraction; raises if it does not settle."""
-    spark = links.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
 
     def down(df: DataFrame) -> DataFrame:
-        path, df = os.path.join(base, f"stars-{uuid.uuid4().hex}"), df.where("u <> v").select(scene, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return written(df.where("u <> v").select(scene, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
 
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(scene, "u", "v").cast("decimal(38,0)"))).first())
     e = down(links.select(scene, F.col("ia").alias("u"), F.col("ib").alias("v")))

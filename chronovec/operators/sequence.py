@@ -166,25 +166,23 @@ def trim_segments(df: DataFrame, keys: list[str], frame: str, present: str, fps:
     An absence counts from its first frame to the next present frame. If
     nothing is left, or one segment under half a second, the whole stays.
     """
-    w = _w(keys, [frame])
     all_ = Window.partitionBy(*keys)
-    runs = with_runs(df, keys, [frame], F.col(present))
-    total = F.count("*").over(all_) / fps
-    d = runs.withColumns({"_total": total, "_last": F.max(frame).over(all_)})
-    absent = d.where(~F.col(present)).groupBy(*keys, "run_id").agg(F.min(frame).alias("a"), F.max(frame).alias("b"), F.max("_total").alias("total"), F.max("_last").alias("last"))
-    absent = absent.withColumn("open", F.col("b") == F.col("last"))
-    absent = absent.withColumn("until", F.when(F.col("open"), F.col("total")).otherwise((F.col("b") + 1) / fps)).where(F.col("until") - F.col("a") / fps >= gap)
-    ends = absent.select(*keys, F.col("a"), (F.col("a") / fps - buffer).alias("stop"), F.when(~F.col("open"), F.greatest(F.lit(0.0), F.col("until") - buffer)).alias("resume"))
-    whole = d.groupBy(*keys).agg(F.max("_total").alias("total"))
-    marks = whole.select(*keys, F.lit(None).cast("long").alias("a"), F.lit(None).cast("double").alias("stop"), F.lit(0.0).alias("resume")).unionByName(ends)
-    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("a"))
-    segs = marks.withColumn("_stop", F.lead("stop").over(order)).withColumn("_more", F.lead("a").over(order).isNotNull()).where("resume is not null")
-    segs = segs.join(whole, keys).select(*keys, F.col("resume").alias("start_s"), F.when(F.col("_more"), F.greatest("resume", "_stop")).otherwise(F.col("total")).alias("end_s"), "total")
-    segs = segs.where("end_s > start_s")
-    n = F.count("*").over(all_)
-    segs = segs.withColumn("_short", (n == 1) & (F.col("end_s") - F.col("start_s") < 0.5)).where(~F.col("_short"))
-    lost = whole.join(segs.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0.0).alias("start_s"), F.col("total").alias("end_s"), "total")
-    out = segs.drop("_short").unionByName(lost).where("end_s - start_s >= 0.1")
+    runs = with_runs(df, keys, [frame], F.col(present)).groupBy(*keys, "run_id").agg(F.min(frame).alias("a"), F.max(frame).alias("b"), F.first(present).alias("_in"), F.count("*").alias("_n"))
+    runs = runs.withColumns({"total": F.sum("_n").over(all_) / fps, "_open": F.col("b") == F.max("b").over(all_), "_first": F.row_number().over(all_.orderBy("a")) == 1})
+    until = F.when(F.col("_open"), F.col("total")).otherwise((F.col("b") + 1) / fps)
+    gone = ~F.col("_in") & (until - F.col("a") / fps >= gap)
+    mark = lambda a, stop, resume: F.struct(a.cast("long").alias("a"), stop.cast("double").alias("stop"), resume.cast("double").alias("resume"))
+    none, resume = F.lit(None), F.when(~F.col("_open"), F.greatest(F.lit(0.0), until - buffer))
+    both = F.array_compact(F.array(F.when(F.col("_first"), mark(none, none, F.lit(0.0))), F.when(gone, mark(F.col("a"), F.col("a") / fps - buffer, resume))))
+    marks = runs.select(*keys, "total", F.explode(both).alias("m")).select(*keys, "total", "m.*")
+    order = all_.orderBy(F.asc_nulls_first("a"))
+    end = F.when(F.lead("a").over(order).isNotNull(), F.greatest("resume", F.lead("stop").over(order))).otherwise(F.col("total"))
+    segs = marks.withColumn("end_s", end).withColumn("_ok", F.col("resume").isNotNull() & (F.col("end_s") > F.col("resume")))
+    segs = segs.withColumn("_good", F.col("_ok") & ~((F.count_if("_ok").over(all_) == 1) & (F.col("end_s") - F.col("resume") < 0.5)))
+    segs = segs.withColumn("_lost", F.col("a").isNull() & (F.count_if("_good").over(all_) == 0))  # nothing is left: the whole stays
+    lost = F.col("_lost")
+    out = segs.where("_good or _lost").select(*keys, F.when(lost, 0.0).otherwise(F.col("resume")).alias("start_s"), F.when(lost, F.col("total")).otherwise(F.col("end_s")).alias("end_s"), "total")
+    out = out.where("end_s - start_s >= 0.1")
     return out.select(*keys, F.greatest(F.lit(0.0), "start_s").alias("start_s"), F.least("total", "end_s").alias("end_s")).where("end_s > start_s")
 
 
@@ -206,16 +204,18 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
     """Exponential smoothing from the first value on (N8, N24); steps beyond ``jump`` are ignored.
 
     Each step needs the one before, so a key's rows are folded in order in one
-    task, in time linear in their number.
+    task, which holds them; missing values leave the last one.
     """
     schema = df.select(*df.columns, F.lit(None).cast("double").alias(name)).schema
 
     def fold(pdf):
         pdf = pdf.sort_values(order)
+        if jump is None:
+            return pdf.assign(**{name: pdf[value].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True).mean()})
         last, out = None, []
         for v in pdf[value]:
             if v == v and v is not None:
-                last = v if last is None else last if jump is not None and abs(v - last) > jump else alpha * v + (1 - alpha) * last
+                last = v if last is None else last if abs(v - last) > jump else alpha * v + (1 - alpha) * last
             out.append(last)
         return pdf.assign(**{name: out})
 

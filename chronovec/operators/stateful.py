@@ -256,30 +256,65 @@ def side_profiles(df: DataFrame, keys: list[str], frame: str, id_: str, v: str,
 def kalman(df: DataFrame, keys: list[str], order: str, x: str, y: str, gain: float = 0.3) -> DataFrame:
     """Smoothed place, velocity and confidence by a fixed gain.
 
-    The velocity is the change of the smoothed place; each step first moves on
-    by it. Confidence falls with uneven velocities.
+    Each step first moves on by the velocity, which then becomes the correction
+    that the measured place made. Confidence weighs the share of measured among
+    all steps (one half after the first) and the evenness of the last three
+    velocities, of which a step holds two: the one it moved by and the new one.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        p, speed, out, speeds = None, np.zeros(2), [], []
-        for z in pdf[[x, y]].to_numpy(float):
+        p, speed, out = None, np.zeros(2), []
+        for n, z in enumerate(pdf[[x, y]].to_numpy(float)):
+            sure = 0.0
             if p is None:
                 p = z.copy()
             else:
-                guess = p + speed
-                new = (1 - gain) * guess + gain * z
-                speed, p = new - guess, new
-            speeds.append(speed)
-            last = np.array(speeds[-3:])
-            even = max(0.0, 1 - last.std(axis=0).sum() / 50) if len(last) >= 3 else 1.0
-            out.append((*p, *speed, min(1.0, 0.7 + 0.3 * even)))
+                guess, before = p + speed, speed
+                p = (1 - gain) * guess + gain * z
+                speed = p - guess
+                even = max(0.0, 1 - np.std([before, before, speed], axis=0).sum() / 50) if n >= 2 else 1.0
+                sure = min(1.0, 0.7 * 0.5 + 0.3 * even)
+            out.append((*p, *speed, sure))
         return pd.concat([pdf[[*keys, order]].reset_index(drop=True), pd.DataFrame(out, columns=["sx", "sy", "vx", "vy", "confidence"])], axis=1)
 
     schema = df.select(*keys, order, *[F.lit(0.0).alias(c) for c in ("sx", "sy", "vx", "vy", "confidence")]).schema
     return df.select(*keys, order, x, y).groupBy(*keys).applyInPandas(run, schema)
 
 
+def kalman_boxes(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Predicted and corrected boxes of a constant-velocity filter over centre and size.
+
+    Columns p_x1 to p_y2 hold the box expected before a row is seen, f_x1 to
+    f_y2 the one after, and vx, vy the velocity of the centre.
+    """
+    # fixed values: noise of the measured centre and size, of the motion, and at the start
+    measured, motion, start = np.diag([10.0, 10.0, 25.0, 25.0]), 5.0 * np.array([[0.25, 0.5], [0.5, 1.0]]), 100.0
+    step = np.eye(8) + np.eye(8, k=4)
+    noise = np.kron(np.diag([1, 1, 0.01, 0.01]), motion)
+
+    def corners(s: np.ndarray) -> tuple:
+        return s[0] - s[2] / 2, s[1] - s[3] / 2, s[0] + s[2] / 2, s[1] + s[3] / 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        b, state, spread, out = pdf[BOX].to_numpy(float), None, start * np.eye(8), []
+        for z in np.column_stack(((b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2, b[:, 2] - b[:, 0], b[:, 3] - b[:, 1])):
+            if state is None:
+                state = np.append(z, np.zeros(4))
+                guess = state
+            else:
+                guess, spread = step @ state, step @ spread @ step.T + noise
+                gain = np.linalg.solve(spread[:4, :4] + measured, spread[:4]).T
+                state, spread = guess + gain @ (z - guess[:4]), spread - gain @ spread[:4]
+            out.append((*corners(guess), *corners(state), *state[4:6]))
+        return pd.concat([pdf[[*keys, order]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    names = [*(f"{p}_{c}" for p in "pf" for c in BOX), "vx", "vy"]
+    schema = df.select(*keys, order, *[F.lit(0.0).alias(c) for c in names]).schema
+    return df.select(*keys, order, *BOX).groupBy(*keys).applyInPandas(run, schema)
+
+
 def one_euro(df: DataFrame, keys: list[str], t: str, values: list[str], freq: float = 30.0, least: float = 1.0, beta: float = 0.007, d_cut: float = 1.0) -> DataFrame:
     """Low-pass filter whose cut-off follows the speed (N10); steps are of event time."""
 

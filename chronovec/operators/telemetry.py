@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -104,12 +106,13 @@ def best_fit_block(requests: DataFrame, blocks: DataFrame, keys: list[str], size
     """The smallest free block that holds a request, unless it wastes too much.
 
     Blocks and requests are put in one order of size within a pool, so a
-    window finds each request's next block; no pairs are formed.
+    running window, from the largest down, finds each request's next block; no
+    pairs are formed.
     """
     b = blocks.select(*keys, F.col(size).cast("double").alias("_s"), F.lit(1).alias("_kind"), F.struct(F.col(size).cast("double").alias("size"), "block_id").alias("_b"), F.lit(None).cast("long").alias("request_id"))
     r = requests.select(*keys, F.col(need).cast("double").alias("_s"), F.lit(0).alias("_kind"), F.lit(None).cast("struct<size:double,block_id:bigint>").alias("_b"), F.col("request_id").cast("long"))
-    w = Window.partitionBy(*keys).orderBy("_s", "_kind", F.col("_b.block_id")).rowsBetween(1, Window.unboundedFollowing)
-    found = b.unionByName(r).withColumn("_next", F.first("_b", ignorenulls=True).over(w)).where("_kind = 0")
+    w = Window.partitionBy(*keys).orderBy(F.desc("_s"), F.desc("_kind"), F.desc("_b.block_id")).rowsBetween(Window.unboundedPreceding, -1)
+    found = b.unionByName(r).withColumn("_next", F.last("_b", ignorenulls=True).over(w)).where("_kind = 0")
     fits = F.col("_next.size") <= most * F.col("_s")
     return found.select(*keys, "request_id", F.when(fits, F.col("_next.block_id")).alias("block_id"))
 
@@ -135,9 +138,10 @@ def scenario_summary(df: DataFrame, ok: Column, score: str, seconds: str) -> Dat
 def in_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Number rows into batches of a size, in order (M1).
 
-    Counts by range are summed first, so no task numbers all rows.
+    Counts by range are summed first, so no task numbers all rows. The ranges
+    are written once, as their bounds may differ from run to run.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    parts = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     local = parts.withColumn("_l", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     before = parts.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("batch", F.floor((F.col("_before") + F.col("_l")) / size)).drop("_p", "_l", "_before")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import records
+from ..sources import excel, reports
+from ..storage import scratch
 from .catalog import query, table
 
 COLS = ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]
@@ -25,6 +27,29 @@ def d1(spark, d) -> DataFrame:
     return records.upsert(*_sides(spark, d), "c_custkey")
 
 
+@query("a1_sheet_scan", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def a1(spark, d) -> DataFrame:
+    # a workbook for each region, read with the types that its cells have
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey", F.col("n_regionkey").alias("book"))
+    return excel.inferred(excel.parsed(excel.workbooks(n, "book"), ["n_nationkey", "n_name", "n_regionkey"]))
+
+
+@query("b1_write_back", f"WITH {SRC} SELECT coalesce(tgt.k, src.k) AS c_custkey, CASE WHEN src.k IS NOT NULL THEN src.n ELSE tgt.n END AS c_name, CASE WHEN src.k IS NOT NULL THEN src.m ELSE tgt.m END AS c_mktsegment, (CASE WHEN src.k IS NOT NULL THEN src.x ELSE tgt.x END)::VARCHAR AS c_nationkey FROM tgt FULL JOIN src ON tgt.k = src.k")
+def b1(spark, d) -> DataFrame:
+    # upserted rows written as a workbook for each nation, then read back
+    merged = records.upsert(*_sides(spark, d), "c_custkey").select(*COLS)
+    return excel.parsed(excel.workbooks(merged.withColumn("book", F.col("c_nationkey")), "book"), COLS)
+
+
+@query("b3_sample_log", "SELECT event_id, user_id, value FROM events")
+def b3(spark, d) -> DataFrame:
+    # samples appended in two runs, then read back
+    e, path = table(spark, d, "events").select("event_id", "user_id", "value"), scratch(spark, "samples")
+    for run in (0, 1):
+        reports.append_csv(e.where(F.col("event_id") % 2 == run), path)
+    return spark.read.schema(e.schema).option("header", True).csv(path)
+
+
 LOG = f"""{SRC}, lg AS (SELECT src.k AS c_custkey, tgt.k IS NULL AS isnew, concat_ws(', ', CASE WHEN tgt.n IS DISTINCT FROM src.n THEN 'c_name: ' || coalesce(tgt.n, 'None') || ' -> ' || coalesce(src.n, 'None') END,
 CASE WHEN tgt.m IS DISTINCT FROM src.m THEN 'c_mktsegment: ' || coalesce(tgt.m, 'None') || ' -> ' || coalesce(src.m, 'None') END, CASE WHEN tgt.x IS DISTINCT FROM src.x THEN 'c_nationkey: ' || coalesce(tgt.x::VARCHAR, 'None') || ' -> ' || coalesce(src.x::VARCHAR, 'None') END) AS ch
 FROM src LEFT JOIN tgt ON tgt.k = src.k), cl AS (SELECT c_custkey, CASE WHEN isnew THEN 'new' WHEN ch <> '' THEN 'changed' ELSE 'same' END AS status, CASE WHEN isnew THEN '' ELSE ch END AS changes FROM lg)"""

@@ -56,7 +56,13 @@ def f4(spark, d) -> DataFrame:
     return m.select("user_id", F.round("motion", 6).alias("motion"))
 
 
-@query("f9_speaker_change")
+_MODE = """(SELECT user_id, i, arg_min(who, (-n) * 1000000 + first) AS who FROM (SELECT a.user_id, a.i, b.who, count(*) AS n, min(b.i) AS first FROM o a JOIN o b ON a.user_id = b.user_id AND b.i BETWEEN a.i - {lo} AND a.i + {hi}
+WHERE b.who IS NOT NULL GROUP BY ALL) GROUP BY 1, 2)"""
+
+
+@query("f9_speaker_change", f"""WITH o AS (SELECT user_id, i, CASE WHEN present THEN event_type END AS who FROM tl)
+SELECT o.user_id, o.i, n.who AS now, b.who AS before, coalesce(n.who <> b.who, false) AS changed FROM o
+LEFT JOIN {_MODE.format(lo=4, hi=3)} n USING (user_id, i) LEFT JOIN {_MODE.format(lo=8, hi=-5)} b USING (user_id, i)""")
 def f9(spark, d) -> DataFrame:
     out = sequence.speaker_change(timeline(spark, d).withColumn("who", F.when(F.col("present"), F.col("event_type"))), KEY, "i", "who", 8)
     return out.select("user_id", "i", "now", "before", "changed")
@@ -373,13 +379,16 @@ def a5(spark, d) -> DataFrame:
     return timeline(spark, d).withColumn("_n", n).where(F.col("i") < F.least(F.floor(F.lit(0.2) * 60), F.col("_n"))).select("user_id", "i", "event_id")
 
 
-@query("n24_carried_ema")
+@query("n24_carried_ema", """WITH RECURSIVE o AS (SELECT user_id, i, CASE WHEN present THEN value END AS v, sum(present::INT) OVER (PARTITION BY user_id ORDER BY i) AS hits FROM tl),
+e AS (SELECT user_id, i, v AS s, hits FROM o WHERE i = 0 UNION ALL
+SELECT o.user_id, o.i, CASE WHEN o.v IS NULL THEN e.s WHEN e.s IS NULL THEN o.v ELSE 0.2 * o.v + 0.8 * e.s END, o.hits FROM e JOIN o ON o.user_id = e.user_id AND o.i = e.i + 1)
+SELECT user_id, i, round(s + 1e-9, 4) AS smooth, hits::BIGINT AS hits, (i + 1 - hits)::BIGINT AS misses FROM e""")
 def n24(spark, d) -> DataFrame:
     t = timeline(spark, d).select("user_id", "i", F.when(F.col("present"), F.col("value")).alias("value"))
     e = sequence.ema(t, KEY, ["i"], "value", 0.2)
     w = Window.partitionBy("user_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     hits = F.sum(F.col("value").isNotNull().cast("int")).over(w)
-    return e.select("user_id", "i", F.round("ema", 4).alias("smooth"), hits.alias("hits"), (F.col("i") + 1 - hits).alias("misses"))
+    return e.select("user_id", "i", F.round(F.col("ema") + 1e-9, 4).alias("smooth"), hits.alias("hits"), (F.col("i") + 1 - hits).alias("misses"))
 
 
 @query("a13_mock_segments")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..operators import stateful
+from ..storage import scratch
 from ..streaming import telemetry as streams
 from .catalog import boxes, query, table, timeline, vectors
 
@@ -22,10 +19,8 @@ def _scenes(spark, d) -> DataFrame:
     return boxes(spark, d).withColumn("scene", F.floor(F.col("frame") / 25))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see, where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+_IOU = """greatest(0, least(o.b.x2, x.x2) - greatest(o.b.x1, x.x1)) * greatest(0, least(o.b.y2, x.y2) - greatest(o.b.y1, x.y1))
+/ ((o.b.x2 - o.b.x1) * (o.b.y2 - o.b.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - greatest(0, least(o.b.x2, x.x2) - greatest(o.b.x1, x.x1)) * greatest(0, least(o.b.y2, x.y2) - greatest(o.b.y1, x.y1)))"""
 
 
 @query("n3_lifecycle_tracks")
@@ -49,7 +44,13 @@ def n21(spark, d) -> DataFrame:
     return stateful.side_profiles(b, ["scene"], "frame", "vec_id", "v", 550.0, 0.1)
 
 
-@query("n5_frame_assignment")
+@query("n5_frame_assignment", """WITH RECURSIVE c AS (SELECT b.frame, b.det, t.det AS track, 1 - CASE WHEN least(b.x2, t.x2) > greatest(b.x1, t.x1) AND least(b.y2, t.y2) > greatest(b.y1, t.y1)
+THEN (least(b.x2, t.x2) - greatest(b.x1, t.x1)) * (least(b.y2, t.y2) - greatest(b.y1, t.y1)) / (b.w * b.h + t.w * t.h - (least(b.x2, t.x2) - greatest(b.x1, t.x1)) * (least(b.y2, t.y2) - greatest(b.y1, t.y1))) ELSE 0 END AS cost
+FROM bx b JOIN bx t ON b.frame = t.frame + 1), n AS (SELECT frame, max(det) AS last FROM c GROUP BY 1),
+p AS (SELECT frame, 0 AS det, [track] AS tracks, [cost] AS costs FROM c WHERE det = 0 UNION ALL
+SELECT c.frame, c.det, list_append(p.tracks, c.track), list_append(p.costs, c.cost) FROM p JOIN c ON c.frame = p.frame AND c.det = p.det + 1 AND NOT list_contains(p.tracks, c.track)),
+b AS (SELECT p.frame, arg_min(tracks, list_sum(costs)) AS tracks, arg_min(costs, list_sum(costs)) AS costs FROM p JOIN n ON p.frame = n.frame AND p.det = n.last GROUP BY 1)
+SELECT * FROM (SELECT frame, unnest(range(0, len(tracks)))::BIGINT AS det, unnest(tracks) AS track, round(unnest(costs), 6) AS cost FROM b) WHERE cost <= 0.9""")
 def n5(spark, d) -> DataFrame:
     b = boxes(spark, d)
     t = b.select((F.col("frame") + 1).alias("frame"), F.col("det").alias("track"), *[F.col(c).alias(f"t_{c}") for c in stateful.BOX])
@@ -58,23 +59,56 @@ def n5(spark, d) -> DataFrame:
     return stateful.frame_assignment(c, ["frame"], "det", "track", "cost", 0.9).withColumn("cost", R("cost", 6))
 
 
-@query("n12_suppress")
+@query("n12_suppress", f"""WITH RECURSIVE o AS (SELECT frame, vec_id, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, vec_id) AS r FROM bx),
+k AS (SELECT frame, r, [b] AS kept, [vec_id] AS ids FROM o WHERE r = 1 UNION ALL
+SELECT frame, r, CASE WHEN most > 0.2 THEN kept ELSE list_append(kept, b) END, CASE WHEN most > 0.2 THEN ids ELSE list_append(ids, vec_id) END FROM (
+SELECT o.frame, o.r, o.vec_id, o.b, k.kept, k.ids, list_max(list_transform(k.kept, lambda x: {_IOU})) AS most FROM k JOIN o ON o.frame = k.frame AND o.r = k.r + 1))
+SELECT frame, unnest(ids) AS vec_id FROM (SELECT frame, arg_max(ids, r) AS ids FROM k GROUP BY frame)""")
 def n12(spark, d) -> DataFrame:
     return stateful.suppress(boxes(spark, d), ["frame"], "vec_id", "conf", 0.2)
 
 
-@query("n9_kalman")
+@query("n9_kalman", """WITH RECURSIVE o AS (SELECT user_id, i, t / 3600 AS h, value FROM tl),
+k AS (SELECT user_id, i, h AS sx, value AS sy, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS confidence FROM o WHERE i = 0 UNION ALL
+SELECT user_id, i, gx + ux, gy + uy, ux, uy, least(1.0, 0.35 + 0.3 * CASE WHEN i < 2 THEN 1.0 ELSE greatest(0.0, 1 - sqrt(2) / 3 * (abs(ux - vx) + abs(uy - vy)) / 50) END) FROM (
+SELECT o.user_id, o.i, sx + vx AS gx, sy + vy AS gy, 0.3 * (h - sx - vx) AS ux, 0.3 * (value - sy - vy) AS uy, vx, vy FROM k JOIN o ON o.user_id = k.user_id AND o.i = k.i + 1))
+SELECT user_id, i, round(sx + 1e-9, 4) AS sx, round(sy + 1e-9, 4) AS sy, round(vx + 1e-9, 4) AS vx, round(vy + 1e-9, 4) AS vy, round(confidence + 1e-9, 4) AS confidence FROM k""")
 def n9(spark, d) -> DataFrame:
     k = stateful.kalman(timeline(spark, d).withColumn("h", F.col("t") / 3600), ["user_id"], "i", "h", "value")
-    return k.select("user_id", "i", *[R(c).alias(c) for c in ("sx", "sy", "vx", "vy", "confidence")])
+    return k.select("user_id", "i", *[R(F.col(c) + 1e-9).alias(c) for c in ("sx", "sy", "vx", "vy", "confidence")])
+
+
+@query("n9_kalman_boxes")
+def n9_boxes(spark, d) -> DataFrame:
+    k = stateful.kalman_boxes(boxes(spark, d).withColumn("scene", F.floor(F.col("frame") / 25)), ["scene", "det"], "frame")
+    return k.select("scene", "det", "frame", *[R(c).alias(c) for c in k.columns[3:]])
+
 
+@query("n10_smoothed_prediction")
+def n10_predicted(spark, d) -> DataFrame:
+    # the box that the filter expects, smoothed in its turn
+    k = stateful.kalman_boxes(boxes(spark, d).withColumn("scene", F.floor(F.col("frame") / 25)), ["scene", "det"], "frame")
+    p = [f"p_{c}" for c in stateful.BOX]
+    e = stateful.one_euro(k.select("scene", "det", "frame", *p), ["scene", "det"], "frame", p)
+    return e.select("scene", "det", "frame", *[R(f"f_{c}").alias(c) for c in p])
 
-@query("n10_one_euro")
+
+@query("n10_one_euro", """WITH RECURSIVE o AS (SELECT user_id, i, t, value FROM tl),
+k AS (SELECT user_id, i, t, value AS f, 0.0::DOUBLE AS slope, 30.0::DOUBLE AS rate FROM o WHERE i = 0 UNION ALL
+SELECT user_id, i, t, a * value + (1 - a) * f, slope, rate FROM (SELECT *, 1 / (1 + rate / (2 * pi() * (1.0 + 0.007 * abs(slope)))) AS a FROM (
+SELECT *, d * raw + (1 - d) * s AS slope FROM (SELECT *, 1 / (1 + rate / (2 * pi())) AS d, CASE WHEN t > before THEN (value - f) * rate ELSE 0 END AS raw FROM (
+SELECT o.user_id, o.i, o.t, o.value, k.t AS before, k.f, k.slope AS s, CASE WHEN o.t > k.t THEN 0.9 * k.rate + 0.1 / (o.t - k.t) ELSE k.rate END AS rate
+FROM k JOIN o ON o.user_id = k.user_id AND o.i = k.i + 1)))))
+SELECT user_id, t, round(f + 1e-9, 4) AS value FROM k""")
 def n10(spark, d) -> DataFrame:
-    return stateful.one_euro(timeline(spark, d), ["user_id"], "t", ["value"]).select("user_id", "t", R("f_value").alias("value"))
+    return stateful.one_euro(timeline(spark, d), ["user_id"], "t", ["value"]).select("user_id", "t", R(F.col("f_value") + 1e-9).alias("value"))
 
 
-@query("n14_activations")
+@query("n14_activations", """WITH RECURSIVE o AS (SELECT user_id, i, least(value / 150, 1.0) AS r, event_id % 10 / 10.0 AS sure, event_id % 8 AS many FROM tl),
+k AS (SELECT user_id, i, 0.0::DOUBLE AS rate, r > 0.6 AND r >= 0.6 AS go, (r > 0.6)::INT AS n FROM o WHERE i = 0 UNION ALL
+SELECT user_id, i, rate, go, n + go::INT FROM (SELECT *, r > 0.6 AND (rate <= 0.15 OR r >= 0.7) AND (rate < 0.05 OR (sure >= 0.5 AND (many <= 5 OR r > 0.7))) AS go FROM (
+SELECT o.user_id, o.i, o.r, o.sure, o.many, k.n, k.n / o.i::DOUBLE AS rate FROM k JOIN o ON o.user_id = k.user_id AND o.i = k.i + 1)))
+SELECT user_id, i, rate, go AS activated FROM k""")
 def n14(spark, d) -> DataFrame:
     t = timeline(spark, d).select("user_id", "i", (F.least(F.col("value") / 150, F.lit(1.0))).alias("risk"), (F.col("event_id") % 10 / 10.0).alias("sure"), (F.col("event_id") % 8).alias("affected"))
     return stateful.activations(t, ["user_id"], "i", "risk", "sure", "affected")
@@ -91,6 +125,17 @@ def s2(spark, d) -> DataFrame:
     return streams.finish_all(streams.windows(streams.read_stream(spark, f"{d}/events.parquet"), "ts", "6 hours", "60 days", ["event_type"], "value"), scratch(spark)).withColumn("mean", R("mean", 6))
 
 
+@query("s4_late_rows", """WITH m AS (SELECT epoch_ms(max(ts)) AS newest FROM events WHERE event_id % 4 IN (1, 2))
+SELECT event_id, user_id FROM events, m WHERE event_id % 4 <> 0 OR epoch_us(ts) > (newest - 172800000) * 1000""")
+def s4(spark, d) -> DataFrame:
+    # rows are late by the watermark that the batch before them ended with: every fourth event comes in a third
+    # file, and the watermark of the first drops those over two days late
+    e, path = table(spark, d, "events").select("event_id", "user_id", "ts"), scratch(spark)
+    for part in ("event_id % 4 in (1, 2)", "event_id % 4 = 3", "event_id % 4 = 0"):
+        e.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return streams.finish(streams.once(streams.read_stream(spark, f"{path}/in"), "event_id", "ts", "2 days").select("event_id", "user_id"), path)
+
+
 @query("s5_once", "SELECT event_id, user_id, value FROM events")
 def s5(spark, d) -> DataFrame:
     e = streams.read_stream(spark, f"{d}/events.parquet")
@@ -102,16 +147,17 @@ def s5(spark, d) -> DataFrame:
 def u2(spark, d) -> DataFrame:
     from ..operators.callbacks import per_item
 
-    return per_item(table(spark, d, "pages").select("page_id", "html"), lambda r: {"page_id": r["page_id"], "n": len(r["html"])}, "page_id long, n long")
+    return per_item(table(spark, d, "pages").select("page_id", "html"), lambda r: {"page_id": r["page_id"], "n": None if r["html"] is None else len(r["html"])}, "page_id long, n long")
 
 
 @query("u4_model_hook", "SELECT vec_id, round(list_sum(v), 6) AS total FROM vec")
 def u4(spark, d) -> DataFrame:
+    import numpy as np
     import pandas as pd
 
     from ..operators.callbacks import with_model
 
-    load = lambda: lambda b: pd.DataFrame({"vec_id": b["vec_id"], "total": [sum(v) for v in b["v"]]})
+    load = lambda: lambda b: pd.DataFrame({"vec_id": b["vec_id"], "total": np.stack(b["v"]).sum(axis=1)})
     return with_model(vectors(spark, d).select("vec_id", "v"), load, "vec_id long, total double").withColumn("total", R("total", 6))
 
 
@@ -126,7 +172,7 @@ def s3(spark, d) -> DataFrame:
 def a6(spark, d) -> DataFrame:
     from ..sources import feed
 
-    rows = [(r["n_nationkey"], r["n_name"]) for r in table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(100).collect()]
+    rows = [(r["n_nationkey"], r["n_name"]) for r in table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]  # the made-up service holds the nations
 
     def client(offset: int, limit: int) -> list[dict]:
         return [{"update_id": k, "text": n} for k, n in rows if k >= offset][:limit]

@@ -158,26 +158,36 @@ def c13(spark, d) -> DataFrame:
     return vectors(spark, d).withColumn("v", F.when(F.col("vec_id") % 4 != 0, F.col("v"))).where(F.col("v").isNotNull()).select("vec_id")
 
 
-@query("d3_within_pairs", "SELECT a.label, a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.label < 3")
-def d3(spark, d) -> DataFrame:
-    return identity.pairs(vectors(spark, d).where("label < 3"), ["label"], "vec_id", ["vec_id"])
-
-
 def _scenes(spark, d) -> DataFrame:
     return vectors(spark, d).withColumn("scene", F.floor(F.col("vec_id") / 100))
 
 
-@query("d3_within_all_pairs", "SELECT a.vec_id // 100 AS scene, a.label, a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM vec a JOIN vec b ON a.vec_id // 100 = b.vec_id // 100 AND a.label = b.label AND a.vec_id < b.vec_id")
-def d3_all(spark, d) -> DataFrame:
+@query("d3_within_pairs", "SELECT a.vec_id // 100 AS scene, a.label, a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM vec a JOIN vec b ON a.vec_id // 100 = b.vec_id // 100 AND a.label = b.label AND a.vec_id < b.vec_id")
+def d3(spark, d) -> DataFrame:
     return identity.pairs(_scenes(spark, d), ["scene", "label"], "vec_id", ["vec_id"])
 
 
-@query("n1_online_ids")
+_UNIT = "u AS (SELECT vec_id // 100 AS scene, vec_id, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS r, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS x FROM vec)"
+_ONLINE = """WITH RECURSIVE {unit}, k AS (SELECT scene, vec_id, r, [x] AS store, 1::BIGINT AS k FROM u WHERE r = 1 UNION ALL
+SELECT scene, vec_id, r, CASE WHEN spot > 0 THEN list_concat(list_append(store[1 : spot - 1], x), store[spot + 1 :]) ELSE list_append(store, x) END, CASE WHEN spot > 0 THEN spot ELSE len(store) + 1 END FROM (
+SELECT *, coalesce({choice}, 0) AS spot FROM (SELECT u.scene, u.vec_id, u.r, u.x, k.store, list_transform(k.store, lambda s: list_inner_product(s, u.x)) AS sims FROM k JOIN u ON u.scene = k.scene AND u.r = k.r + 1)))
+SELECT scene, vec_id, k - 1 AS identity FROM k"""
+
+
+@query("n1_online_ids", _ONLINE.format(unit=_UNIT, choice="CASE WHEN list_max(sims) > 0.3 THEN list_position(sims, list_max(sims)) END"))
 def n1(spark, d) -> DataFrame:
     return identity.online_ids(_scenes(spark, d).select("scene", "vec_id", "v"), ["scene"], ["vec_id"], "v", 0.3)
 
 
-@query("n2_greedy_merge")
+@query("n1_first_ids", _ONLINE.format(unit=_UNIT, choice="list_position(list_transform(sims, lambda s: s > 0.3), true)"))
+def n1_first(spark, d) -> DataFrame:
+    return identity.online_ids(_scenes(spark, d).select("scene", "vec_id", "v"), ["scene"], ["vec_id"], "v", 0.3, first=True)
+
+
+@query("n2_greedy_merge", f"""WITH RECURSIVE {_UNIT}, k AS (SELECT scene, vec_id, r, [{{'i': vec_id, 'x': x}}] AS reps, vec_id AS representative FROM u WHERE r = 1 UNION ALL
+SELECT scene, vec_id, r, CASE WHEN rep IS NULL THEN list_append(reps, {{'i': vec_id, 'x': x}}) ELSE reps END, coalesce(rep, vec_id) FROM (
+SELECT u.scene, u.vec_id, u.r, u.x, k.reps, list_filter(k.reps, lambda p: list_inner_product(p.x, u.x) >= 0.3)[1].i AS rep FROM k JOIN u ON u.scene = k.scene AND u.r = k.r + 1))
+SELECT scene, vec_id, representative FROM k""")
 def n2(spark, d) -> DataFrame:
     return identity.greedy_merge(_scenes(spark, d), ["scene"], "vec_id", "v", 0.3)
 

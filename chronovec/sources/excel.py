@@ -1,30 +1,126 @@
-"""Spreadsheet scans (A1) and write-back (B1).
+"""Spreadsheet scans (A1) and write-back (B1), with the standard library only.
 
 Spreadsheets are small by their format (a sheet has about a million rows at
-most), so one is read by one task; many are read side by side.
+most), so one is read or written by one task; many are handled side by side.
 """
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
-def read_sheets(spark: SparkSession, path: str, columns: list[str], sheet: str | int = 0) -> DataFrame:
-    """Rows of a sheet of every workbook under ``path``, all as strings, header in the first row; blanks are null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
+def _place(ref: str) -> int:
+    """Number of a cell's column, from 0."""
+    n = 0
+    for c in re.match("[A-Z]+", ref).group():
+        n = n * 26 + ord(c) - 64
+    return n - 1
+
+
+def _letters(n: int) -> str:
+    return (_letters(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
+
+
+def sheet_rows(content: bytes, sheet: str | int = 0) -> list[list[str | None]]:
+    """Cells of a sheet, by name or number, as strings; blanks are None."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).findall(f"{_MAIN}sheets/{_MAIN}sheet")
+    found = sheets[sheet] if isinstance(sheet, int) else next(s for s in sheets if s.get("name") == sheet)
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    target = links[found.get(_LINK)]
+    path = target[1:] if target[0] == "/" else f"xl/{target}"
+    shared = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+    rows = []
+    for row in ElementTree.fromstring(book.read(path)).iter(f"{_MAIN}row"):
+        cells: list[str | None] = []
+        for c in row:
+            at = _place(c.get("r")) if c.get("r") else len(cells)
+            cells += [None] * (at + 1 - len(cells))
+            value = c.find(f"{_MAIN}v")
+            text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else None if value is None else value.text
+            cells[at] = shared[int(text)] if c.get("t") == "s" and text else text or None
+        rows.append(cells)
+    return rows
+
+
+def workbook(header: list[str], rows: list[tuple], sheet: str = "Sheet1") -> bytes:
+    """A workbook of one sheet; numbers stay numbers, all else is text."""
+
+    def cell(value, ref: str) -> str:
+        if value is None or value != value:
+            return ""
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return f'<c r="{ref}"><v>{value!r}</v></c>'
+        return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    lines = [f'<row r="{n}">' + "".join(cell(v, f"{_letters(k)}{n}") for k, v in enumerate(r)) + "</row>" for n, r in enumerate([tuple(header), *rows], 1)]
+    head, office = '<?xml version="1.0" encoding="UTF-8"?>', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    files = {
+        "[Content_Types].xml": f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'{head}<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{office}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'{head}<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
 
+def parsed(books: DataFrame, columns: list[str], sheet: str | int = 0, content: str = "content") -> DataFrame:
+    """Rows of a sheet of every workbook of ``books``, all as strings, header in the first row; blanks are null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
-                found = pd.read_excel(io.BytesIO(content), sheet_name=sheet, dtype=str)
-                yield found.reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
+            for book in b["content"]:
+                header, *rows = sheet_rows(book, sheet) or [[]]
+                at = {n: k for k, n in enumerate(header)}
+                yield pd.DataFrame([[r[at[c]] if c in at and at[c] < len(r) else None for c in columns] for r in rows if any(x is not None for x in r)], columns=columns, dtype=object)
+
+    return books.select(F.col(content).alias("content")).mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+
+
+def read_sheets(spark: SparkSession, path: str, columns: list[str], sheet: str | int = 0) -> DataFrame:
+    """Rows of a sheet of every workbook under ``path``, as strings (A1)."""
+    return parsed(spark.read.format("binaryFile").load(path), columns, sheet)
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    """String columns as whole numbers or numbers, where all their values are (A1)."""
+    whole = [F.bool_and(F.col(c).isNull() | F.expr(f"try_cast(`{c}` as long)").isNotNull()).alias(f"{k}w") for k, c in enumerate(df.columns)]
+    number = [F.bool_and(F.col(c).isNull() | F.expr(f"try_cast(`{c}` as double)").isNotNull()).alias(f"{k}n") for k, c in enumerate(df.columns)]
+    found = df.agg(*whole, *number).first()
+    kind = lambda k: "long" if found[f"{k}w"] else "double" if found[f"{k}n"] else "string"
+    return df.select(*[F.col(c).cast(kind(k)).alias(c) for k, c in enumerate(df.columns)])
+
+
+def workbooks(df: DataFrame, book: str) -> DataFrame:
+    """``(book, content)``: a workbook of the rows of each value of ``book`` (B1); a workbook's rows are held by one task."""
+    columns = [c for c in df.columns if c != book]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf[columns].astype(object).where(pdf[columns].notna(), None).itertuples(index=False)
+        return pd.DataFrame({book: pdf[book].iloc[:1], "content": [workbook(columns, [tuple(r) for r in rows])]})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+    return df.groupBy(book).applyInPandas(run, df.select(book, F.lit(b"").alias("content")).schema)
 
 
 def write_merged(merged: DataFrame, path: str) -> None:

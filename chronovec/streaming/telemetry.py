@@ -35,38 +35,54 @@ def restored(frames: DataFrame, keys: list[str], frame: str, value: str) -> Data
     return span.join(frames.select(*keys, frame, value), [*keys, frame], "left")
 
 
+DAY = 86400
+
+
 class Expiring(StatefulProcessor):
-    """Last value of each key, dropped when it is older than the time to live."""
+    """Last value of each key (S3, G4); a timer drops it once the watermark is past its time to live."""
 
     def __init__(self, ttl: float) -> None:
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "t double, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         # a key's rows of a micro-batch come in chunks, which are in no order
         pdf, out = pd.concat(list(rows)), []
         before = self.last.get() if self.last.exists() else None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         for t, v in pdf.sort_values([c for c in ("t", "event_id") if c in pdf], kind="stable")[["t", "value"]].itertuples(index=False):
             alive = before is not None and t - before[0] <= self.ttl
             out.append((key[0], t, alive, before[1] if alive else None))
             before = (t, v)
         self.last.update(before)
+        self.handle.registerTimer(int((before[0] + self.ttl + DAY) * 1000) + 1)
         yield pd.DataFrame(out, columns=["key", "t", "alive", "previous"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def expiring(stream: DataFrame, key: str, ttl: float) -> DataFrame:
-    """Rows ``key, t, value`` with the value that the store still held (S3).
+def expiring(stream: DataFrame, key: str, ttl: float, late: str = "0 seconds") -> DataFrame:
+    """Rows ``key, t, value`` with the value that the store still held (S3); t is in seconds, from 0 on.
+
+    Keys whose value is past its time to live leave the state, so it holds the
+    live ones only. Rows later than the watermark (``late``) are dropped.
 
     Rows are in order of t, then of event_id where there is one, within a
     micro-batch; micro-batches are taken as they arrive. ``held`` gives the
     same for a finished table, in order throughout.
     """
-    return stream.groupBy(key).transformWithStateInPandas(Expiring(ttl), "key long, t double, alive boolean, previous double", "Append", "None")
+    # a day on, as rows at the time where watermarks start would count as late
+    timed = stream.withColumn("_at", F.timestamp_seconds(F.col("t") + DAY)).withWatermark("_at", late)
+    return timed.groupBy(key).transformWithStateInPandas(Expiring(ttl), "key long, t double, alive boolean, previous double", "Append", "EventTime")
 
 
 def held(df: DataFrame, key: str, order: list[str], t: str, value: str, ttl: float) -> DataFrame:
@@ -85,15 +101,17 @@ def finish(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 def finish_all(stream: DataFrame, path: str) -> DataFrame:
     """Run an aggregating stream over all that is there and keep its last state of every group.
 
-    Each micro-batch replaces the table, so the table is the aggregate of all
-    rows read so far.
+    Each micro-batch writes the aggregate of all rows read so far as a table of
+    its own, and the newest is read: a lost batch is written again, and readers
+    of an older table are not disturbed.
     """
 
-    def put(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/data")
+    def put(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/data/batch={n}")
 
     stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
+    found = stream.sparkSession.read.parquet(f"{path}/data")
+    return found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]).select(*stream.columns)
 
 
 def notify(stream: DataFrame, checkpoint: str, send) -> None:

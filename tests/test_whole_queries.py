@@ -7,7 +7,7 @@ def test_all_keys_are_there(spark, sf_dir, duck):
     rows = lambda name: catalog.QUERIES[name](spark, sf_dir)
     some = lambda sql: duck.execute(sql).fetchone()[0]
     users = some("SELECT count(DISTINCT user_id) FROM events")
-    assert rows("d3_within_all_pairs").select("label").distinct().count() > 3
+    assert rows("d3_within_pairs").select("label").distinct().count() > 3
     for name in ("d6_zip_all_timelines", "d7_lag_correlation_all"):
         assert rows(name).select("user_id").distinct().count() == users - 1
     assert rows("g6_best_fit_all").count() == some("SELECT count(*) FROM part WHERE p_partkey % 3 <> 0")
