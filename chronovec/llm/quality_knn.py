@@ -1,8 +1,8 @@
 """Quality classifier (operator 5): nearest-neighbour voting in a latent-semantic space.
 
-Method. A text becomes counts of hashed terms: the form of its words (case,
-length, trailing marks), its marks, and bands of its repetition, line and
-length statistics. Labelled texts give inverse document frequencies and, by a
+Method. A text becomes counts of hashed terms: its words, their forms (case,
+length, trailing marks), and bands of its repetition, line and length
+statistics. Labelled texts give inverse document frequencies and, by a
 truncated singular value decomposition of the weighted term matrix, the latent
 space. The labelled vectors are broadcast; every document is projected, its
 cosine with all labelled vectors is computed exactly, a block of documents at
@@ -17,7 +17,10 @@ and never shuffled.
 Defined results: a null or empty text is scored like any other. Null labels
 and ids are not learned from. Without any usable label every score is 0.5.
 Repeated rows each get a row; of repeated ids in ``labels`` the lowest label
-counts.
+counts, of their texts the first in order. All labelled vectors that are as
+near as the last of the ``NEIGHBOURS`` vote too. An empty table gives an empty
+result. Other columns are kept; one that is named like the score is replaced.
+Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -133,9 +136,9 @@ def vote(x: np.ndarray, model: dict, neighbours: int = NEIGHBOURS, block: int =
         return out
     for lo in range(0, len(x), block):
         sims = _unit(x[lo : lo + block] @ model["space"]) @ model["labelled"].T
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(sims, near, 1), 1e-6) ** 8
-        out[lo : lo + block] = (weight * labels[near]).sum(axis=1) / weight.sum(axis=1)
+        kth = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k, None]
+        weight = np.where(sims >= kth, np.square(np.square(np.square(np.maximum(sims, 1e-6).astype(float)))), 0)
+        out[lo : lo + block] = weight @ labels / weight.sum(axis=1)
     return np.clip(out, 0.0, 1.0)
 
 
@@ -145,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: s
     usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = usable.groupBy("_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(_vectors(texts.join(F.broadcast(chosen), "_id"), ["_id", "y"]), "quality-sample").orderBy("_id", "keys").collect()
+    texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))  # a row for each id, so the bound holds
+    found = materialize(_vectors(texts, ["_id", "y"]), "quality-sample").orderBy("_id", "keys").collect()
     return fit([(r["keys"], r["counts"], r["y"]) for r in found]) if found else {"idf": np.ones(TERMS, np.float32), "space": np.zeros((TERMS, 1), np.float32), "labelled": np.zeros((0, 1)), "labels": np.zeros(0)}
 
 

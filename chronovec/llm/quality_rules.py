@@ -17,7 +17,11 @@ text of n words costs n log n. Windows are told apart by a 64-bit hash.
 
 Defined results: a null or empty text has zero statistics and fails the base
 rule. Repeated rows each get a row; null ids pass through. Without usable
-labels the list is empty and only the base rule decides.
+labels the list is empty and only the base rule decides; of repeated ids in
+``labels`` the lowest label counts, of their texts the first in order. An empty
+table gives an empty result. Other columns are kept; those named like a
+statistic, base_failed or kept are replaced. Texts are read whole, whatever
+their length.
 """
 
 from __future__ import annotations
@@ -173,7 +177,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col:
     usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("_q")).where(F.col("_q").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = usable.groupBy("_id").agg(F.min("_q").alias("_q")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    found = statistics(texts.join(F.broadcast(chosen), "_id")).select("_id", (1 - F.col("_q")).alias("y"), *[feature(n).alias(n) for n in FEATURES])
+    texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_q").agg(F.min("text").alias("text"))  # a row for each id, so the bound holds
+    found = statistics(texts).select("_id", (1 - F.col("_q")).alias("y"), *[feature(n).alias(n) for n in FEATURES])
     return sorted((r.asDict() for r in found.collect()), key=lambda r: r["_id"])
 
 

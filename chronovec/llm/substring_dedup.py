@@ -26,7 +26,9 @@ are dealt singly, by their whole content.
 
 Defined results: a null or empty text has no bytes. Rows that share a doc_id
 are one document to the others and never dedup each other. Rows with a null
-doc_id neither lose bytes nor cause others to.
+doc_id neither lose bytes nor cause others to. An empty table gives an empty
+result; other columns are ignored, whatever their names. A text longer than a
+block is a block of its own.
 """
 
 from __future__ import annotations
