@@ -117,16 +117,17 @@ def entropy(df: DataFrame, keys: list[str], bin_: str, bits: int) -> DataFrame:
     return p.groupBy(*keys).agg((-F.sum(F.col("_p") * F.log2("_p")) / bits).alias("entropy"))
 
 
-def mock_segments(tracks: DataFrame, key: str, duration: str, speakers: int = 2, most: int = 1000) -> DataFrame:
+def mock_segments(tracks: DataFrame, key: str, duration: str, speakers: int = 2) -> DataFrame:
     """Made-up speech turns (A13): 3 to 8 s long, half a second to two of silence, a new speaker seven times in ten.
 
     Draws are hashes of the key and the turn, so every run gives the same rows.
     """
-    draw = lambda salt: F.pmod(F.crc32(F.concat_ws(":", F.col(key).cast("string"), F.col("turn").cast("string"), F.lit(salt)).cast("binary")), F.lit(1000)) / 1000.0
-    n = F.least(F.ceil(F.col(duration) / 3.5).cast("int"), F.lit(most))
-    t = tracks.select(key, duration, F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("turn"))
+    hashed = lambda salt: F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("turn").cast("string"), F.lit(salt)).cast("binary"))
+    draw = lambda salt: F.conv(F.substring(hashed(salt), 1, 8), 16, 10).cast("long") % 1000 / 1000.0
+    n = F.ceil(F.col(duration) / 3.5).cast("int")
+    t =tracks.select(key, duration, F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("turn"))
     t = t.withColumns({"_len": 3 + 5 * draw("length"), "_gap": 0.5 + 1.5 * draw("gap"), "_next": (draw("next") < 0.7).cast("int"), "confidence": 0.7 + 0.2 * draw("sure")})
     before = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumns({"start_time": F.coalesce(F.sum(F.col("_len") + F.col("_gap")).over(before), F.lit(0.0)), "_turns": F.coalesce(F.sum("_next").over(before), F.lit(0))})
     t = t.withColumns({"end_time": F.least(F.col("start_time") + F.col("_len"), F.col(duration)), "speaker": F.concat(F.lit("SPEAKER_"), F.lpad(F.pmod("_turns", F.lit(speakers)).cast("string"), 2, "0"))})
-    return t.where(F.col("end_time") - F.col("start_time") >= 0.5).select(key, "turn", "speaker", "start_time", "end_time", "confidence")
+    return t.where(F.col("end_time") - F.col("start_time") >= 0.5 - 1e-9).select(key, "turn", "speaker", "start_time", "end_time", "confidence")

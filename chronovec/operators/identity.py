@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -74,17 +76,102 @@ def summary(x: str) -> list[Column]:
     return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), p(0.10).alias("p10"), p(0.15).alias("p15"), p(0.90).alias("p90")]
 
 
+#: Parts of the range of similarities, and then of such a part, that percentiles are looked up in.
+BINS = 1 << 15
+_QUANTILES = {"p10": 0.10, "p15": 0.15, "p90": 0.90}
+_HISTOGRAM = "kind int, bin long, n long, total double, squares double, least double, most double"
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """``rows(kind, key, id, v)`` dealt to pairs of chunks of their key: any two rows of a key meet in one cell, and no cell is large."""
+    parts = rows.groupBy("kind", "key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
+    dealt = rows.join(parts, ["kind", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("kind", "key", "id", "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+
+def _similarities(cell: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Cosines of every two rows of a cell, in steps; 0 for a zero vector."""
+    cell = cell.sort_values("id")
+    x, ids, own = np.array(cell.v.tolist(), float), cell.id.to_numpy(), cell.own.to_numpy()
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    a, b = cell.a.iloc[0], cell.b.iloc[0]
+    left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+    for lo in range(0, len(left), 512):
+        rows = left[lo : lo + 512]
+        sims = np.clip(x[rows] @ x[right].T, -1, 1)
+        yield sims[ids[rows][:, None] < ids[right][None]] if a == b else sims.ravel()
+
+
+def _histogram(cells: DataFrame, within: dict[int, list[int]] | None = None) -> pd.DataFrame:
+    """Counts, sums and ends of the similarities by bin, at most ``BINS`` for each kind; or by the parts of the few bins ``within``."""
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        kind, out = int(cell.kind.iloc[0]), []
+        for s in _similarities(cell):
+            place = (s + 1) * (BINS / 2)
+            at = np.minimum(place.astype(np.int64), BINS - 1)
+            if within is not None:
+                some = np.isin(at, within[kind])
+                s, place, at = s[some], place[some], at[some]
+                at = at * BINS + np.minimum(((place - at) * BINS).astype(np.int64), BINS - 1)
+            if len(s):
+                order = np.argsort(at, kind="stable")
+                s, at = s[order], at[order]
+                heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                sums = [np.add.reduceat(s, heads), np.add.reduceat(s * s, heads), np.minimum.reduceat(s, heads), np.maximum.reduceat(s, heads)]
+                out.append(pd.DataFrame(dict(zip(names, [kind, at[heads], np.diff(np.append(heads, len(s))), *sums]))))
+        return pd.concat(out) if out else pd.DataFrame([], columns=names)
+
+    names = [c.split()[0] for c in _HISTOGRAM.split(", ")]
+    found = cells.groupBy("kind", "key", "a", "b").applyInPandas(run, _HISTOGRAM).groupBy("kind", "bin")
+    sums = [F.sum(c).alias(c) for c in ("n", "total", "squares")]
+    return found.agg(*sums, F.min("least").alias("least"), F.max("most").alias("most")).toPandas().sort_values(["kind", "bin"])
+
+
+def pair_summaries(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """The ``summary`` of the cosines of all pairs that share a key, for each kind: one row, columns by kind.
+
+    ``rows`` hold ``kind`` (place in ``kinds``), ``key``, ``id`` and ``v``. Pairs
+    are formed as blocks of matrix products and leave their task as a
+    histogram of bounded size. Percentiles come from a second, finer one of
+    the bins that hold them: exact where a part of a bin has one value, within
+    1e-9 otherwise.
+    """
+    cells, found, spots = _cells(rows), {}, {}
+    coarse = {int(k): h for k, h in _histogram(cells).groupby("kind")}
+    for k, h in coarse.items():
+        n, mean = int(h.n.sum()), h.total.sum() / h.n.sum()
+        found[k] = {"n": n, "mean": mean, "std": max(0.0, h.squares.sum() / n - mean * mean) ** 0.5, "min": h.least.min(), "max": h.most.max()}
+        spots[k] = {r: int(np.searchsorted(h.n.cumsum(), r, "right")) for q in _QUANTILES.values() for r in (int((n - 1) * q), min(int((n - 1) * q) + 1, n - 1))}
+    fine = _histogram(cells, {k: [int(h.bin.iloc[j]) for j in set(spots[k].values())] for k, h in coarse.items()}) if coarse else None
+
+    def ranked(k: int, r: int) -> float:
+        h, j = coarse[k], spots[k][r]
+        part = fine[(fine.kind == k) & (fine.bin // BINS == h.bin.iloc[j])]
+        at = min(int(np.searchsorted(part.n.cumsum(), r - int(h.n.iloc[:j].sum()), "right")), len(part) - 1)
+        return float(part.least.iloc[at] + part.most.iloc[at]) / 2
+
+    for k, s in found.items():
+        for name, q in _QUANTILES.items():
+            x = (s["n"] - 1) * q
+            low, high = ranked(k, int(x)), ranked(k, min(int(x) + 1, s["n"] - 1))
+            s[name] = low + (x - int(x)) * (high - low)
+    names = ("n", "mean", "std", "min", "max", *_QUANTILES)
+    row = [s.get(n, 0 if n == "n" else None) for s in (found.get(k, {}) for k in range(len(kinds))) for n in names]
+    schema = ", ".join(f"{kind}_{n} {'long' if n == 'n' else 'double'}" for kind in kinds for n in names)
+    return rows.sparkSession.createDataFrame([tuple(x if x is None or isinstance(x, int) else float(x) for x in row)], schema)
+
+
 def adaptive_threshold(df: DataFrame, person: str, order: str, v: str, least: int = 5, low: float = 0.6, high: float = 0.95) -> DataFrame:
     """Threshold between same-person and different-person similarities.
 
     Same: all pairs within a person. Different: the first vectors of persons.
     """
-    same = pairs(df, [person], order, [v]).select(V.cosine(F.col(f"{v}_a"), F.col(f"{v}_b")).alias("sim"))
-    first = df.groupBy(person).agg(F.min_by(v, order).alias("v")).withColumn("_k", F.lit(1))
-    other = pairs(first, ["_k"], person, ["v"]).select(V.cosine(F.col("v_a"), F.col("v_b")).alias("sim"))
-    s = same.agg(*[c.alias(f"same_{n}") for c, n in zip(summary("sim"), ("n", "mean", "std", "min", "max", "p10", "p15", "p90"))])
-    o = other.agg(*[c.alias(f"other_{n}") for c, n in zip(summary("sim"), ("n", "mean", "std", "min", "max", "p10", "p15", "p90"))])
-    both = s.join(o)  # one row each
+    same = df.select(F.lit(0).alias("kind"), F.col(person).cast("string").alias("key"), F.col(order).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"))
+    first = df.where(F.col(person).isNotNull()).groupBy(person).agg(F.min(order).cast("long").alias("id"), F.min_by(v, order).cast("array<double>").alias("v"))
+    both = pair_summaries(same.unionByName(first.select(F.lit(1).alias("kind"), F.lit("").alias("key"), "id", "v")), ["same", "other"])
     apart = F.col("same_min") > F.col("other_max")
     partly = F.col("same_mean") - F.col("same_std") > F.col("other_mean") + F.col("other_std")
     enough = (F.col("same_n") >= least) & (F.col("other_n") >= least)

@@ -27,26 +27,34 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_x")).select(key, *[F.col(f"_x.{c}").alias(c) for c in cols])
 
 
-def _merged(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+def _merged(target: DataFrame, source: DataFrame, key: str, order: str | None = None) -> DataFrame:
     cols = [c for c in target.columns if c != key]
-    side = lambda df, p: df.select(F.col(key).cast("string").alias(key), F.lit(True).alias(f"{p}here"), *[F.col(c).alias(f"{p}{c}") for c in cols])
+    source = last_by_key(source.withColumn(key, F.col(key).cast("string")), key, order) if order else source
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        own = df.select(F.col(key).cast("string").alias(key), F.lit(True).alias(f"{p}here"), *[F.col(c).alias(f"{p}{c}") for c in cols])
+        # the window's shuffle and sort by key are the join's own
+        n = F.count("*").over(Window.partitionBy(key))
+        again = F.when((F.col("_n") > 1) & F.col(key).isNotNull(), F.raise_error(F.concat(F.lit("repeated key: "), F.col(key)))).otherwise(F.lit(True))
+        return own.withColumn("_n", n).where(again).drop("_n")
+
     return side(target, "t_").join(side(source, "s_"), key, "full_outer")
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Target rows with the source's values where keys meet, and the source's new rows.
 
-    One hash join on the key; keys compare as strings (C3) and must be unique
-    on either side.
+    One join on the key; keys compare as strings (C3). Of source rows with one
+    key the last in ``order`` counts; other repeated keys raise an error.
     """
     cols = [c for c in target.columns if c != key]
-    return _merged(target, source, key).select(key, *[F.when(F.col("s_here"), F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c) for c in cols])
+    return _merged(target, source, key, order).select(key, *[F.when(F.col("s_here"), F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c) for c in cols])
 
 
-def change_log(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+def change_log(target: DataFrame, source: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """What an upsert does to each source key: ``status`` new, changed or same, ``changes`` as text."""
     cols = [c for c in target.columns if c != key]
-    j = _merged(target, source, key).where("s_here")
+    j = _merged(target, source, key, order).where("s_here")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     diffs = F.array_compact(F.array(*[F.when(~F.col(f"t_{c}").cast("string").eqNullSafe(F.col(f"s_{c}").cast("string")), F.concat(F.lit(f"{c}: "), text(f"t_{c}"), F.lit(" -> "), text(f"s_{c}"))) for c in cols]))
     status = F.when(F.col("t_here").isNull(), "new").when(F.size(diffs) > 0, "changed").otherwise("same")
@@ -84,9 +92,13 @@ def page(messages: DataFrame, thread: str, turn: str, limit: int) -> DataFrame:
     return r.groupBy(thread).agg(F.min(turn).alias("first_id"), F.max(F.when(F.col("_r") <= limit, F.col(turn))).alias("last_id"), F.least(F.count("*"), F.lit(limit)).alias("n"), (F.count("*") > limit).alias("has_more"))
 
 
-def history(messages: DataFrame, thread: str, turn: str, role: str, text: str) -> DataFrame:
-    """Each message with the conversation so far."""
-    w = Window.partitionBy(thread).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+def history(messages: DataFrame, thread: str, turn: str, role: str, text: str, last: int | None = None) -> DataFrame:
+    """Each message with the conversation so far (N19), or its ``last`` messages.
+
+    The whole of it grows with the square of a thread's length; long threads
+    need ``last``.
+    """
+    w = Window.partitionBy(thread).orderBy(turn).rowsBetween(Window.unboundedPreceding if last is None else 1 - last, 0)
     return messages.select(thread, turn, F.collect_list(F.struct(F.col(role).alias("role"), F.col(text).alias("content"))).over(w).alias("history"))
 
 

@@ -391,7 +391,15 @@ def n24(spark, d) -> DataFrame:
     return e.select("user_id", "i", F.round(F.col("ema") + 1e-9, 4).alias("smooth"), hits.alias("hits"), (F.col("i") + 1 - hits).alias("misses"))
 
 
-@query("a13_mock_segments")
+_DRAW = "(('0x' || md5(user_id || ':' || turn || ':{}')[1:8])::BIGINT % 1000 / 1000.0::DOUBLE)"
+
+
+@query("a13_mock_segments", f"""WITH t AS (SELECT user_id, duration, unnest(range(0, greatest(ceil(duration / 3.5)::BIGINT, 1))) AS turn FROM (SELECT user_id, count(*) * 2.0::DOUBLE AS duration FROM tl GROUP BY 1)),
+w AS (SELECT *, 3 + 5 * {_DRAW.format('length')} AS len, 0.5 + 1.5 * {_DRAW.format('gap')} AS gap, ({_DRAW.format('next')} < 0.7)::INT AS nxt, 0.7 + 0.2 * {_DRAW.format('sure')} AS confidence FROM t),
+s AS (SELECT *, coalesce(sum(len + gap) OVER p, 0) AS start_time, coalesce(sum(nxt) OVER p, 0)::BIGINT AS turns FROM w WINDOW p AS (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, least(start_time + len, duration) AS end_time FROM s)
+SELECT user_id, turn::INT AS turn, 'SPEAKER_' || lpad((turns % 2)::VARCHAR, 2, '0') AS speaker, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, round(confidence, 6) AS confidence
+FROM e WHERE end_time - start_time >= 0.5 - 1e-9""")
 def a13(spark, d) -> DataFrame:
     u = timeline(spark, d).groupBy("user_id").agg((F.count("*") * 2.0).alias("duration"))
     s = audio.mock_segments(u, "user_id", "duration")

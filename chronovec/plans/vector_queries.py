@@ -35,7 +35,7 @@ SELECT vec_id, round(coalesce(1 - list_cosine_similarity(v, x), 1), 6) AS cosine
 FROM vec LEFT JOIN q USING (label)""")
 def j3(spark, d) -> DataFrame:
     v = vectors(spark, d)
-    p = V.mean_prototype(v.where("label < 9"), ["label"], "v")
+    p = V.mean_prototype(v.where("label < 9"), ["label"], "v")  # label 9 shows what a vector without a prototype gets
     j = v.join(p, "label", "left")
     return j.select("vec_id", R6(V.prototype_distance(F.col("v"), F.col("proto"))).alias("cosine_distance"), R6(V.prototype_distance(F.col("v"), F.col("proto"), False)).alias("distance"))
 
@@ -192,6 +192,10 @@ def n2(spark, d) -> DataFrame:
     return identity.greedy_merge(_scenes(spark, d), ["scene"], "vec_id", "v", 0.3)
 
 
-@query("n11_dbscan")
+@query("n11_dbscan", """WITH RECURSIVE p AS (SELECT a.vec_id AS ia, b.vec_id AS ib FROM vec a JOIN vec b ON a.vec_id // 100 = b.vec_id // 100 AND 1 - list_cosine_similarity(a.v, b.v) <= 0.7),
+c AS (SELECT ia FROM p GROUP BY 1 HAVING count(*) >= 4), l AS (SELECT ia, ib FROM p WHERE ia IN (SELECT ia FROM c) AND ib IN (SELECT ia FROM c)),
+r AS (SELECT ia AS i, ia AS root FROM c UNION SELECT l.ib, r.root FROM r JOIN l ON l.ia = r.i),
+o AS (SELECT i, min(root) AS own FROM r GROUP BY 1), n AS (SELECT p.ia AS i, min(own) AS near FROM p JOIN o ON o.i = p.ib GROUP BY 1)
+SELECT vec_id // 100 AS scene, vec_id, coalesce(own, near) AS cluster FROM vec LEFT JOIN o ON o.i = vec_id LEFT JOIN n ON n.i = vec_id""")
 def n11(spark, d) -> DataFrame:
     return identity.dbscan(_scenes(spark, d), "scene", "vec_id", "v", 0.7, 4)
