@@ -20,9 +20,10 @@ of a block are combined, and they meet by minimizer, where the transform of
 those that differ is built, a bounded piece at a time. (3) The smallest
 doc_id of each window goes back to the block, which cuts its texts.
 
-Skew. A passage that very many documents share is sent once by each block. A
-minimizer with more than ``HOT`` occurrences is not kept together: its windows
-are dealt singly, by their whole content.
+Skew. A passage that very many documents share is sent once by each block, and
+once by each ``FAN`` blocks where there are more. A minimizer with more than
+``HOT`` occurrences is not kept together: its windows are dealt singly, by
+their whole content.
 
 Defined results: a null or empty text has no bytes. Rows that share a doc_id
 are one document to the others and never dedup each other. Rows with a null
@@ -34,7 +35,7 @@ block is a block of its own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ BUCKET = 8 << 20
 LEAST_BUCKETS = 64
 #: Occurrences beyond which the windows of a minimizer are dealt singly.
 HOT = 5000
+#: Blocks beyond which those that share a bucket are combined in parts, each of so many or so.
+FAN = 4096
 #: Windows of a segment at most, and bytes of segments whose transform is built at a time.
 RUN = 1024
 PIECE = 2 << 20
@@ -300,25 +303,48 @@ def _emit_hashes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["bucket", "block", "hashes", "more"])
 
 
-def _share(rows: pa.Table) -> pa.Table:
-    """Which hashes of each block occur in another document, and which occur very often."""
+def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of some blocks in order, the place of each row's hashes among them, which occur in another document, and how often."""
     hashes = [np.frombuffer(x, "<u4") for x in rows.column("hashes").to_pylist()]
     more = [_unpack(x) for x in rows.column("more").to_pylist()]
     sizes = [len(h) for h in hashes]
-    values = np.concatenate(hashes)
     times = np.concatenate([np.frombuffer(m[: 2 * n], "<u2") for m, n in zip(more, sizes)]).astype(np.int64)
     several = np.concatenate([np.unpackbits(np.frombuffer(m[2 * n :], np.uint8))[:n] for m, n in zip(more, sizes)]).astype(bool)
-    _, back, count = np.unique(values, return_inverse=True, return_counts=True)
+    found, back, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     back = back.ravel()
     shared = count > 1
     np.logical_or.at(shared, back, several)
-    hot = np.bincount(back, weights=times) > HOT
-    shared, hot = shared[back], (hot & shared)[back]
+    return found, back, shared, np.bincount(back, weights=times)
+
+
+def _answers(rows: pa.Table, shared: np.ndarray, hot: np.ndarray) -> pa.Table:
+    """Bits for the hashes of each block, which follow one another in ``shared`` and ``hot``."""
+    sizes = [len(x) // 4 for x in rows.column("hashes").to_pylist()]
     cut = np.cumsum([0, *sizes])
     masks = [(np.packbits(shared[a:b]).tobytes(), np.packbits(hot[a:b]).tobytes() if hot[a:b].any() else b"") if shared[a:b].any() else (b"", b"") for a, b in zip(cut[:-1], cut[1:])]
     return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "n": pa.array(sizes, pa.int64()), "shared": pa.array([m[0] for m in masks], pa.binary()), "hot": pa.array([m[1] for m in masks], pa.binary())})
 
 
+def _share(rows: pa.Table) -> pa.Table:
+    """Which hashes of each block occur in another document, and which occur very often."""
+    _, back, shared, times = _summed(rows)
+    return _answers(rows, shared[back], (shared & (times > HOT))[back])
+
+
+def _combine_hashes(rows: pa.Table) -> pa.Table:
+    """The blocks of a part as one."""
+    found, _, shared, times = _summed(rows)
+    more = _pack(np.minimum(times, 65535).astype("<u2").tobytes() + np.packbits(shared).tobytes())
+    return pa.table({"bucket": rows.column("bucket")[:1], "block": rows.column("part")[:1], "hashes": pa.array([found.astype("<u4").tobytes()], pa.binary()), "more": pa.array([more], pa.binary())})
+
+
+def _spread_shared(rows: pa.Table, found: pa.Table) -> pa.Table:
+    """The answer to a part, for each of its blocks."""
+    _, back, _, _ = _summed(rows)
+    shared, hot = _masks(found.to_pylist())
+    return _answers(rows, shared[back], hot[back])
+
+
 def _masks(found: list | None) -> tuple[np.ndarray, np.ndarray]:
     """Shared and hot, by distinct hash of the block in bucket order."""
     shared, hot = [np.zeros(0, bool)], [np.zeros(0, bool)]
@@ -348,12 +374,8 @@ def _emit_segments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "block", "texts", "sizes", "keys", "low"])
 
 
-def _meet(rows: pa.Table) -> pa.Table:
-    """Smallest doc_id for the windows of all segments of a bucket.
-
-    Segments that no other of their minimizer differs from need no transform:
-    equal segments have been combined.
-    """
+def _distinct_segments(rows: pa.Table) -> tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct segments of some blocks, the places of each block's among them, their keys and smallest doc_ids."""
     known: dict[bytes, int] = {}
     keys, lows, segs = [], [], []
     for texts, sizes, key, low in zip(*(rows.column(n).to_pylist() for n in ("texts", "sizes", "keys", "low"))):
@@ -368,6 +390,50 @@ def _meet(rows: pa.Table) -> pa.Table:
     np.minimum.at(low, seg, np.concatenate(lows))
     key = np.zeros(len(texts), np.uint32)
     key[seg] = np.concatenate(keys)
+    return texts, segs, key, low
+
+
+def _minima(rows: pa.Table, segs: list[np.ndarray], low: np.ndarray, windows: dict[int, np.ndarray]) -> pa.Table:
+    """For each block the smallest doc_id of each of its segments, or a mark where they differ, and then those of the windows of the marked."""
+    even, out = low.copy(), []
+    even[np.fromiter(windows, np.int64, len(windows))] = np.iinfo(np.int64).min
+    for own in segs:
+        out.append(_pack(np.concatenate([even[own], *[windows[k] for k in own.tolist() if k in windows]]).astype("<i8").tobytes()))
+    return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "minima": pa.array(out, pa.binary())})
+
+
+def _combine_segments(rows: pa.Table) -> pa.Table:
+    """The blocks of a part as one; segments in order."""
+    texts, _, key, low = _distinct_segments(rows)
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    sizes = np.array([len(texts[k]) for k in order], "<u4")
+    cols = [_pack(b"".join(texts[k] for k in order)), _pack(sizes.tobytes()), key[order].astype("<u4").tobytes(), _pack(low[order].astype("<i8").tobytes())]
+    named = {n: pa.array([c], pa.binary()) for n, c in zip(("texts", "sizes", "keys", "low"), cols)}
+    return pa.table({"bucket": rows.column("bucket")[:1], "block": rows.column("part")[:1], **named})
+
+
+def _spread_minima(rows: pa.Table, found: pa.Table) -> pa.Table:
+    """The answer to a part, for each of its blocks."""
+    texts, segs, _, _ = _distinct_segments(rows)
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    answer = np.frombuffer(_unpack(found.column("minima")[0].as_py()), "<i8")
+    low, at, windows = np.empty(len(texts), np.int64), len(texts), {}
+    low[order] = answer[: len(texts)]
+    for k in order:
+        if low[k] == np.iinfo(np.int64).min:
+            width = len(texts[k]) - LENGTH + 1
+            windows[k] = answer[at : at + width]
+            at += width
+    return _minima(rows, segs, low, windows)
+
+
+def _meet(rows: pa.Table) -> pa.Table:
+    """Smallest doc_id for the windows of all segments of a bucket.
+
+    Segments that no other of their minimizer differs from need no transform:
+    equal segments have been combined.
+    """
+    texts, segs, key, low = _distinct_segments(rows)
     order = np.argsort(key, kind="stable")
     cut = np.concatenate(([0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(order)]))
     windows: dict[int, np.ndarray] = {}
@@ -389,14 +455,21 @@ def _meet(rows: pa.Table) -> pa.Table:
         if size >= PIECE:
             flush()
     flush()
-    out = []
-    for own in segs:
-        varied = [k for k in own.tolist() if k in windows] if windows else []
-        even = low[own].copy()
-        if varied:
-            even[np.isin(own, list(windows))] = np.iinfo(np.int64).min
-        out.append(_pack(np.concatenate([even, *[windows[k] for k in varied]]).astype("<i8").tobytes()))
-    return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "minima": pa.array(out, pa.binary())})
+    return _minima(rows, segs, low, windows)
+
+
+def _answered(rows: DataFrame, parts: int, meet: Callable, combine: Callable, spread: Callable, answer: str) -> DataFrame:
+    """``meet`` over the rows of each bucket, of which a block has one.
+
+    With several parts, the blocks of a part are first combined to one row, in
+    which what they share is held once, and its answer goes back to them: no
+    group holds more than ``FAN`` rows or so, however many blocks share a passage.
+    """
+    if parts == 1:
+        return rows.groupBy("bucket").applyInArrow(meet, answer)
+    dealt = materialize(rows.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))), "dedup-parts")
+    met = dealt.groupBy("bucket", "part").applyInArrow(combine, rows.schema).groupBy("bucket").applyInArrow(meet, answer)
+    return dealt.groupBy("bucket", "part").cogroup(met.withColumnRenamed("block", "part").groupBy("bucket", "part")).applyInArrow(spread, answer)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -446,14 +519,14 @@ def _finish(batches: Iterator[pa.RecordBatch], buckets: int, with_text: bool) ->
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for each row; ``kept`` is null unless asked for."""
     blocks = materialize(_blocks(docs, id_col, text_col), "dedup-blocks")
-    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET))
+    total, count = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.count("*")).first()
+    buckets, parts = max(LEAST_BUCKETS, -(-(total or 0) // BUCKET)), max(1, -(-count // FAN))
     hashes = blocks.mapInArrow(lambda it: _emit_hashes(it, buckets), "bucket long, block long, hashes binary, more binary")
-    shared = hashes.groupBy("bucket").applyInArrow(_share, "bucket long, block long, n long, shared binary, hot binary")
+    shared = _answered(hashes, parts, _share, _combine_hashes, _spread_shared, "bucket long, block long, n long, shared binary, hot binary")
     masks = materialize(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "shared", "hot")).alias("masks")), "dedup-masks")
     marked = blocks.join(masks, "block")
     segments = marked.mapInArrow(lambda it: _emit_segments(it, buckets), "bucket long, block long, texts binary, sizes binary, keys binary, low binary")
-    met = segments.groupBy("bucket").applyInArrow(_meet, "bucket long, block long, minima binary")
+    met = _answered(segments, parts, _meet, _combine_segments, _spread_minima, "bucket long, block long, minima binary")
     minima = materialize(met.groupBy("block").agg(F.collect_list(F.struct("bucket", "minima")).alias("minima")), "dedup-minima")
     full = blocks.join(masks, "block", "left").join(minima, "block", "left")
     return full.mapInArrow(lambda it: _finish(it, buckets, with_text), _RESULT)

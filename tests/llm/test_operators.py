@@ -147,6 +147,16 @@ def test_substring_dedup_with_hot_minimizers_and_small_blocks(spark, corpus, mon
     assert got == Counter(substring_dedup.plain_dedup(list(zip(ids, corpus))))
 
 
+@pytest.mark.parametrize("hot", [3, 5000])
+def test_substring_dedup_with_blocks_combined_in_parts(spark, corpus, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "FAN", 3)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 1500)
+    ids = ids_with_gaps(len(corpus))
+    got = Counter(tuple(r)[:5] for r in substring_dedup.dedup_substrings(table(spark, corpus, ids=ids)).collect())
+    assert got == Counter(substring_dedup.plain_dedup(list(zip(ids, corpus))))
+
+
 @pytest.mark.parametrize("length", [7, 12, 50])
 def test_interval_expansion(length):
     rng = random.Random(2)
