@@ -1,4 +1,4 @@
-"""Queries of the stateful operators and of streams. Most have no SQL form; tests hold them against small fixtures."""
+"""Queries of the stateful operators and of streams; those without an SQL form are held against small fixtures by the tests."""
 
 from __future__ import annotations
 
@@ -43,7 +43,14 @@ def n16(spark, d) -> DataFrame:
     return stateful.two_slot_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 5, 100.0)
 
 
-@query("n21_side_profiles")
+@query("n21_side_profiles", """WITH RECURSIVE f AS (SELECT b.frame // 25 AS scene, b.frame, CASE WHEN (b.x1 + b.x2) / 2 < 550 THEN 'L' ELSE 'R' END AS side, b.vec_id, b.w * b.h AS area,
+list_transform(e.v, lambda y: y / sqrt(list_inner_product(e.v, e.v))) AS x FROM bx b JOIN vec e ON e.vec_id = b.vec_id),
+g AS (SELECT scene, side, frame, row_number() OVER (PARTITION BY scene, side ORDER BY frame) AS r, list({'id': vec_id, 'x': x} ORDER BY vec_id) AS c, list(area ORDER BY vec_id) AS a FROM f GROUP BY scene, side, frame),
+k AS (SELECT scene, side, frame, r, [c[list_position(a, list_max(a))].x] AS bank, c[list_position(a, list_max(a))].id AS id, 'largest' AS how FROM g WHERE r = 1 UNION ALL
+SELECT scene, side, frame, r, CASE WHEN most > 0.1 THEN list_append(bank, c[list_position(sims, most)].x)[-64:] ELSE bank END, CASE WHEN most > 0.1 THEN c[list_position(sims, most)].id ELSE c[list_position(a, list_max(a))].id END,
+CASE WHEN most > 0.1 THEN 'profile' ELSE 'largest' END FROM (SELECT *, list_max(sims) AS most FROM (SELECT *, list_transform(c, lambda z: list_inner_product(z.x, proto) / sqrt(list_inner_product(proto, proto))) AS sims FROM (
+SELECT g.*, k.bank, list_transform(range(1, 65), lambda j: list_aggregate(list_transform(k.bank, lambda y: y[j]), 'median')) AS proto FROM k JOIN g ON g.scene = k.scene AND g.side = k.side AND g.r = k.r + 1))))
+SELECT scene, frame, side, id AS vec_id, how FROM k""")
 def n21(spark, d) -> DataFrame:
     b = _scenes(spark, d).join(vectors(spark, d).select("vec_id", "v"), "vec_id")
     return stateful.side_profiles(b, ["scene"], "frame", "vec_id", "v", 550.0, 0.1)
