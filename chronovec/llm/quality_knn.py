@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, held_out, materialize, table
 
 SAMPLE_ROWS = 4000
-TERMS = 2048
+TERMS = 4096
+#: What an occurrence of a word counts beside one of its form.
+WORD_WEIGHT = 0.3
 RANK = 32
 NEIGHBOURS = 25
 _MARKS = re.compile(r"[^\w\s]")
@@ -67,6 +69,8 @@ def terms(text: str | None) -> Counter:
     scale = 100.0 / max(n, 1)
     for k in out:
         out[k] *= scale
+    for w, c in seen.items():
+        out[f"w:{w.lower()}"] += WORD_WEIGHT * c * scale
     lines = [x for x in t.split("\n") if x.strip()]
     same = sum(a == b for a, b in zip(words, words[1:]))
     common = seen.most_common(1)[0][1] if seen else 0
