@@ -1,4 +1,4 @@
-"""Queries of the stateful operators and of streams; those without an SQL form are held against small fixtures by the tests."""
+"""Queries of the stateful operators and of streams; the one without an SQL form is held against a brute-force version by the tests."""
 
 from __future__ import annotations
 
@@ -33,12 +33,34 @@ def n3(spark, d) -> DataFrame:
     return stateful.lifecycle_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 0.6, 0.1)
 
 
-@query("n4_two_slot_tracks")
+def _two_slots(start: int, most: float) -> str:
+    """SQL of the two-slot tracker: one frame a step, with the last ten places of each person."""
+    place = lambda h, z: f"CASE WHEN len({h}) >= 3 THEN 0.2 * {h}[-3].{z} + 0.3 * {h}[-2].{z} + 0.5 * {h}[-1].{z} WHEN len({h}) = 2 THEN 0.4 * {h}[-2].{z} + 0.6 * {h}[-1].{z} ELSE {h}[-1].{z} END"
+    guess = lambda h, z: f"CASE WHEN len({h}) >= 5 THEN 0.5 * ({place(h, z)}) + 0.5 * ({h}[-1].{z} + 0.5 * ({h}[-1].{z} - {h}[-4].{z})) ELSE {place(h, z)} END"
+    near = lambda h: f"list_sort(list_transform(list_filter(c, lambda z: z.score >= 0.3), lambda z: {{'d': sqrt((z.x - {h}x) ** 2 + (z.y - {h}y) ** 2), 'i': z.i, 'z': z}}))"
+    grown = lambda h, g: f"CASE WHEN {g} IS NULL THEN {h} ELSE list_append({h}, {{'x': {g}.x, 'y': {g}.y}})[-10:] END"
+    return f"""WITH RECURSIVE b AS (SELECT frame // 25 AS scene, frame, vec_id AS i, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, w * h AS area, conf AS score FROM bx),
+g AS (SELECT *, 0.5 * greatest(0, 1 - sqrt((x - 960) ** 2 + (y - 540) ** 2) / 800) + 0.3 * least(area / 50000, 1) + 0.2 * score AS worth FROM b),
+f AS (SELECT scene, frame, row_number() OVER (PARTITION BY scene ORDER BY frame) AS r, list({{'i': i, 'x': x, 'y': y, 'score': score}} ORDER BY i) AS c, list({{'i': i, 'x': x, 'y': y, 'score': score}} ORDER BY area DESC, i) AS large,
+list_filter(list({{'i': i, 'x': x, 'y': y, 'score': score}} ORDER BY worth DESC, i), lambda z: z.score >= 0.3) AS best FROM g GROUP BY scene, frame),
+k AS (SELECT DISTINCT scene, 0::BIGINT AS r, NULL::BIGINT AS frame, []::STRUCT(x DOUBLE, y DOUBLE)[] AS one, []::STRUCT(x DOUBLE, y DOUBLE)[] AS two, NULL::BIGINT AS person1, NULL::BIGINT AS person2 FROM f UNION ALL
+SELECT scene, r, frame, {grown("one", "g1")}, {grown("two", "g2")}, g1.i, g2.i FROM (
+SELECT scene, r, frame, one, two, CASE WHEN early THEN best[1] WHEN alone THEN NULL ELSE u1 END AS g1,
+CASE WHEN early THEN best[2] WHEN alone THEN c[1] WHEN u1 IS NOT NULL AND u2 IS NULL AND len(c) >= 2 THEN list_filter(large, lambda z: z.i <> u1.i AND z.score >= 0.3)[1] ELSE u2 END AS g2 FROM (
+SELECT *, coalesce(len(c) = 1 AND u1 IS NOT NULL AND u2 IS NULL AND sqrt((c[1].x - sx) ** 2 + (c[1].y - sy) ** 2) < sqrt((c[1].x - qx) ** 2 + (c[1].y - qy) ** 2), false) AS alone FROM (
+SELECT *, CASE WHEN len(two) > 0 AND n2.d <= bar THEN n2.z END AS u2 FROM (SELECT *, list_filter({near("s")}, lambda z: u1 IS NULL OR z.i <> u1.i)[1] AS n2 FROM (
+SELECT *, CASE WHEN len(one) > 0 AND n1.d <= bar THEN n1.z END AS u1 FROM (SELECT *, {near("q")}[1] AS n1 FROM (
+SELECT f.*, k.one, k.two, k.r < {start} AND least(len(k.one), len(k.two)) < 5 AS early, CASE WHEN k.r >= {start} THEN {most} ELSE 'infinity'::DOUBLE END AS bar,
+{guess("k.one", "x")} AS qx, {guess("k.one", "y")} AS qy, {guess("k.two", "x")} AS sx, {guess("k.two", "y")} AS sy FROM k JOIN f ON f.scene = k.scene AND f.r = k.r + 1))))))))
+SELECT scene, frame, person1, person2 FROM k WHERE r > 0"""
+
+
+@query("n4_two_slot_tracks", _two_slots(10, 200.0))
 def n4(spark, d) -> DataFrame:
     return stateful.two_slot_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 10)
 
 
-@query("n16_dual_person")
+@query("n16_dual_person", _two_slots(5, 100.0))
 def n16(spark, d) -> DataFrame:
     return stateful.two_slot_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 5, 100.0)
 
@@ -90,13 +112,39 @@ def n9(spark, d) -> DataFrame:
     return k.select("user_id", "i", *[R(F.col(c) + 1e-9).alias(c) for c in ("sx", "sy", "vx", "vy", "confidence")])
 
 
-@query("n9_kalman_boxes")
+# The gains of the filter depend on the number of steps only: one recursion for them, one for the states.
+_FILTER = """WITH RECURSIVE n AS (SELECT frame // 25 AS scene, det, frame, row_number() OVER (PARTITION BY frame // 25, det ORDER BY frame) - 1 AS n, (x1 + x2) / 2 AS zx, (y1 + y2) / 2 AS zy, x2 - x1 AS zw, y2 - y1 AS zh FROM bx),
+c AS (SELECT r, 0 AS n, 100.0::DOUBLE AS p1, 0.0::DOUBLE AS p2, 100.0::DOUBLE AS p3, 0.0::DOUBLE AS m11, 0.0::DOUBLE AS m12, 0.0::DOUBLE AS m21, 0.0::DOUBLE AS m22, 100.0::DOUBLE AS v1, 0.0::DOUBLE AS v2, 100.0::DOUBLE AS v3,
+0.0::DOUBLE AS g11, 0.0::DOUBLE AS g12, 0.0::DOUBLE AS g22, 0.0::DOUBLE AS h11, 0.0::DOUBLE AS h12, 0.0::DOUBLE AS h21, 0.0::DOUBLE AS h22 FROM (VALUES (10.0::DOUBLE), (25.0::DOUBLE)) AS s(r) UNION ALL
+SELECT r, n, a1 - g11 * a1 - g12 * a2, a2 - g11 * a2 - g12 * a3, a3 - g12 * a2 - g22 * a3, b11 - g11 * b11 - g12 * b21, b12 - g11 * b12 - g12 * b22, b21 - g12 * b11 - g22 * b21, b22 - g12 * b12 - g22 * b22,
+c1 - h11 * b11 - h12 * b21, c2 - h11 * b12 - h12 * b22, c3 - h21 * b12 - h22 * b22, g11, g12, g22, h11, h12, h21, h22 FROM (
+SELECT *, (a1 * (a3 + r) - a2 * a2) / d AS g11, a2 * r / d AS g12, (a3 * (a1 + r) - a2 * a2) / d AS g22,
+(b11 * (a3 + r) - b21 * a2) / d AS h11, (b21 * (a1 + r) - b11 * a2) / d AS h12, (b12 * (a3 + r) - b22 * a2) / d AS h21, (b22 * (a1 + r) - b12 * a2) / d AS h22 FROM (
+SELECT *, (a1 + r) * (a3 + r) - a2 * a2 AS d FROM (
+SELECT r, n + 1 AS n, p1 + 2 * m11 + v1 + 1.25 AS a1, p2 + m12 + m21 + v2 + 2.5 AS a2, p3 + 2 * m22 + v3 + 5 AS a3, m11 + v1 AS b11, m12 + v2 AS b12, m21 + v2 AS b21, m22 + v3 AS b22, v1 + 0.0125 AS c1, v2 + 0.025 AS c2, v3 + 0.05 AS c3
+FROM c WHERE n < (SELECT max(n) FROM n))))),
+k AS (SELECT scene, det, frame, n, zx AS gx, zy AS gy, zw AS gw, zh AS gh, zx AS sx, zy AS sy, zw AS sw, zh AS sh, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vw, 0.0::DOUBLE AS vh FROM n WHERE n = 0 UNION ALL
+SELECT scene, det, frame, n, gx, gy, gw, gh, gx + p.g11 * ex + p.g12 * ey, gy + p.g12 * ex + p.g22 * ey, gw + q.g11 * ew + q.g12 * eh, gh + q.g12 * ew + q.g22 * eh,
+vx + p.h11 * ex + p.h12 * ey, vy + p.h21 * ex + p.h22 * ey, vw + q.h11 * ew + q.h12 * eh, vh + q.h21 * ew + q.h22 * eh FROM (
+SELECT *, zx - gx AS ex, zy - gy AS ey, zw - gw AS ew, zh - gh AS eh FROM (
+SELECT n.*, sx + vx AS gx, sy + vy AS gy, sw + vw AS gw, sh + vh AS gh, vx, vy, vw, vh FROM k JOIN n ON n.scene = k.scene AND n.det = k.det AND n.n = k.n + 1)) s
+JOIN c p USING (n) JOIN c q USING (n) WHERE p.r = 10 AND q.r = 25)"""
+
+
+@query("n9_kalman_boxes", _FILTER + """ SELECT scene, det, frame, round(gx - gw / 2, 4) AS p_x1, round(gy - gh / 2, 4) AS p_y1, round(gx + gw / 2, 4) AS p_x2, round(gy + gh / 2, 4) AS p_y2,
+round(sx - sw / 2, 4) AS f_x1, round(sy - sh / 2, 4) AS f_y1, round(sx + sw / 2, 4) AS f_x2, round(sy + sh / 2, 4) AS f_y2, round(vx, 4) AS vx, round(vy, 4) AS vy FROM k""")
 def n9_boxes(spark, d) -> DataFrame:
     k = stateful.kalman_boxes(boxes(spark, d).withColumn("scene", F.floor(F.col("frame") / 25)), ["scene", "det"], "frame")
     return k.select("scene", "det", "frame", *[R(c).alias(c) for c in k.columns[3:]])
 
 
-@query("n10_smoothed_prediction")
+@query("n10_smoothed_prediction", _FILTER + """, o AS (SELECT scene, det, frame, n, [gx - gw / 2, gy - gh / 2, gx + gw / 2, gy + gh / 2] AS z FROM k),
+e AS (SELECT scene, det, frame, n, z AS f, [0.0::DOUBLE, 0.0, 0.0, 0.0]::DOUBLE[] AS slope, 30.0::DOUBLE AS rate FROM o WHERE n = 0 UNION ALL
+SELECT scene, det, frame, n, list_transform([1, 2, 3, 4], lambda j: a * z[j] + (1 - a) * f[j]), slope, rate FROM (
+SELECT *, 1 / (1 + rate / (2 * pi() * (1 + 0.007 * list_avg(list_transform(slope, lambda y: abs(y)))))) AS a FROM (
+SELECT *, list_transform([1, 2, 3, 4], lambda j: d * (z[j] - f[j]) * rate + (1 - d) * s[j]) AS slope FROM (SELECT *, 1 / (1 + rate / (2 * pi())) AS d FROM (
+SELECT o.*, e.f, e.slope AS s, 0.9 * e.rate + 0.1 / (o.frame - e.frame) AS rate FROM e JOIN o ON o.scene = e.scene AND o.det = e.det AND o.n = e.n + 1)))))
+SELECT scene, det, frame, round(f[1], 4) AS p_x1, round(f[2], 4) AS p_y1, round(f[3], 4) AS p_x2, round(f[4], 4) AS p_y2 FROM e""")
 def n10_predicted(spark, d) -> DataFrame:
     # the box that the filter expects, smoothed in its turn
     k = stateful.kalman_boxes(boxes(spark, d).withColumn("scene", F.floor(F.col("frame") / 25)), ["scene", "det"], "frame")
