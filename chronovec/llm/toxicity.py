@@ -22,8 +22,9 @@ is a dictionary of at most ``FEATURES`` entries and the group terms.
 Defined results: null and empty texts score by the bias alone, below 0.5.
 Rows with null ids are scored, never learned from. Null labels are not
 learned from. If no label of one kind is there, every score is the label's
-smoothed mean. Repeated rows each get a row; texts that repeat in the sample
-are learned from once. Texts are read whole, whatever their length. An empty
+smoothed mean. Repeated rows each get a row; of repeated ids in ``labels`` the
+highest label counts, of their texts the first in order, and texts that repeat
+in the sample are learned from once. Texts are read whole, whatever their length. An empty
 table gives an empty result. Other columns are kept; one that is named like
 the score is replaced.
 """
@@ -118,7 +119,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col
     chosen = usable.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "_id").where("text is not null")
+    joined = texts.join(F.broadcast(chosen), "_id").where("text is not null").groupBy("_id", "y").agg(F.min("text").alias("text"))  # a row for each id, so the bound holds
     return joined.groupBy(F.xxhash64("text").alias("_h"), F.length("text").alias("_l")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
