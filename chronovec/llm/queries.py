@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secrets, warc
+from . import decontaminate, filter_audit, secrets, warc
 from .decontaminate import op4_decontamination
+from .filter_audit import op13_filter_audit
 from .packing import op6_packing
 from .pii import op7_pii
 from .quality_knn import op5_quality
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
