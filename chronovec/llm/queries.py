@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, filter_audit, secrets, warc
+from . import decontaminate, filter_audit, prefix_trie, secrets, warc
 from .decontaminate import op4_decontamination
 from .filter_audit import op13_filter_audit
 from .packing import op6_packing
 from .pii import op7_pii
+from .prefix_trie import op12_prefix_trie
 from .quality_knn import op5_quality
 from .quality_rules import op9_quality_rules
 from .secrets import op1_secrets
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -37,5 +39,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
