@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, filter_audit, prefix_trie, secrets, warc
 from .decontaminate import op4_decontamination
 from .filter_audit import op13_filter_audit
+from .license_scan import op11_licenses
 from .packing import op6_packing
 from .pii import op7_pii
 from .prefix_trie import op12_prefix_trie
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_licenses": op11_licenses,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
