@@ -11,9 +11,11 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+
 BOX = ["x1", "y1", "x2", "y2"]
 
 
@@ -167,25 +169,65 @@ def predicted_place(history: list[tuple[float, float]]) -> np.ndarray:
     return 0.5 * near + 0.5 * (h[-1] + 1.5 * (h[-1] - h[-4]) / 3) if len(history) >= 5 else near
 
 
-def two_slot_tracks(df: DataFrame, keys: list[str], frame: str, id_: str, conf: str, start: int = 30, most: float = 200.0, least: float = 0.3) -> DataFrame:
-    """The faces of persons 1 and 2 in each frame.
+def opening_references(df: DataFrame, keys: list[str], frame: str, id_: str, conf: str, v: str, frames: int = 5, least: float = 0.3) -> DataFrame:
+    """``keys, ref1, ref2``: unit mean vectors of the most and the second most important face of the opening frames.
+
+    Importance weighs nearness to the middle, size and confidence. A person
+    who is in none of the opening frames has a null vector.
+    """
+    seen = df.withColumn("_frame", F.dense_rank().over(Window.partitionBy(*keys).orderBy(frame))).where((F.col("_frame") <= frames) & (F.col(conf) >= least))
+    middle = F.sqrt(((F.col("x1") + F.col("x2")) / 2 - 960) ** 2 + ((F.col("y1") + F.col("y2")) / 2 - 540) ** 2)
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    worth = 0.5 * F.greatest(F.lit(0.0), 1 - middle / 800) + 0.3 * F.least(area / 50000, F.lit(1.0)) + 0.2 * F.col(conf)
+    place = F.row_number().over(Window.partitionBy(*keys, "_frame").orderBy(worth.desc(), id_))
+    proto = V.mean_prototype(seen.withColumn("_person", place).where("_person <= 2"), [*keys, "_person"], v)
+    return proto.groupBy(*keys).agg(*[F.max(F.when(F.col("_person") == n, F.col("proto"))).alias(f"ref{n}") for n in (1, 2)])
+
+
+def _unit(x) -> np.ndarray | None:
+    """A vector at length 1; a zero vector stays."""
+    if x is None:
+        return None
+    x = np.asarray(x, float)
+    size = np.linalg.norm(x)
+    return x / size if size > 1e-8 else x
+
+
+def two_slot_tracks(
+    df: DataFrame, keys: list[str], frame: str, id_: str, conf: str, start: int = 30, most: float = 200.0, least: float = 0.3, v: str | None = None, references: DataFrame | None = None, least_similarity: float = 0.4,
+) -> DataFrame:
+    """The faces of persons 1 and 2 in each frame.
 
     At first the two most important faces are taken, the more important one as
-    person 1; once there is a history, the nearest to each predicted place. A single face may move
-    to the other person, and the largest face left over stands in for person 2.
+    person 1; with ``references`` (``keys, ref1, ref2``) the faces whose
+    vectors ``v`` are nearest to them, wherever they stand, and a face that is
+    nearest to both goes to the more similar. Once there is a history, the
+    nearest to each predicted place. A single face may move to the other
+    person, and the largest face left over stands in for person 2.
     """
+    named = references is not None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         past: list[list] = [[], []]
         out, seen = [], 0
+        refs = [_unit(pdf[c].iloc[0]) for c in ("ref1", "ref2")] if named else [None, None]
         for f, g in pdf.sort_values([frame, id_]).groupby(frame, sort=True):
             b = g[BOX].to_numpy(float)
             c, area, score, ids = (b[:, :2] + b[:, 2:]) / 2, np.prod(b[:, 2:] - b[:, :2], axis=1), g[conf].to_numpy(float), g[id_].to_numpy()
             got: list = [None, None]
-            if seen < start and min(len(past[0]), len(past[1])) < 5:
-                worth = 0.5 * np.maximum(0, 1 - np.hypot(c[:, 0] - 960, c[:, 1] - 540) / 800) + 0.3 * np.minimum(area / 50000, 1) + 0.2 * score
-                pick = [k for k in np.argsort(-worth, kind="stable").tolist() if score[k] >= least][:2]
-                got[: len(pick)] = pick
+            if seen < start and not (len(past[0]) >= 5 and past[1]):
+                if refs[0] is not None and refs[1] is not None:
+                    near = [(_unit(x) @ np.array(refs).T + 1) / 2 if x is not None and score[k] >= least else np.full(2, -1.0) for k, x in enumerate(g[v])]
+                    near = np.array(near)
+                    for p in (0, 1):
+                        k = int(near[:, p].argmax())
+                        got[p] = k if near[k, p] > least_similarity else None
+                    if got[0] is not None and got[0] == got[1]:
+                        got[1 if near[got[0], 0] > near[got[0], 1] else 0] = None
+                else:
+                    worth = 0.5 * np.maximum(0, 1 - np.hypot(c[:, 0] - 960, c[:, 1] - 540) / 800) + 0.3 * np.minimum(area / 50000, 1) + 0.2 * score
+                    pick = [k for k in np.argsort(-worth, kind="stable").tolist() if score[k] >= least][:2]
+                    got[: len(pick)] = pick
             else:
                 used: set[int] = set()
                 for p in (0, 1):
@@ -196,10 +238,10 @@ def two_slot_tracks(df: DataFrame, keys: list[str], frame: str, id_: str, conf:
                         if d[k] <= (most if seen >= start else np.inf) and np.isfinite(d[k]):
                             got[p] = k
                             used.add(k)
-                if len(ids) == 1 and got[0] is not None and got[1] is None and past[1]:
+                if len(ids) == 1 and got[0] is not None and got[1] is None and past[1] and seen >= start:
                     if np.hypot(*(c[0] - predicted_place(past[1]))) < np.hypot(*(c[0] - predicted_place(past[0]))):
                         got = [None, 0]
-                if got[0] is not None and got[1] is None and len(ids) >= 2:
+                if got[0] is not None and got[1] is None and len(ids) >= 2 and seen >= start:
                     free = [k for k in range(len(ids)) if k not in used and score[k] >= least]
                     if free:
                         got[1] = max(free, key=lambda k: area[k])
@@ -214,43 +256,115 @@ def two_slot_tracks(df: DataFrame, keys: list[str], frame: str, id_: str, conf:
         return found[[*keys, frame, "person1", "person2"]]
 
     schema = df.select(*keys, frame, F.lit(None).cast("long").alias("person1"), F.lit(None).cast("long").alias("person2")).schema
-    return df.select(*keys, frame, id_, conf, *BOX).groupBy(*keys).applyInPandas(run, schema)
+    rows = df.select(*keys, frame, id_, conf, *BOX, *([v] if named else []))
+    return (rows.join(references.select(*keys, "ref1", "ref2"), keys, "left") if named else rows).groupBy(*keys).applyInPandas(run, schema)
+
+
+def dual_persons(frames: DataFrame, faces: DataFrame, references: DataFrame, keys: list[str], frame: str, id_: str, v: str, gate: float = 100.0, least: float = 0.7) -> DataFrame:
+    """The faces of two known persons in each frame, and how long each has been lost.
+
+    ``frames`` has every frame (``keys, frame``), faces or not; ``references``
+    the persons' fixed vectors (``keys, ref1, ref2``). A person's face is the
+    one most similar to the vector, above ``least``, among those whose centre
+    is nearer than ``gate`` to where the person was last. Both are matched
+    on their own, so one face may be both. A person without a place takes the
+    first (or second) face. A counter grows in frames without faces and is
+    reset by a match; other frames leave it.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        refs = [_unit(pdf[c].iloc[0]) for c in ("ref1", "ref2")]
+        last: list = [None, None]
+        lost, out = [0, 0], []
+        for f, g in pdf.sort_values([frame, id_]).groupby(frame, sort=True):
+            g = g[g[id_].notna()]
+            got: list = [None, None]
+            if len(g):
+                b = g[BOX].to_numpy(float)
+                centre = b[:, :2] + (b[:, 2:] - b[:, :2]) // 2
+                vectors, ids = [_unit(x) for x in g[v]], g[id_].to_numpy()
+                for p in (0, 1):
+                    if last[p] is None:
+                        if len(g) > p:
+                            got[p], last[p] = ids[p], centre[p]
+                    elif refs[p] is not None:
+                        away = np.hypot(*(centre - last[p]).T)
+                        fit = np.array([-np.inf if x is None or not away[k] < gate else refs[p] @ x for k, x in enumerate(vectors)])
+                        k = int(fit.argmax())
+                        if fit[k] > least:
+                            got[p], last[p], lost[p] = ids[k], centre[k], 0
+            else:
+                lost = [n + 1 for n in lost]
+            out.append((f, *got, *lost))
+        found = pd.DataFrame(out, columns=[frame, "person1", "person2", "lost1", "lost2"]).astype({"person1": "Int64", "person2": "Int64"})
+        for k in keys:
+            found[k] = pdf[k].iloc[0]
+        return found[[*keys, frame, "person1", "person2", "lost1", "lost2"]]
+
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    schema = frames.select(*keys, frame, none.alias("person1"), none.alias("person2"), zero.alias("lost1"), zero.alias("lost2")).schema
+    rows = frames.select(*keys, frame).distinct().join(faces.select(*keys, frame, id_, v, *BOX), [*keys, frame], "left")
+    return rows.join(references.select(*keys, "ref1", "ref2"), keys, "left").groupBy(*keys).applyInPandas(run, schema)
+
+
+def opening_profiles(df: DataFrame, keys: list[str], frame: str, v: str, middle: float, frames: int = 5) -> DataFrame:
+    """``keys, side, ref, size, px, py``: what the faces of each half of the opening frames are like on average."""
+    seen = df.withColumn("_frame", F.dense_rank().over(Window.partitionBy(*keys).orderBy(frame))).where(F.col("_frame") <= frames)
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    halves = seen.withColumn("side", F.when(cx < middle, "L").otherwise("R"))
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    places = halves.groupBy(*keys, "side").agg(F.avg(area).alias("size"), F.avg(cx).alias("px"), F.avg(cy).alias("py"))
+    return places.join(V.mean_prototype(halves, [*keys, "side"], v).withColumnRenamed("proto", "ref"), [*keys, "side"], "left")
 
 
-def side_profiles(df: DataFrame, keys: list[str], frame: str, id_: str, v: str, middle: float, least: float = 0.35, bank: int = 64) -> DataFrame:
-    """The face of each half of a frame that fits the half's vector profile best, else its largest.
+def side_profiles(df: DataFrame, profiles: DataFrame, keys: list[str], frame: str, id_: str, v: str, middle: float, least: float = 0.35, bank: int = 64, reach: float = 200.0) -> DataFrame:
+    """The face of each half of a frame that fits the half's profile best, else its largest.
 
-    A matched vector joins the profile, the median of the last ``bank``.
+    ``profiles`` has ``keys, side, ref, size, px, py``; any may be null. A score
+    is the mean of what the profile has: similarity to the bank's median,
+    from 0 to 1 (weight 0.6), size (0.2) and place (0.2). It must exceed
+    ``least``. The state is the bank, which starts with ``ref`` and takes the
+    vectors of matched faces, the last ``bank`` of them; size and place stay.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        banks: dict[str, list] = {"L": [], "R": []}
+        first = pdf.iloc[0]
+        held = [] if first["ref"] is None else [_unit(first["ref"])]
+        size, place = first["size"], (first["px"], first["py"])
         out = []
         for f, g in pdf.sort_values([frame, id_]).groupby(frame, sort=True):
             b = g[BOX].to_numpy(float)
-            mid, area = (b[:, 0] + b[:, 2]) / 2, np.prod(b[:, 2:] - b[:, :2], axis=1)
-            x = np.array(g[v].tolist(), float)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            for side, on in (("L", mid < middle), ("R", mid >= middle)):
-                at = np.flatnonzero(on)
-                if not len(at):
-                    continue
-                k, how = int(at[area[at].argmax()]), "largest"
-                if banks[side]:
-                    proto = np.median(np.array(banks[side]), axis=0)
-                    sims = x[at] @ (proto / max(np.linalg.norm(proto), 1e-12))
-                    if sims.max() > least:
-                        k, how = int(at[sims.argmax()]), "profile"
-                if how == "profile" or not banks[side]:
-                    banks[side] = [*banks[side], x[k]][-bank:]
-                out.append((f, side, g[id_].iloc[k], how))
-        found = pd.DataFrame(out, columns=[frame, "side", id_, "how"])
+            centre, area = (b[:, :2] + b[:, 2:]) / 2, np.prod(b[:, 2:] - b[:, :2], axis=1)
+            vectors = [_unit(x) for x in g[v]]
+            total, weight = np.zeros(len(g)), np.zeros(len(g))
+            if held:
+                proto = _unit(np.median(np.array(held), axis=0)) if len(held) > 1 else held[0]
+                has = np.array([x is not None for x in vectors])
+                total += [0.6 * (x @ proto + 1) / 2 if x is not None else 0.0 for x in vectors]
+                weight += 0.6 * has
+            if pd.notna(size) and size:
+                total += 0.2 * np.maximum(0, 1 - np.abs(area - size) / size)
+                weight += 0.2
+            if pd.notna(place[0]) and pd.notna(place[1]):
+                total += 0.2 * np.maximum(0, 1 - np.hypot(*(centre - place).T) / reach)
+                weight += 0.2
+            fit = np.divide(total, weight, out=np.zeros(len(g)), where=weight > 0)
+            k = int(fit.argmax())
+            how = "profile" if fit[k] > max(least, 0) else "largest"
+            if how == "largest":
+                k = int(area.argmax())
+            elif held and vectors[k] is not None:
+                held = [*held, vectors[k]][-bank:]
+            out.append((f, g[id_].iloc[k], how, float(fit[k])))
+        found = pd.DataFrame(out, columns=[frame, id_, "how", "score"]).assign(side=first["side"])
         for c in keys:
-            found[c] = pdf[c].iloc[0]
-        return found[[*keys, frame, "side", id_, "how"]]
+            found[c] = first[c]
+        return found[[*keys, frame, "side", id_, "how", "score"]]
 
-    schema = df.select(*keys, frame, F.lit("").alias("side"), id_, F.lit("").alias("how")).schema
-    return df.select(*keys, frame, id_, v, *BOX).groupBy(*keys).applyInPandas(run, schema)
+    side = F.when((F.col("x1") + F.col("x2")) / 2 < middle, "L").otherwise("R").alias("side")
+    rows = df.select(*keys, side, frame, id_, v, *BOX).join(profiles.select(*keys, "side", "ref", "size", "px", "py"), [*keys, "side"], "left")
+    schema = df.select(*keys, frame, side, id_, F.lit("").alias("how"), F.lit(0.0).alias("score")).schema
+    return rows.groupBy(*keys, "side").applyInPandas(run, schema)
 
 
 def kalman(df: DataFrame, keys: list[str], order: str, x: str, y: str, gain: float = 0.3) -> DataFrame:

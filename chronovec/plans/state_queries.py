@@ -33,49 +33,106 @@ def n3(spark, d) -> DataFrame:
     return stateful.lifecycle_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 0.6, 0.1)
 
 
-def _two_slots(start: int, most: float) -> str:
+_FACES = """b AS (SELECT bx.frame // 25 AS scene, bx.frame, bx.vec_id AS i, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, w, h, w * h AS area, conf AS score, x1, y1,
+list_transform(e.v, lambda y: y / sqrt(list_inner_product(e.v, e.v))) AS v FROM bx JOIN vec e ON e.vec_id = bx.vec_id),
+g AS (SELECT *, 0.5 * greatest(0, 1 - sqrt((x - 960) ** 2 + (y - 540) ** 2) / 800) + 0.3 * least(area / 50000, 1) + 0.2 * score AS worth FROM b)"""
+# the unit mean vectors of the two most important faces of the first five frames
+_REFERENCES = """op AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY scene ORDER BY frame) AS fr FROM g) WHERE fr <= 5 AND score >= 0.3),
+rp AS (SELECT scene, k, p, avg(v[k]) AS m FROM (SELECT *, row_number() OVER (PARTITION BY scene, frame ORDER BY worth DESC, i) AS p FROM op), (SELECT unnest(range(1, 65)) AS k) WHERE p <= 2 GROUP BY ALL),
+rl AS (SELECT scene, p, list(m ORDER BY k) AS m FROM rp GROUP BY ALL), ru AS (SELECT scene, p, list_transform(m, lambda y: y / sqrt(list_inner_product(m, m))) AS ref FROM rl),
+rf AS (SELECT scene, max(ref) FILTER (p = 1) AS ref1, max(ref) FILTER (p = 2) AS ref2 FROM ru GROUP BY scene)"""
+
+
+def _two_slots(start: int, most: float, by_vector: bool = False) -> str:
     """SQL of the two-slot tracker: one frame a step, with the last ten places of each person."""
     place = lambda h, z: f"CASE WHEN len({h}) >= 3 THEN 0.2 * {h}[-3].{z} + 0.3 * {h}[-2].{z} + 0.5 * {h}[-1].{z} WHEN len({h}) = 2 THEN 0.4 * {h}[-2].{z} + 0.6 * {h}[-1].{z} ELSE {h}[-1].{z} END"
     guess = lambda h, z: f"CASE WHEN len({h}) >= 5 THEN 0.5 * ({place(h, z)}) + 0.5 * ({h}[-1].{z} + 0.5 * ({h}[-1].{z} - {h}[-4].{z})) ELSE {place(h, z)} END"
     near = lambda h: f"list_sort(list_transform(list_filter(c, lambda z: z.score >= 0.3), lambda z: {{'d': sqrt((z.x - {h}x) ** 2 + (z.y - {h}y) ** 2), 'i': z.i, 'z': z}}))"
     grown = lambda h, g: f"CASE WHEN {g} IS NULL THEN {h} ELSE list_append({h}, {{'x': {g}.x, 'y': {g}.y}})[-10:] END"
-    return f"""WITH RECURSIVE b AS (SELECT frame // 25 AS scene, frame, vec_id AS i, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, w * h AS area, conf AS score FROM bx),
-g AS (SELECT *, 0.5 * greatest(0, 1 - sqrt((x - 960) ** 2 + (y - 540) ** 2) / 800) + 0.3 * least(area / 50000, 1) + 0.2 * score AS worth FROM b),
-f AS (SELECT scene, frame, row_number() OVER (PARTITION BY scene ORDER BY frame) AS r, list({{'i': i, 'x': x, 'y': y, 'score': score}} ORDER BY i) AS c, list({{'i': i, 'x': x, 'y': y, 'score': score}} ORDER BY area DESC, i) AS large,
-list_filter(list({{'i': i, 'x': x, 'y': y, 'score': score}} ORDER BY worth DESC, i), lambda z: z.score >= 0.3) AS best FROM g GROUP BY scene, frame),
+    face = "{'i': i, 'x': x, 'y': y, 'score': score}"
+    if by_vector:
+        like = lambda n: f"list_filter(list({{'f': {face}, 's': s{n}}} ORDER BY s{n} DESC, i), lambda z: z.s > 0.4 AND z.f.score >= 0.3)[1]"
+        first = f"""q AS (SELECT g.*, (list_inner_product(v, ref1) + 1) / 2 AS s1, (list_inner_product(v, ref2) + 1) / 2 AS s2 FROM g JOIN rf USING (scene)),
+n AS (SELECT scene, frame, {like(1)} AS o1, {like(2)} AS o2 FROM q GROUP BY ALL),
+best AS (SELECT scene, frame, [CASE WHEN o1.f.i = o2.f.i AND o1.s <= o2.s THEN NULL ELSE o1.f END, CASE WHEN o1.f.i = o2.f.i AND o1.s > o2.s THEN NULL ELSE o2.f END] AS best FROM n)"""
+    else:
+        first = f"best AS (SELECT scene, frame, list_filter(list({face} ORDER BY worth DESC, i), lambda z: z.score >= 0.3) AS best FROM g GROUP BY scene, frame)"
+    return f"""WITH RECURSIVE {_FACES}, {_REFERENCES + ", " if by_vector else ""}{first},
+l AS (SELECT scene, frame, row_number() OVER (PARTITION BY scene ORDER BY frame) AS r, list({face} ORDER BY i) AS c, list({face} ORDER BY area DESC, i) AS large FROM g GROUP BY scene, frame),
+f AS (SELECT l.*, best FROM l JOIN best USING (scene, frame)),
 k AS (SELECT DISTINCT scene, 0::BIGINT AS r, NULL::BIGINT AS frame, []::STRUCT(x DOUBLE, y DOUBLE)[] AS one, []::STRUCT(x DOUBLE, y DOUBLE)[] AS two, NULL::BIGINT AS person1, NULL::BIGINT AS person2 FROM f UNION ALL
 SELECT scene, r, frame, {grown("one", "g1")}, {grown("two", "g2")}, g1.i, g2.i FROM (
 SELECT scene, r, frame, one, two, CASE WHEN early THEN best[1] WHEN alone THEN NULL ELSE u1 END AS g1,
-CASE WHEN early THEN best[2] WHEN alone THEN c[1] WHEN u1 IS NOT NULL AND u2 IS NULL AND len(c) >= 2 THEN list_filter(large, lambda z: z.i <> u1.i AND z.score >= 0.3)[1] ELSE u2 END AS g2 FROM (
-SELECT *, coalesce(len(c) = 1 AND u1 IS NOT NULL AND u2 IS NULL AND sqrt((c[1].x - sx) ** 2 + (c[1].y - sy) ** 2) < sqrt((c[1].x - qx) ** 2 + (c[1].y - qy) ** 2), false) AS alone FROM (
+CASE WHEN early THEN best[2] WHEN alone THEN c[1] WHEN late AND u1 IS NOT NULL AND u2 IS NULL AND len(c) >= 2 THEN list_filter(large, lambda z: z.i <> u1.i AND z.score >= 0.3)[1] ELSE u2 END AS g2 FROM (
+SELECT *, coalesce(late AND len(c) = 1 AND u1 IS NOT NULL AND u2 IS NULL AND sqrt((c[1].x - sx) ** 2 + (c[1].y - sy) ** 2) < sqrt((c[1].x - qx) ** 2 + (c[1].y - qy) ** 2), false) AS alone FROM (
 SELECT *, CASE WHEN len(two) > 0 AND n2.d <= bar THEN n2.z END AS u2 FROM (SELECT *, list_filter({near("s")}, lambda z: u1 IS NULL OR z.i <> u1.i)[1] AS n2 FROM (
 SELECT *, CASE WHEN len(one) > 0 AND n1.d <= bar THEN n1.z END AS u1 FROM (SELECT *, {near("q")}[1] AS n1 FROM (
-SELECT f.*, k.one, k.two, k.r < {start} AND least(len(k.one), len(k.two)) < 5 AS early, CASE WHEN k.r >= {start} THEN {most} ELSE 'infinity'::DOUBLE END AS bar,
+SELECT f.*, k.one, k.two, k.r >= {start} AS late, k.r < {start} AND NOT (len(k.one) >= 5 AND len(k.two) > 0) AS early, CASE WHEN k.r >= {start} THEN {most} ELSE 'infinity'::DOUBLE END AS bar,
 {guess("k.one", "x")} AS qx, {guess("k.one", "y")} AS qy, {guess("k.two", "x")} AS sx, {guess("k.two", "y")} AS sy FROM k JOIN f ON f.scene = k.scene AND f.r = k.r + 1))))))))
 SELECT scene, frame, person1, person2 FROM k WHERE r > 0"""
 
 
+def _faces(spark, d) -> DataFrame:
+    """Boxes in streams of 25 frames, with their vectors."""
+    return _scenes(spark, d).join(vectors(spark, d).select("vec_id", "v"), "vec_id")
+
+
 @query("n4_two_slot_tracks", _two_slots(10, 200.0))
 def n4(spark, d) -> DataFrame:
     return stateful.two_slot_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 10)
 
 
-@query("n16_dual_person", _two_slots(5, 100.0))
-def n16(spark, d) -> DataFrame:
-    return stateful.two_slot_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 5, 100.0)
+@query("n4_vector_start", _two_slots(10, 200.0, by_vector=True))
+def n4_vectors(spark, d) -> DataFrame:
+    f = _faces(spark, d)
+    known = stateful.opening_references(f, ["scene"], "frame", "vec_id", "conf", "v")
+    return stateful.two_slot_tracks(f, ["scene"], "frame", "vec_id", "conf", 10, v="v", references=known)
+
 
+def _lost(n: int) -> str:
+    """SQL of a person's next face, place and counter: by the gate, then by the vector."""
+    best = f"list_sort(list_transform(list_filter(c, lambda z: sqrt((z.x - x{n}) ** 2 + (z.y - y{n}) ** 2) < 100 AND z.s{n} > 0.05), lambda z: {{'o': -z.s{n}, 'i': z.i, 'z': z}}))[1].z"
+    return f"CASE WHEN x{n} IS NULL THEN c[{n}] ELSE {best} END AS g{n}"
 
-@query("n21_side_profiles", """WITH RECURSIVE f AS (SELECT b.frame // 25 AS scene, b.frame, CASE WHEN (b.x1 + b.x2) / 2 < 550 THEN 'L' ELSE 'R' END AS side, b.vec_id, b.w * b.h AS area,
-list_transform(e.v, lambda y: y / sqrt(list_inner_product(e.v, e.v))) AS x FROM bx b JOIN vec e ON e.vec_id = b.vec_id),
-g AS (SELECT scene, side, frame, row_number() OVER (PARTITION BY scene, side ORDER BY frame) AS r, list({'id': vec_id, 'x': x} ORDER BY vec_id) AS c, list(area ORDER BY vec_id) AS a FROM f GROUP BY scene, side, frame),
-k AS (SELECT scene, side, frame, r, [c[list_position(a, list_max(a))].x] AS bank, c[list_position(a, list_max(a))].id AS id, 'largest' AS how FROM g WHERE r = 1 UNION ALL
-SELECT scene, side, frame, r, CASE WHEN most > 0.1 THEN list_append(bank, c[list_position(sims, most)].x)[-64:] ELSE bank END, CASE WHEN most > 0.1 THEN c[list_position(sims, most)].id ELSE c[list_position(a, list_max(a))].id END,
-CASE WHEN most > 0.1 THEN 'profile' ELSE 'largest' END FROM (SELECT *, list_max(sims) AS most FROM (SELECT *, list_transform(c, lambda z: list_inner_product(z.x, proto) / sqrt(list_inner_product(proto, proto))) AS sims FROM (
-SELECT g.*, k.bank, list_transform(range(1, 65), lambda j: list_aggregate(list_transform(k.bank, lambda y: y[j]), 'median')) AS proto FROM k JOIN g ON g.scene = k.scene AND g.side = k.side AND g.r = k.r + 1))))
-SELECT scene, frame, side, id AS vec_id, how FROM k""")
+
+@query("n16_dual_person", f"""WITH RECURSIVE {_FACES}, {_REFERENCES},
+q AS (SELECT b.scene, b.frame, b.i, x1 + floor(w / 2) AS x, y1 + floor(h / 2) AS y, list_inner_product(v, ref1) AS s1, list_inner_product(v, ref2) AS s2 FROM b JOIN rf USING (scene) WHERE score >= 0.6),
+c AS (SELECT scene, frame, list({{'i': i, 'x': x, 'y': y, 's1': s1, 's2': s2}} ORDER BY i) AS c FROM q GROUP BY ALL),
+f AS (SELECT a.scene, a.frame, coalesce(c, []) AS c, row_number() OVER (PARTITION BY a.scene ORDER BY a.frame) AS r FROM (SELECT DISTINCT scene, frame FROM b) a LEFT JOIN c USING (scene, frame)),
+k AS (SELECT DISTINCT scene, 0::BIGINT AS frame, 0::BIGINT AS r, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1, NULL::DOUBLE AS x2, NULL::DOUBLE AS y2, NULL::BIGINT AS person1, NULL::BIGINT AS person2, 0::BIGINT AS lost1, 0::BIGINT AS lost2 FROM f UNION ALL
+SELECT scene, frame, r, coalesce(g1.x, x1), coalesce(g1.y, y1), coalesce(g2.x, x2), coalesce(g2.y, y2), g1.i, g2.i, CASE WHEN len(c) = 0 THEN lost1 + 1 WHEN x1 IS NOT NULL AND g1 IS NOT NULL THEN 0 ELSE lost1 END,
+CASE WHEN len(c) = 0 THEN lost2 + 1 WHEN x2 IS NOT NULL AND g2 IS NOT NULL THEN 0 ELSE lost2 END FROM (SELECT *, {_lost(1)}, {_lost(2)} FROM (
+SELECT f.*, k.x1, k.y1, k.x2, k.y2, k.lost1, k.lost2 FROM k JOIN f ON f.scene = k.scene AND f.r = k.r + 1)))
+SELECT scene, frame, person1, person2, lost1, lost2 FROM k WHERE r > 0""")
+def n16(spark, d) -> DataFrame:
+    # vectors of the test tables are alike by chance only, so the bar is low; confident faces alone, so that some frames have none
+    f = _faces(spark, d)
+    known = stateful.opening_references(f, ["scene"], "frame", "vec_id", "conf", "v")
+    return stateful.dual_persons(f.select("scene", "frame"), f.where("conf >= 0.6"), known, ["scene"], "frame", "vec_id", "v", 100.0, 0.05)
+
+
+# similarity to the bank, size and place, as far as the profile has them
+_FIT = """(CASE WHEN len(bank) > 0 THEN 0.6 * (list_inner_product(z.v, med) / (CASE WHEN len(bank) = 1 THEN 1 ELSE sqrt(list_inner_product(med, med)) END) + 1) / 2 ELSE 0 END
+ + CASE WHEN size > 0 THEN 0.2 * greatest(0, 1 - abs(z.area - size) / size) + 0.2 * greatest(0, 1 - sqrt((z.x - px) ** 2 + (z.y - py) ** 2) / 200) ELSE 0 END)
+ / greatest(1e-9, CASE WHEN len(bank) > 0 THEN 0.6 ELSE 0 END + CASE WHEN size > 0 THEN 0.4 ELSE 0 END)"""
+
+
+@query("n21_side_profiles", f"""WITH RECURSIVE {_FACES}, s AS (SELECT *, CASE WHEN x < 550 THEN 'L' ELSE 'R' END AS side, dense_rank() OVER (PARTITION BY scene ORDER BY frame) AS fr FROM b),
+pl AS (SELECT scene, side, avg(area) AS size, avg(x) AS px, avg(y) AS py FROM s WHERE fr <= 5 GROUP BY ALL),
+pm AS (SELECT scene, side, k, avg(v[k]) AS m FROM s, (SELECT unnest(range(1, 65)) AS k) WHERE fr <= 5 GROUP BY ALL), pv AS (SELECT scene, side, list(m ORDER BY k) AS m FROM pm GROUP BY ALL),
+p AS (SELECT pl.*, list_transform(m, lambda y: y / sqrt(list_inner_product(m, m))) AS ref FROM pl JOIN pv USING (scene, side)),
+gr AS (SELECT *, row_number() OVER (PARTITION BY scene, side ORDER BY frame) AS r FROM (
+SELECT scene, side, frame, list({{'i': i, 'x': x, 'y': y, 'area': area, 'v': v}} ORDER BY i) AS c, arg_max(i, {{'a': area, 'i': -i}}) AS large FROM s GROUP BY scene, side, frame)),
+k AS (SELECT DISTINCT gr.scene, gr.side, 0::BIGINT AS frame, 0::BIGINT AS r, CASE WHEN ref IS NULL THEN []::DOUBLE[][] ELSE [ref] END AS bank, NULL::BIGINT AS id, '' AS how, 0.0::DOUBLE AS score FROM gr LEFT JOIN p ON p.scene = gr.scene AND p.side = gr.side UNION ALL
+SELECT scene, side, frame, r, CASE WHEN top.s > 0.35 AND len(bank) > 0 THEN list_append(bank, top.z.v)[-64:] ELSE bank END, CASE WHEN top.s > 0.35 THEN top.z.i ELSE large END, CASE WHEN top.s > 0.35 THEN 'profile' ELSE 'largest' END, top.s FROM (
+SELECT *, list_sort(list_transform(c, lambda z: {{'o': -({_FIT}), 'i': z.i, 's': ({_FIT}), 'z': z}}))[1] AS top FROM (
+SELECT gr.*, k.bank, p.size, p.px, p.py, list_transform(range(1, 65), lambda j: list_aggregate(list_transform(k.bank, lambda y: y[j]), 'median')) AS med
+FROM k JOIN gr ON gr.scene = k.scene AND gr.side = k.side AND gr.r = k.r + 1 LEFT JOIN p ON p.scene = gr.scene AND p.side = gr.side)))
+SELECT scene, frame, side, id AS vec_id, how, round(score, 6) AS score FROM k WHERE r > 0""")
 def n21(spark, d) -> DataFrame:
-    b = _scenes(spark, d).join(vectors(spark, d).select("vec_id", "v"), "vec_id")
-    return stateful.side_profiles(b, ["scene"], "frame", "vec_id", "v", 550.0, 0.1)
+    f = _faces(spark, d)
+    known = stateful.opening_profiles(f, ["scene"], "frame", "v", 550.0)
+    return stateful.side_profiles(f, known, ["scene"], "frame", "vec_id", "v", 550.0).withColumn("score", R("score", 6))
 
 
 @query("n5_frame_assignment", """WITH RECURSIVE c AS (SELECT b.frame, b.det, t.det AS track, 1 - CASE WHEN least(b.x2, t.x2) > greatest(b.x1, t.x1) AND least(b.y2, t.y2) > greatest(b.y1, t.y1)
