@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..storage import written
+from ..storage import cleared, written
 
 
 def pairs(df: DataFrame, keys: list[str], id_: str, cols: list[str]) -> DataFrame:
@@ -92,8 +92,7 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 def _similarities(cell: pd.DataFrame) -> Iterator[np.ndarray]:
     """Cosines of every two rows of a cell, in steps; 0 for a zero vector."""
-    cell = cell.sort_values("id")
-    x, ids, own = np.array(cell.v.tolist(), float), cell.id.to_numpy(), cell.own.to_numpy()
+    x, own = np.array(cell.v.tolist(), float), cell.own.to_numpy()
     size = np.linalg.norm(x, axis=1, keepdims=True)
     x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
     a, b = cell.a.iloc[0], cell.b.iloc[0]
@@ -101,7 +100,7 @@ def _similarities(cell: pd.DataFrame) -> Iterator[np.ndarray]:
     for lo in range(0, len(left), 512):
         rows = left[lo : lo + 512]
         sims = np.clip(x[rows] @ x[right].T, -1, 1)
-        yield sims[ids[rows][:, None] < ids[right][None]] if a == b else sims.ravel()
+        yield sims[rows[:, None] < right[None]] if a == b else sims.ravel()
 
 
 def _histogram(cells: DataFrame, within: dict[int, list[int]] | None = None) -> pd.DataFrame:
@@ -164,10 +163,12 @@ def pair_summaries(rows: DataFrame, kinds: list[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame([tuple(x if x is None or isinstance(x, int) else float(x) for x in row)], schema)
 
 
-def adaptive_threshold(df: DataFrame, person: str, order: str, v: str, least: int = 5, low: float = 0.6, high: float = 0.95) -> DataFrame:
+def adaptive_threshold(df: DataFrame, person: str, order: str, v: str, least: int = 5, low: float = 0.6, high: float = 0.95, current: float = 0.7, gain: float = 2.0) -> DataFrame:
     """Threshold between same-person and different-person similarities.
 
     Same: all pairs within a person. Different: the first vectors of persons.
+    ``apply`` tells whether to take it: confidence is medium or high, and it
+    differs from the ``current`` one by at least ``gain`` percent of that.
     """
     same = df.select(F.lit(0).alias("kind"), F.col(person).cast("string").alias("key"), F.col(order).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"))
     first = df.where(F.col(person).isNotNull()).groupBy(person).agg(F.min(order).cast("long").alias("id"), F.min_by(v, order).cast("array<double>").alias("v"))
@@ -176,27 +177,83 @@ def adaptive_threshold(df: DataFrame, person: str, order: str, v: str, least: in
     partly = F.col("same_mean") - F.col("same_std") > F.col("other_mean") + F.col("other_std")
     enough = (F.col("same_n") >= least) & (F.col("other_n") >= least)
     t = F.when(apart, (F.col("same_min") + F.col("other_max")) / 2).when(partly, (F.col("same_mean") - F.col("same_std") + F.col("other_mean") + F.col("other_std")) / 2).otherwise(F.col("same_p15"))
-    return both.withColumn("threshold", F.when(enough, F.greatest(F.lit(low), F.least(F.lit(high), t)))).withColumn(
+    found = both.withColumn("threshold", F.when(enough, F.greatest(F.lit(low), F.least(F.lit(high), t)))).withColumn(
         "confidence", F.when(~enough, "insufficient_samples").when(apart, "high").when(partly, "medium").otherwise("low")
     )
+    better = F.abs(F.col("threshold") - current) / current * 100 >= gain
+    return found.withColumn("apply", F.coalesce(F.col("confidence").isin("medium", "high") & better, F.lit(False)))
 
 
 def track_similarity(records: DataFrame, track: str, seq: str, ts: str, v: str, quality: str) -> DataFrame:
-    """Similarity of every two tracks: best record, five oldest as an ensemble, last three by recency.
+    """Similarity of every two tracks: best record, five oldest as an ensemble, last three by recency; with its confidence.
 
     Records carry ``scene``; tracks are compared within one.
     """
     keys = ["scene", track]
-    best = records.groupBy(*keys).agg(F.max_by(v, F.struct(F.col(quality), -F.col(seq))).alias("best"))
+    best = records.groupBy(*keys).agg(F.max_by(v, F.struct(F.col(quality), -F.col(seq))).alias("best"), F.count("*").alias("n"), F.avg(quality).alias("quality"))
     oldest = V.weighted_prototype(last_n(records, keys, [F.asc(seq)], 5), keys, v, quality).withColumnRenamed("proto", "ensemble")
-    p = pairs(best.join(oldest, keys), ["scene"], track, ["best", "ensemble"])
+    p = pairs(best.join(oldest, keys), ["scene"], track, ["best", "ensemble", "n", "quality"])
     single, ensemble = V.cosine01(F.col("best_a"), F.col("best_b")), V.cosine01(F.col("ensemble_a"), F.col("ensemble_b"))
     late = last_n(records, keys, [F.desc(seq)], 3).select("scene", track, seq, v, quality, F.exp((F.col(ts) - F.max(ts).over(Window.partitionBy("scene"))) / 10).alias("w"))
     a, b = (late.select("scene", *[F.col(c).alias(f"{c}_{s}") for c in (track, seq, v, quality, "w")]) for s in "ab")
     cross = a.join(b, "scene").where(F.col(f"{track}_a") < F.col(f"{track}_b"))
     weight = (F.col("w_a") + F.col("w_b")) / 2 * (F.col(f"{quality}_a") + F.col(f"{quality}_b")) / 2
     recent = cross.groupBy("scene", f"{track}_a", f"{track}_b").agg(F.coalesce(F.try_divide(F.sum(V.cosine01(F.col(f"{v}_a"), F.col(f"{v}_b")) * weight), F.sum(weight)), F.lit(0.0)).alias("recent"))
-    return p.join(recent, ["scene", f"{track}_a", f"{track}_b"]).select("scene", f"{track}_a", f"{track}_b", (0.4 * single + 0.4 * ensemble + 0.2 * F.col("recent")).alias("similarity"))
+    found = p.join(recent, ["scene", f"{track}_a", f"{track}_b"]).withColumn("similarity", 0.4 * single + 0.4 * ensemble + 0.2 * F.col("recent"))
+    n = F.col("n_a") + F.col("n_b")
+    sure = V.matching_confidence(n, F.col("quality_a"), F.col("quality_b"), F.col("similarity"))
+    return found.select("scene", f"{track}_a", f"{track}_b", "similarity", sure.alias("confidence"), n.alias("records"))
+
+
+def track_matches(found: DataFrame, track: str, least: float = 0.7) -> DataFrame:
+    """For each track the tracks that match it, ``least`` similar at least, the most similar first (N13); ties by track.
+
+    ``found`` is what ``track_similarity`` gives, each pair once; here a pair
+    counts for both its tracks.
+    """
+    a, b = f"{track}_a", f"{track}_b"
+    rest = [c for c in found.columns if c not in (a, b)]
+    some = found.where(F.col("similarity") >= least)
+    ways = [some.select(*rest, F.col(x).alias("source"), F.col(y).alias("matched")) for x, y in ((a, b), (b, a))]
+    place = F.row_number().over(Window.partitionBy("scene", "source").orderBy(F.desc("similarity"), "matched"))
+    return ways[0].unionByName(ways[1]).withColumn("place", place)
+
+
+def corrections(found: DataFrame, track: str, least: float = 0.8, sure: float = 0.7, rounds: int = 1000) -> DataFrame:
+    """Pairs of tracks to take for one, by greedy matching on similarity x confidence within a scene.
+
+    The strongest pair of at least ``least`` similarity and ``sure``
+    confidence takes its two tracks, then the strongest of those left, and so
+    on; ties go to the smaller tracks. Each round takes every pair that is the
+    strongest of both its tracks, which gives the same matching without an
+    order over all pairs; ``round`` tells when. Tracks are spread by id, so no
+    scene is held by one task.
+    """
+    a, b = f"{track}_a", f"{track}_b"
+    strength = F.struct((F.col("similarity") * F.col("confidence")).alias("s"), (-F.col(a)).alias("a"), (-F.col(b)).alias("b"))
+    left = written(found.where((F.col("similarity") >= least) & (F.col("confidence") >= sure)).select("scene", a, b, "similarity", "confidence", strength.alias("strength")), "matches")
+    taken: list[DataFrame] = []
+    for n in range(1, rounds + 1):
+        if left.isEmpty():
+            break
+        ends = left.select("scene", F.col(a).alias("t"), "strength").unionByName(left.select("scene", F.col(b).alias("t"), "strength"))
+        top = ends.groupBy("scene", "t").agg(F.max("strength").alias("top"))
+        best = left
+        for c in (a, b):
+            best = best.join(top.select("scene", F.col("t").alias(c), F.col("top").alias("strength")), ["scene", c, "strength"], "left_semi")
+        taken.append(written(best.select("scene", a, b, "similarity", "confidence", F.lit(n).alias("round")), "taken"))
+        used = taken[-1].select("scene", F.col(a).alias("t")).unionByName(taken[-1].select("scene", F.col(b).alias("t")))
+        rest = left
+        for c in (a, b):
+            rest = rest.join(used.withColumnRenamed("t", c), ["scene", c], "left_anti")
+        last, left = left, written(rest.select(*left.columns), "matches")
+        cleared(last)
+    else:
+        raise RuntimeError("the matching did not settle")
+    found_all = left.select("scene", a, b, "similarity", "confidence", F.lit(0).alias("round"))
+    for t in taken:
+        found_all = found_all.unionByName(t)
+    return found_all
 
 
 def online_ids(df: DataFrame, keys: list[str], order: list[str], v: str, threshold: float, first: bool = False) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import audio, sequence
-from .catalog import query, timeline
+from ..operators import audio, frames, recovery, sequence
+from .catalog import query, timeline, vectors
 
 KEY = ["user_id"]
 RUNS = """runs AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY i) AS run_id FROM (
@@ -168,6 +168,25 @@ def n17(spark, d) -> DataFrame:
     return sequence.streaks(timeline(spark, d), KEY, ["i"], ~F.col("present")).select("user_id", "i", F.col("streak").cast("int").alias("streak"))
 
 
+# one step a row: streak, kinds that have turned to the safest action, whether it goes on
+_RECOVERY = """WITH RECURSIVE o AS (SELECT user_id, i, event_type IN ('error', 'view', 'click') AS bad, value AS used, ['gpu_memory', 'frame_processing', 'single_face_missing', 'dual_face_missing', 'resize', 'composition', 'cuda', 'unknown', 'other'][event_id % 9 + 1] AS kind FROM tl),
+p AS (SELECT *, CASE WHEN kind = 'other' THEN 'unknown' ELSE kind END AS k FROM o),
+k AS (SELECT DISTINCT user_id, -1::BIGINT AS i, 0 AS streak, []::VARCHAR[] AS hard, NULL::VARCHAR AS action, false AS stopped FROM p UNION ALL
+SELECT user_id, i, streak, hard, CASE WHEN bad THEN CASE WHEN list_contains(hard, k) THEN 'use_black_frame' ELSE CASE k WHEN 'gpu_memory' THEN 'reduce_quality' WHEN 'resize' THEN 'reduce_quality' WHEN 'single_face_missing' THEN 'use_single_frame'
+WHEN 'dual_face_missing' THEN 'use_fallback_frame' WHEN 'cuda' THEN 'retry_with_cpu' ELSE 'use_previous_frame' END END END, bad AND (streak >= 6 OR (k = 'gpu_memory' AND used > 85)) FROM (
+SELECT *, CASE WHEN bad AND streak >= 3 THEN list_append(before, k) ELSE before END AS hard FROM (
+SELECT p.user_id, p.i, p.bad, p.k, p.used, CASE WHEN p.bad THEN k.streak + 1 ELSE 0 END AS streak, k.hard AS before FROM k JOIN p ON p.user_id = k.user_id AND p.i = k.i + 1 WHERE NOT k.stopped)))
+SELECT user_id, i, streak, action, stopped FROM k WHERE i >= 0"""
+
+
+@query("n17_recovery_plan", _RECOVERY)
+def n17_plan(spark, d) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in [*recovery.ACTIONS, "other"]])
+    t = timeline(spark, d).withColumn("kind", F.element_at(kinds, (F.col("event_id") % 9 + 1).cast("int")))
+    plan = recovery.recovery_plan(t, KEY, ["i"], F.col("event_type").isin("error", "view", "click"), "kind", "value", most=6)
+    return plan.select("user_id", "i", F.col("streak").cast("int").alias("streak"), "action", "stopped")
+
+
 @query("n23_best_so_far", """WITH b AS (SELECT user_id, i, value, event_type, max(value) OVER (PARTITION BY user_id ORDER BY i) AS best FROM tl)
 SELECT user_id, i, best AS best_score, (SELECT max_by(event_type, -x.i) FROM tl x WHERE x.user_id = b.user_id AND x.value = b.best AND x.i <= b.i) AS best_config FROM b""")
 def n23(spark, d) -> DataFrame:
@@ -368,6 +387,20 @@ def e27(spark, d) -> DataFrame:
     return audio.entropy(timeline(spark, d).withColumn("bin", F.least(F.floor(F.col("value") / 2), F.lit(255))), KEY, "bin", 8).withColumn("entropy", F.round("entropy", 6))
 
 
+@query("e27_complexity", """WITH p AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, greatest(0, least(255, floor(128 + 400 * v[k + 1])))::INT AS g FROM vec, (SELECT unnest(range(64)) AS k)),
+m AS (SELECT a.vec_id, a.y, a.x, sum(b.g * (b.x - a.x) * (2 - abs(b.y - a.y)) * CASE WHEN a.x IN (0, 7) THEN 0 ELSE n END) AS gx, sum(b.g * (b.y - a.y) * (2 - abs(b.x - a.x)) * CASE WHEN a.y IN (0, 7) THEN 0 ELSE n END) AS gy
+FROM p a JOIN (SELECT vec_id, y, x, g FROM p) b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1, LATERAL (SELECT CASE WHEN (a.y IN (0, 7) AND b.y <> a.y) OR (a.x IN (0, 7) AND b.x <> a.x) THEN 2 ELSE 1 END AS n) GROUP BY ALL),
+e AS (SELECT vec_id, avg(sqrt(gx * gx + gy * gy)) / 255 AS edge_density FROM m GROUP BY 1), u AS (SELECT vec_id, var_pop(g) / 65025 AS variance FROM p GROUP BY 1),
+h AS (SELECT vec_id, -sum(n / 64.0 * log2(n / 64.0)) / 8 AS entropy FROM (SELECT vec_id, g, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1)
+SELECT vec_id, round(edge_density, 6) AS edge_density, round(variance, 6) AS variance, round(entropy, 6) AS entropy, round(greatest(0, least(1, 0.3 * edge_density + 0.3 * variance + 0.4 * entropy)), 6) AS complexity FROM e JOIN u USING (vec_id) JOIN h USING (vec_id)""")
+def e27_complexity(spark, d) -> DataFrame:
+    # the 64 components of a vector as a frame of 8 x 8 values
+    p = vectors(spark, d).select("vec_id", F.posexplode("v").alias("k", "z"))
+    g = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * F.col("z")))).cast("int")
+    found = frames.complexity(p.select("vec_id", F.floor(F.col("k") / 8).alias("y"), (F.col("k") % 8).alias("x"), g.alias("g")), ["vec_id"], "y", "x", "g")
+    return found.select("vec_id", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
+
+
 @query("a4_every_nth", "SELECT user_id, i, event_id FROM tl WHERE i % 5 = 0")
 def a4(spark, d) -> DataFrame:
     return timeline(spark, d).where(F.col("i") % 5 == 0).select("user_id", "i", "event_id")

@@ -29,4 +29,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table, read back: it is computed once, cuts lineage and survives the loss of any executor."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def cleared(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``written`` that no later result reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
