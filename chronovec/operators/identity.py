@@ -256,6 +256,19 @@ def corrections(found: DataFrame, track: str, least: float = 0.8, sure: float =
     return found_all
 
 
+def identify(store: list[np.ndarray], x, threshold: float, first: bool = False) -> int:
+    """The place in ``store`` of the identity of a vector, which is put there."""
+    x = np.asarray(x, float)
+    x = x / max(np.linalg.norm(x), 1e-12)
+    sims = np.array(store) @ x if store else np.zeros(0)
+    k = int((sims > threshold if first else sims).argmax()) if len(sims) else -1
+    if k >= 0 and sims[k] > threshold:
+        store[k] = x
+        return k
+    store.append(x)
+    return len(store) - 1
+
+
 def online_ids(df: DataFrame, keys: list[str], order: list[str], v: str, threshold: float, first: bool = False) -> DataFrame:
     """Identity of each vector in order: the most similar stored one above the threshold, else a new one.
 
@@ -264,18 +277,8 @@ def online_ids(df: DataFrame, keys: list[str], order: list[str], v: str, thresho
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        store, ids = np.zeros((0, 0)), []
-        for x in pdf[v]:
-            x = np.asarray(x, float)
-            x = x / max(np.linalg.norm(x), 1e-12)
-            sims = store @ x if len(store) else np.zeros(0)
-            k = int((sims > threshold if first else sims).argmax()) if len(sims) else -1
-            if k >= 0 and sims[k] > threshold:
-                store[k] = x
-            else:
-                store = np.vstack([store, x]) if len(store) else x[None]
-                k = len(store) - 1
-            ids.append(k)
+        store: list[np.ndarray] = []
+        ids = [identify(store, x, threshold, first) for x in pdf[v]]
         return pdf.drop(columns=[v]).assign(identity=ids)
 
     schema = df.drop(v).select("*", F.lit(None).cast("long").alias("identity")).schema

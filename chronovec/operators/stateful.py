@@ -115,6 +115,37 @@ class Track:
         self.hits += 1
 
 
+def track_frame(tracks: list[Track], number: int, boxes: np.ndarray, scores: np.ndarray, ids: np.ndarray, high: float, least_iou: float, lost: int) -> tuple[list[Track], int, list[tuple]]:
+    """One frame of N3: the tracks after it, the next number, and ``(id, track, state, hits)`` of the detections taken."""
+    for t in tracks:
+        t.predict()
+    out: list[tuple] = []
+    rest = set(range(len(ids)))
+    active = [t for t in tracks if t.state == "tracked"]
+    strong, weak = np.flatnonzero(scores >= high), np.flatnonzero(scores < high)
+
+    def meet(dets: np.ndarray, some: list[Track], bar: float) -> set[int]:
+        used = set()
+        if len(dets) and some:
+            cost = 1 - overlaps(boxes[dets], np.array([t.box for t in some]))
+            for i, j in matched(cost, 1 - bar):
+                d, t = int(dets[i]), some[j]
+                t.update(boxes[d], scores[d])
+                out.append((ids[d], t.number, t.state, t.hits))
+                rest.discard(d)
+                used.add(j)
+        return used
+
+    used = meet(strong, active, least_iou)
+    meet(weak, [t for t in tracks if t.state == "lost"] + [t for j, t in enumerate(active) if j not in used], max(0.1, least_iou - 0.1))
+    for d in strong:
+        if int(d) in rest:
+            tracks.append(Track(number, boxes[d], scores[d]))
+            out.append((ids[d], number, "tracked", 1))
+            number += 1
+    return [t for t in tracks if t.missed < lost and t.state != "removed"], number, out
+
+
 def lifecycle_tracks(df: DataFrame, keys: list[str], frame: str, id_: str, conf: str, high: float = 0.6, least_iou: float = 0.3, lost: int = 30) -> DataFrame:
     """Track of each detection, with its state and hits.
 
@@ -126,33 +157,8 @@ def lifecycle_tracks(df: DataFrame, keys: list[str], frame: str, id_: str, conf:
         tracks: list[Track] = []
         out, number = [], 0
         for f, g in pdf.sort_values([frame, id_]).groupby(frame, sort=True):
-            boxes, scores, ids = g[BOX].to_numpy(float), g[conf].to_numpy(float), g[id_].to_numpy()
-            for t in tracks:
-                t.predict()
-            rest = set(range(len(ids)))
-            active = [t for t in tracks if t.state == "tracked"]
-            strong, weak = np.flatnonzero(scores >= high), np.flatnonzero(scores < high)
-
-            def meet(dets: np.ndarray, some: list[Track], bar: float, rest: set = rest, boxes: np.ndarray = boxes, scores: np.ndarray = scores, ids: np.ndarray = ids, f: int = f) -> set[int]:
-                used = set()
-                if len(dets) and some:
-                    cost = 1 - overlaps(boxes[dets], np.array([t.box for t in some]))
-                    for i, j in matched(cost, 1 - bar):
-                        d, t = int(dets[i]), some[j]
-                        t.update(boxes[d], scores[d])
-                        out.append((f, ids[d], t.number, t.state, t.hits))
-                        rest.discard(d)
-                        used.add(j)
-                return used
-
-            used = meet(strong, active, least_iou)
-            meet(weak, [t for t in tracks if t.state == "lost"] + [t for j, t in enumerate(active) if j not in used], max(0.1, least_iou - 0.1))
-            for d in strong:
-                if int(d) in rest:
-                    tracks.append(Track(number, boxes[d], scores[d]))
-                    out.append((f, ids[d], number, "tracked", 1))
-                    number += 1
-            tracks = [t for t in tracks if t.missed < lost and t.state != "removed"]
+            tracks, number, rows = track_frame(tracks, number, g[BOX].to_numpy(float), g[conf].to_numpy(float), g[id_].to_numpy(), high, least_iou, lost)
+            out += [(f, *r) for r in rows]
         found = pd.DataFrame(out, columns=[frame, id_, "track", "state", "hits"])
         for k in keys:
             found[k] = pdf[k].iloc[0]

@@ -66,8 +66,12 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, frame, det, label, x1, y1, x2, y2, w, h, conf``: boxes from vector components."""
+    return as_boxes(table(spark, sf_dir, "embeddings"))
+
+
+def as_boxes(embeddings: DataFrame) -> DataFrame:
     e = [F.col("embedding")[k].cast("double") for k in range(5)]
-    b = table(spark, sf_dir, "embeddings").select(
+    b = embeddings.select(
         "vec_id", "label", (500 + 1000 * e[0]).alias("x1"), (300 + 800 * e[1]).alias("y1"),
         (80 + 200 * F.abs(e[2])).alias("w"), (80 + 200 * F.abs(e[3])).alias("h"), F.least(F.lit(1.0), 0.4 + 2 * F.abs(e[4])).alias("conf"),
     )

@@ -9,6 +9,8 @@ from ..functions import scalar
 from ..operators import records
 from ..sources import excel, reports
 from ..storage import scratch
+from ..streaming import live
+from ..streaming import telemetry as streams
 from .catalog import query, table
 
 COLS = ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]
@@ -148,6 +150,16 @@ def n19(spark, d) -> DataFrame:
     return h.select("conv_id", "turn", F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("history"))
 
 
+@query("n19_live_history", "SELECT conv_id, turn, string_agg(role || ':' || text, '|') OVER (PARTITION BY conv_id ORDER BY turn) AS history FROM conversations")
+def n19_live(spark, d) -> DataFrame:
+    # sessions from a stream of the table's files, which may come in any order
+    far = (table(spark, d, "conversations").agg(F.max("turn")).first()[0] or 0) + 1
+    source = streams.read_stream(spark, f"{d}/conversations.parquet").withColumn("t", F.col("turn").cast("double"))
+    found = live.drained(source, "conv_id", "turn", "t", lambda s: live.live_sessions(s, "conv_id", F.col("t"), "turn", "role", "text", late=f"{far} seconds"), scratch(spark), 3.0 * far)
+    said = F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
+    return found.select(F.col("key").alias("conv_id"), F.col("id").alias("turn"), said.alias("history"))
+
+
 @query("j16_chunks", "SELECT doc_id, p::INT AS part, substring(text, p * 4000 + 1, 4000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 4000.0)::BIGINT)) AS p FROM documents)")
 def j16(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(scalar.chunks(F.col("text"))).alias("part", "chunk"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..operators import stateful
 from ..storage import scratch
+from ..streaming import live
 from ..streaming import telemetry as streams
-from .catalog import boxes, query, table, timeline, vectors
+from .catalog import as_boxes, boxes, query, table, timeline, vectors
 
 R = lambda c, n=4: F.round(c, n)
 
@@ -33,6 +34,15 @@ def n3(spark, d) -> DataFrame:
     return stateful.lifecycle_tracks(_scenes(spark, d), ["scene"], "frame", "vec_id", "conf", 0.6, 0.1)
 
 
+@query("n3_live_tracks")
+def n3_live(spark, d) -> DataFrame:
+    # the same tracks from a stream of the table's files, which may come in any order
+    source = as_boxes(streams.read_stream(spark, f"{d}/embeddings.parquet")).withColumns({"scene": F.floor(F.col("frame") / 25), "t": F.col("frame").cast("double")})
+    far = (table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    found = live.drained(source, "scene", "vec_id", "t", lambda s: live.live_tracks(s, "scene", F.col("t"), "vec_id", "conf", 0.6, 0.1, late=f"{far} seconds"), scratch(spark), 3.0 * far)
+    return found.select(F.col("key").alias("scene"), F.col("at").cast("long").alias("frame"), F.col("id").alias("vec_id"), "track", "state", "hits")
+
+
 _FACES = """b AS (SELECT bx.frame // 25 AS scene, bx.frame, bx.vec_id AS i, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, w, h, w * h AS area, conf AS score, x1, y1,
 list_transform(e.v, lambda y: y / sqrt(list_inner_product(e.v, e.v))) AS v FROM bx JOIN vec e ON e.vec_id = bx.vec_id),
 g AS (SELECT *, 0.5 * greatest(0, 1 - sqrt((x - 960) ** 2 + (y - 540) ** 2) / 800) + 0.3 * least(area / 50000, 1) + 0.2 * score AS worth FROM b)"""

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import identity
-from .catalog import query, vectors
+from ..storage import scratch
+from ..streaming import live
+from ..streaming import telemetry as streams
+from .catalog import query, table, vectors
 
 R6 = lambda c: F.round(c, 6)
 PAIR = "FROM vec a JOIN vec b ON a.vec_id = b.vec_id - 1"
@@ -205,6 +208,16 @@ def n1_first(spark, d) -> DataFrame:
     return identity.online_ids(_scenes(spark, d).select("scene", "vec_id", "v"), ["scene"], ["vec_id"], "v", 0.3, first=True)
 
 
+@query("n1_live_ids", _ONLINE.format(unit=_UNIT, choice="CASE WHEN list_max(sims) > 0.3 THEN list_position(sims, list_max(sims)) END"))
+def n1_live(spark, d) -> DataFrame:
+    # a stream of the table's files, which may come in any order
+    path = f"{d}/embeddings.parquet"
+    far = (table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    source = streams.read_stream(spark, path).select("vec_id", F.floor(F.col("vec_id") / 100).alias("scene"), F.col("embedding").cast("array<double>").alias("v"), F.col("vec_id").cast("double").alias("t"))
+    found = live.drained(source, "scene", "vec_id", "t", lambda s: live.live_identities(s, "scene", F.col("t"), "vec_id", "v", 0.3, late=f"{far} seconds"), scratch(spark), 3.0 * far)
+    return found.select(F.col("key").alias("scene"), F.col("id").alias("vec_id"), "identity")
+
+
 @query("n2_greedy_merge", f"""WITH RECURSIVE {_UNIT}, k AS (SELECT scene, vec_id, r, [{{'i': vec_id, 'x': x}}] AS reps, vec_id AS representative FROM u WHERE r = 1 UNION ALL
 SELECT scene, vec_id, r, CASE WHEN rep IS NULL THEN list_append(reps, {{'i': vec_id, 'x': x}}) ELSE reps END, coalesce(rep, vec_id) FROM (
 SELECT u.scene, u.vec_id, u.r, u.x, k.reps, list_filter(k.reps, lambda p: list_inner_product(p.x, u.x) >= 0.3)[1].i AS rep FROM k JOIN u ON u.scene = k.scene AND u.r = k.r + 1))
