@@ -295,18 +295,15 @@ def s3(spark, d) -> DataFrame:
     return streams.held(timeline(spark, d), "user_id", ["i"], "t", "value", 30000.0)
 
 
-@query("a6_polled_feed", "SELECT n_nationkey::BIGINT AS update_id, n_name AS text FROM nation")
+@query("a6_polled_feed", "SELECT page_id AS update_id, url AS text FROM pages WHERE page_id >= 0")
 def a6(spark, d) -> DataFrame:
     from ..sources import feed
 
-    rows = [(r["n_nationkey"], r["n_name"]) for r in table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]  # the made-up service holds the nations
-
-    def client(offset: int, limit: int) -> list[dict]:
-        return [{"update_id": k, "text": n} for k, n in rows if k >= offset][:limit]
-
-    feed.register(spark, "nation_feed", client, 10)
-    q = spark.readStream.format("nation_feed").load().select("update_id", F.get_json_object("payload", "$.text").alias("text"))
-    path = scratch(spark)
+    # the made-up service hands out the addresses of the pages, a folder for each thousand
+    path = scratch(spark, "feed")
+    told = table(spark, d, "pages").where("page_id >= 0").select("page_id", F.col("url").alias("text"))
+    feed.register(spark, "page_feed", feed.publish(told, "page_id", f"{path}/service", 1000), 1000)
+    q = spark.readStream.format("page_feed").load().select("update_id", F.get_json_object("payload", "$.text").alias("text"))
     run = q.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/data").start()
     run.processAllAvailable()
     run.stop()

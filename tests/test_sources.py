@@ -9,18 +9,34 @@ from chronovec.sources import excel, feed, files, lookup, reports
 from chronovec.streaming import telemetry as streams
 
 
-def test_feed_reads_every_update_once(spark, tmp_path):
-    updates = [{"update_id": k, "text": f"m{k}"} for k in range(7)]
-
-    def client(offset, limit):
-        return [u for u in updates if u["update_id"] >= offset][:limit]
-
-    feed.register(spark, "polled", client, 3)
-    q = spark.readStream.format("polled").load().writeStream.format("memory").queryName("polled").option("checkpointLocation", str(tmp_path)).start()
-    q.processAllAvailable()
-    q.stop()
-    got = [(r.update_id, json.loads(r.payload)["text"]) for r in spark.table("polled").orderBy("update_id").collect()]
-    assert got == [(k, f"m{k}") for k in range(7)]
+def test_feed_goes_on_after_a_restart(spark, tmp_path):
+    """Pages are read by executors; what is committed is not read again, and ids may have gaps."""
+    path, taken = str(tmp_path / "service"), str(tmp_path / "out")
+    ids = [*range(7), 40, 41, 1000]
+    told = lambda some: feed.publish(spark.createDataFrame([(k, f"m{k}") for k in some], "id long, text string"), "id", path, 3)
+
+    def run():
+        s = spark.readStream.format("polled").load().withColumn("partition", F.spark_partition_id())
+        q = s.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).option("path", taken).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.read.parquet(taken).collect()
+
+    feed.register(spark, "polled", told(ids[:5]), 3)
+    first = run()
+    assert sorted(r.update_id for r in first) == ids[:5] and len({r.partition for r in first}) == 2
+    told(ids[5:])
+    found = run()
+    assert sorted((r.update_id, json.loads(r.payload)["text"]) for r in found) == [(k, f"m{k}") for k in ids]
+    assert sorted(r.update_id for r in run()) == ids
+    assert int((tmp_path / "service" / "_offset").read_text()) in (5, 1001)  # told when the batch after it begins, or the next start
+
+
+def test_ranges_of_a_feed():
+    cut = lambda *a: [(r.start, r.end) for r in feed.ranges(*a)]
+    assert cut(0, 0, 3) == [] and cut(4, 5, 3) == [(4, 5)] and cut(2, 9, 3) == [(2, 3), (3, 6), (6, 9)]
+    far = cut(5, 10**12, 100)
+    assert len(far) <= feed.MOST_RANGES + 1 and far[0][0] == 5 and far[-1][1] == 10**12 and all(a[1] == b[0] for a, b in zip(far, far[1:]))
 
 
 def test_lookup_asks_for_distinct_keys(spark):
