@@ -8,7 +8,12 @@ Pointer jumping from the start of each file (hops double every round) keeps the
 candidates that the chain reaches; magic inside payloads is never reached. The
 pointers are jumped inside each split first, which gives where a chain leaves
 it; only files of several splits then take rounds of joins, over splits.
-Payloads that hold magic are put together from their pieces afterwards.
+Payloads that hold magic are put together from their pieces afterwards, and so
+are headers, before the chains are followed: a stretch that starts like a
+record and has no blank line is joined with what follows it, up to
+``MOST_HEADER`` bytes. Our own archives write the magic in an address with its
+slash as %2F. A chain has to end where its file does; if one does not, the
+archive is damaged, and reading raises.
 
 Scale. Archives are plain text files that Spark writes and splits; a reading
 task holds one record at a time, and hashes payloads where they are read. Only
@@ -20,8 +25,9 @@ where one digest is common.
 Defined results: a null html is an empty payload. Equal payloads of at least
 100 bytes: the rows with the smallest page_id are responses (all of them, if
 rows repeat), the others are revisits. Rows with a null page_id are responses.
-A revisit's length and digest are those of the response it refers to. An empty
-table gives an empty result; other columns are ignored, whatever their names.
+A revisit's length and digest are those of the response it refers to. Magic in
+an address or in any header field is a part of that field. An empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,13 +53,15 @@ LEAST_REVISIT = 100
 _ID = "urn:page:"
 #: Offsets are dealt by this many bytes when pieces of a payload look for their record.
 _SPAN = 1 << 20
+#: A header that holds magic is read up to so many bytes.
+MOST_HEADER = 1 << 16
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(record)``: one WARC record for each page, without the closing blank lines."""
     p = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
-        F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "%20").alias("url"),
+        F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "%20"), r"WARC/1\.", "WARC%2F1.").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
     )
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
@@ -95,7 +103,8 @@ def _parse(value: bytes) -> tuple | None:
     return at + 4, int(size), text(b"warc-type"), text(b"warc-record-id"), text(b"warc-payload-digest").removeprefix("sha256:"), text(b"warc-refers-to") or None
 
 
-_CANDIDATE = "f long, block long, seq long, rel long, len long, head long, size long, type string, record_id string, digest string, refers_to string, sha string, value binary"
+_HEADER = "head long, size long, type string, record_id string, digest string, refers_to string"
+_CANDIDATE = f"f long, block long, seq long, rel long, len long, {_HEADER}, sha string, open boolean, value binary"
 
 
 def candidates(spark: SparkSession, path: str, with_value: bool = False) -> DataFrame:
@@ -113,12 +122,13 @@ def candidates(spark: SparkSession, path: str, with_value: bool = False) -> Data
                     head, size, kind, name, digest, refers = found
                     if head + size <= len(value):
                         sha = hashlib.sha256(value[head : head + size]).hexdigest()
-                rows.append((f, block, at[1], at[0], len(value), head, size, kind, name, digest, refers, sha, value if with_value else None))
+                open_header = value[:3] in VERSIONS and value.find(b"\r\n\r\n") < 0
+                rows.append((f, block, at[1], at[0], len(value), head, size, kind, name, digest, refers, sha, open_header, value if with_value else None))
                 at[0] += len(value) + len(MAGIC)
                 at[1] += 1
-            kinds = [pa.int64()] * 7 + [pa.string()] * 5 + [pa.binary()]
-            names = ["f", "block", "seq", "rel", "len", "head", "size", "type", "record_id", "digest", "refers_to", "sha", "value"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 13, kinds)], names=names)
+            kinds = [pa.int64()] * 7 + [pa.string()] * 5 + [pa.bool_(), pa.binary()]
+            names = ["f", "block", "seq", "rel", "len", "head", "size", "type", "record_id", "digest", "refers_to", "sha", "open", "value"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 14, kinds)], names=names)
 
     read = spark.read.option("lineSep", MAGIC).text(path)
     return read.select(F.col("value").cast("binary"), F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("block")).mapInArrow(run, _CANDIDATE)
@@ -174,35 +184,70 @@ def reachable(chain: DataFrame, starts: DataFrame) -> DataFrame:
     return reached
 
 
+def _pieces(spark: SparkSession, path: str, placed: DataFrame, owners: DataFrame, most: int | None = None) -> DataFrame:
+    """``f, off, joined``: for each of ``owners(f, off, to)`` what its archive has from its magic to ``to``, the magic left out; of a piece ``most`` bytes at most."""
+    spans = owners.withColumn("span", F.explode(F.sequence(F.floor(F.col("off") / _SPAN), F.floor(F.col("to") / _SPAN)))).select("f", "span", F.col("off").alias("own"), "to")
+    parts = placed.withColumn("span", F.floor(F.col("off") / _SPAN)).select("f", "span", "off", "block", "seq").join(spans, ["f", "span"]).where("off >= own and off < to")
+    value = F.col("value") if most is None else F.substring("value", 1, most)
+    values = candidates(spark, path, with_value=True).select("f", "block", "seq", value.alias("value"))
+    held = parts.select("f", "block", "seq", "off", "own").join(values, ["f", "block", "seq"])
+    held = held.groupBy("f", F.col("own").alias("off")).agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
+    magic = F.lit(MAGIC).cast("binary")
+    joined = F.aggregate(F.slice(F.col("parts"), F.lit(2), F.size("parts") - 1), F.element_at("parts", 1)["value"], lambda acc, x: F.concat(acc, magic, x["value"]))
+    return held.select("f", "off", joined.alias("joined"))
+
+
+def _with_whole_headers(spark: SparkSession, path: str, placed: DataFrame) -> DataFrame:
+    """``placed`` with the headers read that the magic in one of their fields cut short."""
+    cut = placed.where("open")
+    if cut.isEmpty():
+        return placed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list(zip(*[_parse(v) or (None,) * 6 for v in b.column("joined").to_pylist()])) or [()] * 6
+            kinds = [pa.int64()] * 2 + [pa.string()] * 4
+            yield pa.RecordBatch.from_arrays([b.column("f"), b.column("off"), *[pa.array(c, t) for c, t in zip(found, kinds)]], names=["f", "off", *[c.split()[0] for c in _HEADER.split(", ")]])
+
+    joined = _pieces(spark, path, placed, cut.select("f", "off", (F.col("off") + MOST_HEADER).alias("to")), MOST_HEADER)
+    read = joined.mapInArrow(run, f"f long, off long, {_HEADER}").where("head is not null")
+    names = [c.split()[0] for c in _HEADER.split(", ")]
+    new = read.select("f", "off", *[F.col(c).alias(f"_{c}") for c in names], F.lit(True).alias("_read"))
+    both = placed.join(new, ["f", "off"], "left")
+    to = F.when(F.col("_read"), F.col("off") + len(MAGIC) + F.col("_head") + F.col("_size") + len(END)).otherwise(F.col("to"))
+    changed = both.select(*[to.alias(c) if c == "to" else F.when(F.col("_read"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in placed.columns])
+    whole = materialize(changed, "warc-headers")
+    release(placed)
+    return whole
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``(record_id, type, payload_bytes, sha, digest, refers_to)`` of the records that the chains reach."""
     found = materialize(candidates(spark, path).drop("value"), "warc-candidates")
     blocks = found.groupBy("f", "block").agg(F.sum(F.col("len") + len(MAGIC)).alias("bytes"))
     file = Window.partitionBy("f")
     base = F.coalesce(F.sum("bytes").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = blocks.select("f", "block", base.alias("base"), F.count("*").over(file).alias("splits"))
+    splits = blocks.select("f", "block", base.alias("base"), F.count("*").over(file).alias("splits"), (F.sum("bytes").over(file) - len(MAGIC)).alias("file_bytes"))
     placed = found.join(splits.hint("merge"), ["f", "block"]).withColumn("off", F.col("base") + F.col("rel") - len(MAGIC))
-    placed = placed.where("off >= 0").withColumn("to", F.col("off") + len(MAGIC) + F.col("head") + F.col("size") + len(END)).drop("rel", "len", "base")
-    placed = materialize(placed, "warc-placed")
+    ends = materialize(splits.select("f", "file_bytes").distinct(), "warc-files")
+    placed = placed.where("off >= 0").withColumn("to", F.col("off") + len(MAGIC) + F.col("head") + F.col("size") + len(END)).drop("rel", "len", "base", "file_bytes")
+    placed = _with_whole_headers(spark, path, materialize(placed, "warc-placed"))
     release(found)
     several = placed.where("splits > 1").select("f", "block", "off", "to")
     entries = reachable(several.groupBy("f", "block").applyInArrow(leaves, "f long, off long, to long"), placed.where("off = 0").select("f", "off"))
     flagged = placed.join(entries.hint("merge").withColumn("entry", F.lit(True)), ["f", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     schema = ", ".join(f"{n} {t}" for n, t in flagged.drop("entry").dtypes)
     true = materialize(flagged.groupBy("f", "block").applyInArrow(followed, schema), "warc-true")
+    reached = true.groupBy("f").agg(F.max(F.coalesce("to", F.lit(-1))).alias("reached"))
+    early = ends.join(reached, "f", "left").where("file_bytes > 0 and coalesce(reached, 0) <> file_bytes").count()
+    if early:
+        raise ValueError(f"{early} archives under {path} have a record that does not end where the next one starts")
     whole = true.where("sha is not null").select("record_id", "type", F.col("size").alias("payload_bytes"), "sha", "digest", "refers_to")
     broken = materialize(true.where("sha is null and head is not null").select("f", "off", "to", "head", "size", "record_id", "type", "digest", "refers_to"), "warc-broken")
     if broken.isEmpty():
         return whole
-    owners = broken.withColumn("span", F.explode(F.sequence(F.floor(F.col("off") / _SPAN), F.floor(F.col("to") / _SPAN)))).select("f", "span", F.col("off").alias("own"), "to")
-    parts = placed.withColumn("span", F.floor(F.col("off") / _SPAN)).select("f", "span", "off", "block", "seq").join(owners, ["f", "span"]).where("off >= own and off < to")
-    values = candidates(spark, path, with_value=True).select("f", "block", "seq", "value")
-    held = parts.select("f", "block", "seq", "off", "own").join(values, ["f", "block", "seq"])
-    held = held.groupBy("f", F.col("own").alias("off")).agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
-    magic = F.lit(MAGIC).cast("binary")
-    joined = F.aggregate(F.slice(F.col("parts"), F.lit(2), F.size("parts") - 1), F.element_at("parts", 1)["value"], lambda acc, x: F.concat(acc, magic, x["value"]))
     payload = F.expr("substring(joined, int(head) + 1, int(size))")
-    put = held.select("f", "off", joined.alias("joined")).join(broken, ["f", "off"]).withColumn("payload", payload)
+    put = _pieces(spark, path, placed, broken.select("f", "off", "to")).join(broken, ["f", "off"]).withColumn("payload", payload)
     return whole.unionByName(put.select("record_id", "type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("sha"), "digest", "refers_to"))
 
 

@@ -178,7 +178,8 @@ def test_warc_round_trip(spark, monkeypatch):
     rng = random.Random(3)
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     makers = [lambda: None, lambda: "", lambda: fake * rng.randint(1, 3), lambda: "x" * rng.randint(0, 300) + "WARC/1.1\r\nfoo", lambda: "é" * rng.choice([10, 60, 200]), lambda: "WARC/1.1\r\n" * rng.randint(1, 4)]
-    rows = [(i if i % 29 else None, f"u\r\n{i}" if i % 3 else None, rng.choice(makers)()) for i in range(150)]
+    urls = [None, "u\r\n1", "http://a/WARC/1.", "http://a/WARC/1.0", "WARC/1.1WARC/1.1\r\nContent-Length: 3\r\n\r\n", "é" * 40 + "WARC/1.0"]
+    rows = [(i if i % 29 else None, rng.choice(urls), rng.choice(makers)()) for i in range(150)]
     rows += [(500, "u", "y" * 200), (500, "u", "y" * 200), (501, "u", "y" * 200)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
@@ -209,7 +210,12 @@ def test_archives_of_others(spark, tmp_path, split):
         for k in range(40):
             body = rng.choice([b"", b"x" * 300, b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 3, b"WARC/1.", b"\r\n\r\nWARC/1.1\r\n"])
             kind, name = rng.choice(["response", "request", "warcinfo"]), f"<urn:uuid:{f}-{k}>"
-            out += f"WARC/1.{rng.randint(0, 1)}\r\nWARC-Type: {kind}\r\nwarc-record-id: {name}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+            fields = [f"WARC-Type: {kind}", f"warc-record-id: {name}", f"Content-Length: {len(body)}"]
+            for odd in ("http://a/WARC/1.", "WARC/1.0", "WARC/1.1 WARC/1.0", "x" * 200 + "WARC/1."):
+                if rng.random() < 0.25:  # magic in a field, at its end or inside
+                    fields.insert(rng.randint(0, len(fields)), f"WARC-Target-URI: {odd}{rng.choice(['', '?q'])}")
+            rng.shuffle(fields)
+            out += f"WARC/1.{rng.randint(0, 1)}\r\n".encode() + "\r\n".join(fields).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
             expected[(name.strip("<>"), kind, len(body), hashlib.sha256(body).hexdigest())] += 1
         (tmp_path / f"{f}.warc").write_bytes(out)
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
@@ -220,6 +226,20 @@ def test_archives_of_others(spark, tmp_path, split):
     assert got == expected
 
 
+def test_damaged_archives_raise(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    for n, data in enumerate((record * 3 + b"left over", record + record[:-3], record * 2 + record.replace(b": 4", b": 900"), b"xx" + record, record + record.replace(b"Content-Length: 4\r\n", b""))):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "a.warc").write_bytes(data)
+        (tmp_path / str(n) / "b.warc").write_bytes(record)
+        with pytest.raises(ValueError, match="1 archives"):
+            warc.read_archives(spark, str(tmp_path / str(n)))
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.warc").write_bytes(record * 2)
+    (tmp_path / "good" / "empty.warc").write_bytes(b"")
+    assert warc.read_archives(spark, str(tmp_path / "good")).count() == 2
+
+
 # ---- 4 ----
 
 
