@@ -261,13 +261,14 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if parts and size >= BLOCK:
+                data = (t or "").encode("utf-8", "surrogatepass")
+                if parts and max(size, len(data)) >= BLOCK:
                     yield emit()
                     n += 1
                     ids, parts, size = [], [], 0
                 ids.append(i)
-                parts.append((t or "").encode("utf-8", "surrogatepass"))
-                size += len(parts[-1])
+                parts.append(data)
+                size += len(data)
         if parts:
             yield emit()
 
@@ -394,14 +395,23 @@ def _distinct_segments(rows: pa.Table) -> tuple[list[bytes], list[np.ndarray], n
 
 
 def _minima(rows: pa.Table, segs: list[np.ndarray], low: np.ndarray, windows: dict[int, np.ndarray]) -> pa.Table:
-    """For each block the smallest doc_id of each of its segments, or a mark where they differ, and then those of the windows of the marked."""
-    even, out = low.copy(), []
-    even[np.fromiter(windows, np.int64, len(windows))] = np.iinfo(np.int64).min
+    """For each block a bit for each of its segments whose windows differ, the smallest doc_id of each, and then those of the windows that differ."""
+    varied, out = np.zeros(len(low), bool), []
+    varied[np.fromiter(windows, np.int64, len(windows))] = True
     for own in segs:
-        out.append(_pack(np.concatenate([even[own], *[windows[k] for k in own.tolist() if k in windows]]).astype("<i8").tobytes()))
+        values = np.concatenate([low[own], *[windows[k] for k in own[varied[own]].tolist()]])
+        out.append(_pack(np.packbits(varied[own]).tobytes() + values.astype("<i8").tobytes()))
     return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "minima": pa.array(out, pa.binary())})
 
 
+def _read_minima(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_minima`` says of ``n`` segments: which differ, the smallest doc_ids, those of the windows."""
+    data = _unpack(data)
+    bits = -(-n // 8)
+    values = np.frombuffer(data, "<i8", offset=bits)
+    return np.unpackbits(np.frombuffer(data, np.uint8, bits))[:n].astype(bool), values[:n], values[n:]
+
+
 def _combine_segments(rows: pa.Table) -> pa.Table:
     """The blocks of a part as one; segments in order."""
     texts, _, key, low = _distinct_segments(rows)
@@ -416,11 +426,11 @@ def _spread_minima(rows: pa.Table, found: pa.Table) -> pa.Table:
     """The answer to a part, for each of its blocks."""
     texts, segs, _, _ = _distinct_segments(rows)
     order = sorted(range(len(texts)), key=texts.__getitem__)
-    answer = np.frombuffer(_unpack(found.column("minima")[0].as_py()), "<i8")
-    low, at, windows = np.empty(len(texts), np.int64), len(texts), {}
-    low[order] = answer[: len(texts)]
-    for k in order:
-        if low[k] == np.iinfo(np.int64).min:
+    varied, even, answer = _read_minima(found.column("minima")[0].as_py(), len(texts))
+    low, at, windows = np.empty(len(texts), np.int64), 0, {}
+    low[order] = even
+    for k, differs in zip(order, varied.tolist()):
+        if differs:
             width = len(texts[k]) - LENGTH + 1
             windows[k] = answer[at : at + width]
             at += width
@@ -482,13 +492,12 @@ def _finish(batches: Iterator[pa.RecordBatch], buckets: int, with_text: bool) ->
             cover = np.zeros(len(docs.buf) + 1, np.int32)
             if minima[k]:
                 (texts, _, bucket, _), (seg, first, size, doc) = _cut(docs, masks[k], buckets)
-                found = {m["bucket"]: np.frombuffer(_unpack(m["minima"]), "<i8") for m in minima[k]}
+                found = {m["bucket"]: m["minima"] for m in minima[k]}
                 width = np.array([len(t) - LENGTH + 1 for t in texts], np.int64)
-                even, flat = np.zeros(len(texts), np.int64), []
+                even, varied, flat = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), []
                 for at, x, y in _slices(bucket):
-                    even[x:y] = found[at][: y - x]
-                    flat.append(found[at][y - x :])
-                varied = even == np.iinfo(np.int64).min
+                    varied[x:y], even[x:y], windows = _read_minima(found[at], y - x)
+                    flat.append(windows)
                 flat = np.concatenate(flat)
                 offset = np.zeros(len(texts), np.int64)
                 offset[varied] = np.concatenate(([0], np.cumsum(width[varied])[:-1])) if varied.any() else []

@@ -157,6 +157,21 @@ def test_substring_dedup_with_blocks_combined_in_parts(spark, corpus, monkeypatc
     assert got == Counter(substring_dedup.plain_dedup(list(zip(ids, corpus))))
 
 
+@pytest.mark.parametrize("fan", [2, 4096])
+def test_substring_dedup_with_the_smallest_and_largest_ids(spark, corpus, monkeypatch, fan):
+    """Segments that differ and segments that do not, of documents at both ends of the range."""
+    monkeypatch.setattr(substring_dedup, "FAN", fan)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 900)
+    ids = [-(2**63), 2**63 - 1, -(2**63) + 1, 0, None, 2**63 - 2, -(2**63)]
+    shared = "a passage of well over fifty bytes that the documents of this test have in common"
+    texts = [shared, "x" + shared + corpus[20], corpus[20] + shared[:60], shared + " and more of it " + shared, shared, shared[20:] + corpus[20], corpus[20]]
+    for order in (list(range(7)), list(range(7))[::-1]):
+        some = [ids[k] for k in order]
+        df = table(spark, texts, ids=some)
+        got = Counter(tuple(r)[:5] for r in substring_dedup.dedup_substrings(df).collect())
+        assert got == Counter(substring_dedup.plain_dedup(list(zip(some, texts))))
+
+
 @pytest.mark.parametrize("length", [7, 12, 50])
 def test_interval_expansion(length):
     rng = random.Random(2)
