@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Rows of an Arrow batch: bounds what a Python worker holds of long texts at once.
 BATCH_ROWS = 512
 #: Bytes of an Arrow batch.
@@ -27,18 +28,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a new local one if Spark runs on this machine alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -80,6 +69,18 @@ def perhaps_among(df: DataFrame, key: str, some: DataFrame) -> DataFrame:
     return found.select(*df.columns, F.coalesce(F.col(key).isNotNull() & (F.col("_bits").bitwiseAND(bit(mine)) != 0), F.lit(False)).alias("_perhaps"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer where a column of ``df`` is named so."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

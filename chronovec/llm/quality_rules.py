@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import fresh, held_out, table
 
 SAMPLE_ROWS = 4000
 _SPACE = " \t\n\x0b\f\r"
@@ -72,9 +72,10 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counted = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), repeat_words(w).alias("n_repeat_words")))
     by_line = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     length = F.length(t).cast("long")
+    w, x = fresh(docs, "_w", "_l")
     out = docs.withColumns({
-        "_w": counted,
-        "_l": by_line,
+        w: counted,
+        x: by_line,
         "word_chars": _without(t, _SPACE),
         "n_symbols": length - _without(t, _SYMBOLS),
         "n_upper": length - _without(t, _UPPER),
@@ -82,8 +83,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_digits": length - _without(t, "0123456789"),
         "n_stops": length - _without(t, ".,;:"),
     })
-    names = {"n_words": "_w", "n_distinct": "_w", "n_repeat_words": "_w", "n_lines": "_l", "n_dup_lines": "_l"}
-    return out.withColumns({n: F.col(s)[n] for n, s in names.items()}).drop("_w", "_l")
+    names = {"n_words": w, "n_distinct": w, "n_repeat_words": w, "n_lines": x, "n_dup_lines": x}
+    return out.withColumns({n: F.col(s)[n] for n, s in names.items()}).drop(w, x)
 
 
 def _share(a: str, b: str) -> Column:

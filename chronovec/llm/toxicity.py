@@ -19,10 +19,10 @@ in Spark and held once.
 Scale. The documents are read once for scoring, without a shuffle; the model
 is a dictionary of at most ``FEATURES`` entries and the group terms.
 
-Defined results: null and empty texts score by the bias alone, below 0.5.
+Defined results: null and empty texts score by the bias alone.
 Rows with null ids are scored, never learned from. Null labels are not
-learned from. If no label of one kind is there, every score is the label's
-smoothed mean. Repeated rows each get a row; of repeated ids in ``labels`` the
+learned from. If the sample has labels of one kind only, or none, every score
+is (toxic + 1) / (labels + 3): 1/3 without labels. Repeated rows each get a row; of repeated ids in ``labels`` the
 highest label counts, of their texts the first in order, and texts that repeat
 in the sample are learned from once. Texts are read whole, whatever their length. An empty
 table gives an empty result. Other columns are kept; one that is named like
@@ -196,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
     release(labelled, rows_)
     total, toxic = len(plain), sum(r["y"] for r in plain)
     if not 0 < toxic < total:
-        return {"known": {}, "weights": [], "bias": math.log((toxic + 1) / (2 * (total - toxic) + 4))}
+        return {"known": {}, "weights": [], "bias": math.log((toxic + 1) / (total - toxic + 2))}
     own = Features(known)
     neutral = list(dict.fromkeys(n.format(t) for g in IDENTITY_TERMS for t in g for n in NEUTRAL))
     x = np.zeros((total + len(neutral), len(names)), np.float32)

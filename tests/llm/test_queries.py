@@ -217,6 +217,17 @@ def test_op9(spark, sf_dir, documents):
 CLASHES = ["spans", "rules", "_perhaps", "gram", "pii", "base_pii", "redacted", "score", "n_words", "kept", "base_failed", "_w", "_l", "_id", "y", "fp", "rep", "root", "node", "k", "bits", "h", "g", "bands", "piece", "length", "rank", "task", "block", "value", "_row", "_text", "_hit", "n_hit", "items", "have_0", "_word", "_bits"]
 
 
+@pytest.mark.parametrize("toxic, expected", [(27, 28 / 30), (0, 1 / 30)])
+def test_toxicity_of_one_class(spark, toxic, expected):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:27]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bool(toxic))) for i in ids], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert all(abs(r.score - expected) < 1e-9 for r in toxicity.score(docs, model).collect())
+    none = toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).first().score
+    assert abs(none - 1 / 3) < 1e-9
+
+
 def test_clashing_names_empty_tables_and_nulls(spark, sf_dir):
     """Columns named like what operators use inside change nothing."""
     import corpus_pipeline as p
@@ -239,6 +250,8 @@ def test_clashing_names_empty_tables_and_nulls(spark, sf_dir):
         got = f(clash)
         assert Counter(map(str, got.select(*want.columns).collect())) == Counter(map(str, want.collect())), name
         assert f(clash.limit(0)).count() == 0, name
+        if name in ("quality", "rules", "toxicity", "decontaminate"):
+            assert set(CLASHES) - set(want.columns) <= set(got.columns), name  # those that keep other columns keep them all
         for c in set(got.columns) & set(CLASHES) - set(want.columns):
             assert {r[0] for r in got.select(c).collect()} == {f"{c}?"}, (name, c)
     for name, stage in p.STAGES:
