@@ -154,7 +154,7 @@ def n19(spark, d) -> DataFrame:
 def n19_live(spark, d) -> DataFrame:
     # sessions from a stream of the table's files, which may come in any order
     far = (table(spark, d, "conversations").agg(F.max("turn")).first()[0] or 0) + 1
-    source = streams.read_stream(spark, f"{d}/conversations.parquet").withColumn("t", F.col("turn").cast("double"))
+    source = streams.read_stream(spark, f"{d}/conversations.parquet", 1000).withColumn("t", F.col("turn").cast("double"))
     found = live.drained(source, "conv_id", "turn", "t", lambda s: live.live_sessions(s, "conv_id", F.col("t"), "turn", "role", "text", late=f"{far} seconds"), scratch(spark), 3.0 * far)
     said = F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
     return found.select(F.col("key").alias("conv_id"), F.col("id").alias("turn"), said.alias("history"))

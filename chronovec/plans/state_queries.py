@@ -37,7 +37,7 @@ def n3(spark, d) -> DataFrame:
 @query("n3_live_tracks")
 def n3_live(spark, d) -> DataFrame:
     # the same tracks from a stream of the table's files, which may come in any order
-    source = as_boxes(streams.read_stream(spark, f"{d}/embeddings.parquet")).withColumns({"scene": F.floor(F.col("frame") / 25), "t": F.col("frame").cast("double")})
+    source = as_boxes(streams.read_stream(spark, f"{d}/embeddings.parquet", 1000)).withColumns({"scene": F.floor(F.col("frame") / 25), "t": F.col("frame").cast("double")})
     far = (table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
     found = live.drained(source, "scene", "vec_id", "t", lambda s: live.live_tracks(s, "scene", F.col("t"), "vec_id", "conf", 0.6, 0.1, late=f"{far} seconds"), scratch(spark), 3.0 * far)
     return found.select(F.col("key").alias("scene"), F.col("at").cast("long").alias("frame"), F.col("id").alias("vec_id"), "track", "state", "hits")

@@ -213,7 +213,7 @@ def n1_live(spark, d) -> DataFrame:
     # a stream of the table's files, which may come in any order
     path = f"{d}/embeddings.parquet"
     far = (table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
-    source = streams.read_stream(spark, path).select("vec_id", F.floor(F.col("vec_id") / 100).alias("scene"), F.col("embedding").cast("array<double>").alias("v"), F.col("vec_id").cast("double").alias("t"))
+    source = streams.read_stream(spark, path, 1000).select("vec_id", F.floor(F.col("vec_id") / 100).alias("scene"), F.col("embedding").cast("array<double>").alias("v"), F.col("vec_id").cast("double").alias("t"))
     found = live.drained(source, "scene", "vec_id", "t", lambda s: live.live_identities(s, "scene", F.col("t"), "vec_id", "v", 0.3, late=f"{far} seconds"), scratch(spark), 3.0 * far)
     return found.select(F.col("key").alias("scene"), F.col("id").alias("vec_id"), "identity")
 
