@@ -299,29 +299,6 @@ def e9(spark, d) -> DataFrame:
     return timeline(spark, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("confidence"))
 
 
-@query("d6_zip_timelines", """WITH a AS (SELECT i, value FROM tl WHERE user_id = (SELECT min(user_id) FROM events)), b AS (SELECT i, value FROM tl WHERE user_id = (SELECT max(user_id) FROM events))
-SELECT a.i, a.value AS a, b.value AS b FROM a JOIN b USING (i)""")
-def d6(spark, d) -> DataFrame:
-    a, b = _two(spark, d)
-    return a.join(b, "i")
-
-
-def _two(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The timelines of the smallest and the largest user id."""
-    t = timeline(spark, d)
-    ends = t.agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
-    part = lambda c, n: t.join(F.broadcast(ends), t.user_id == ends[c]).select("i", F.col("value").alias(n))
-    return part("lo", "a"), part("hi", "b")
-
-
-@query("d7_lag_correlation", """WITH a AS (SELECT i, value FROM tl WHERE user_id = (SELECT min(user_id) FROM events)), b AS (SELECT i, value FROM tl WHERE user_id = (SELECT max(user_id) FROM events)),
-s AS (SELECT unnest(range(-10, 11)) AS lag), j AS (SELECT lag, a.value AS x, b.value AS y FROM a, s, b WHERE b.i = a.i + lag)
-SELECT lag::INT AS lag, count(*) AS n, round(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0), 6) AS corr FROM j GROUP BY lag""")
-def d7(spark, d) -> DataFrame:
-    a, b = _two(spark, d)
-    return audio.lag_correlation(a, b, "i", "a", "b", 10).withColumn("corr", F.round("corr", 6))
-
-
 def _next_user(spark, d) -> tuple[DataFrame, DataFrame]:
     """Every user's timeline, and beside it the next user's, under the first one's id."""
     t = timeline(spark, d)
@@ -338,15 +315,15 @@ def _next_user(spark, d) -> tuple[DataFrame, DataFrame]:
 NEXT_USER = "u AS (SELECT user_id, lead(user_id) OVER (ORDER BY user_id) AS nx FROM (SELECT DISTINCT user_id FROM tl)), a AS (SELECT user_id, i, value FROM tl), b AS (SELECT u.user_id, i, value FROM u JOIN tl ON tl.user_id = u.nx)"
 
 
-@query("d6_zip_all_timelines", f"WITH {NEXT_USER} SELECT a.user_id, a.i, a.value AS a, b.value AS b FROM a JOIN b ON a.user_id = b.user_id AND a.i = b.i")
-def d6_all(spark, d) -> DataFrame:
+@query("d6_zip_timelines", f"WITH {NEXT_USER} SELECT a.user_id, a.i, a.value AS a, b.value AS b FROM a JOIN b ON a.user_id = b.user_id AND a.i = b.i")
+def d6(spark, d) -> DataFrame:
     a, b = _next_user(spark, d)
     return a.join(b, ["user_id", "i"])
 
 
-@query("d7_lag_correlation_all", f"""WITH {NEXT_USER}, s AS (SELECT unnest(range(-10, 11)) AS lag), j AS (SELECT a.user_id, lag, a.value AS x, b.value AS y FROM a, s, b WHERE a.user_id = b.user_id AND b.i = a.i + lag)
+@query("d7_lag_correlation", f"""WITH {NEXT_USER}, s AS (SELECT unnest(range(-10, 11)) AS lag), j AS (SELECT a.user_id, lag, a.value AS x, b.value AS y FROM a, s, b WHERE a.user_id = b.user_id AND b.i = a.i + lag)
 SELECT user_id, lag::INT AS lag, count(*) AS n, round(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0), 6) AS corr FROM j GROUP BY ALL""")
-def d7_all(spark, d) -> DataFrame:
+def d7(spark, d) -> DataFrame:
     a, b = _next_user(spark, d)
     return audio.lag_correlation(a, b, "i", "a", "b", 10, ("user_id",)).withColumn("corr", F.round("corr", 6))
 

@@ -173,20 +173,10 @@ def g5(spark, d) -> DataFrame:
     return telemetry.least_loaded(j, ["s_nationkey"], "s_suppkey", "n")
 
 
-@query("g6_best_fit_block", """WITH b AS (SELECT p_brand, p_partkey AS id, p_retailprice AS s FROM part WHERE p_partkey % 3 = 0), r AS (SELECT p_brand, p_partkey AS id, p_size * 30.0::DOUBLE AS need FROM part WHERE p_partkey % 3 = 1),
+@query("g6_best_fit_block", """WITH b AS (SELECT p_brand, p_partkey AS id, p_retailprice AS s FROM part WHERE p_partkey % 3 = 0), r AS (SELECT p_brand, p_partkey AS id, p_size * 30.0::DOUBLE AS need FROM part WHERE p_partkey % 3 <> 0),
 c AS (SELECT r.p_brand, r.id, r.need, (SELECT min(s) FROM b WHERE b.p_brand = r.p_brand AND b.s >= r.need) AS s FROM r)
 SELECT p_brand, c.id AS request_id, CASE WHEN s <= 4 * need THEN (SELECT min(id) FROM b WHERE b.p_brand = c.p_brand AND b.s = c.s) END AS block_id FROM c""")
 def g6(spark, d) -> DataFrame:
-    p = table(spark, d, "part")
-    blocks = p.where("p_partkey % 3 = 0").select("p_brand", F.col("p_partkey").alias("block_id"), "p_retailprice")
-    need = p.where("p_partkey % 3 = 1").select("p_brand", F.col("p_partkey").alias("request_id"), (F.col("p_size") * 30.0).alias("need"))
-    return telemetry.best_fit_block(need, blocks, ["p_brand"], "p_retailprice", "need")
-
-
-@query("g6_best_fit_all", """WITH b AS (SELECT p_brand, p_partkey AS id, p_retailprice AS s FROM part WHERE p_partkey % 3 = 0), r AS (SELECT p_brand, p_partkey AS id, p_size * 30.0::DOUBLE AS need FROM part WHERE p_partkey % 3 <> 0),
-c AS (SELECT r.p_brand, r.id, r.need, (SELECT min(s) FROM b WHERE b.p_brand = r.p_brand AND b.s >= r.need) AS s FROM r)
-SELECT p_brand, c.id AS request_id, CASE WHEN s <= 4 * need THEN (SELECT min(id) FROM b WHERE b.p_brand = c.p_brand AND b.s = c.s) END AS block_id FROM c""")
-def g6_all(spark, d) -> DataFrame:
     p = table(spark, d, "part")
     blocks = p.where("p_partkey % 3 = 0").select("p_brand", F.col("p_partkey").alias("block_id"), "p_retailprice")
     need = p.where("p_partkey % 3 <> 0").select("p_brand", F.col("p_partkey").alias("request_id"), (F.col("p_size") * 30.0).alias("need"))
@@ -226,22 +216,12 @@ def b5(spark, d) -> DataFrame:
     return s.select("user_id", segment_name(F.col("s"), F.col("s") + 10).alias("name"))
 
 
-@query("b7_filter_graph", """WITH s AS (SELECT user_id, i, t / 3600 AS a, t / 3600 + 1 AS b, count(*) OVER (PARTITION BY user_id) AS n FROM tl WHERE i < 1 + user_id % 3)
+@query("b7_filter_graph", """WITH s AS (SELECT user_id, i, t / 3600 AS a, t / 3600 + 1 AS b, count(*) OVER (PARTITION BY user_id) AS n FROM tl)
 SELECT user_id, CASE WHEN max(n) = 1 THEN max(printf('[0:v]trim=start=%.3f:end=%.3f,setpts=PTS-STARTPTS[v]', a, b)) ELSE string_agg(printf('[0:v]trim=start=%.3f:end=%.3f,setpts=PTS-STARTPTS[v%d]', a, b, i), ';' ORDER BY i)
  || ';' || string_agg('[v' || i || ']', '' ORDER BY i) || 'concat=n=' || max(n) || ':v=1[v]' END AS graph FROM s GROUP BY 1""")
 def b7(spark, d) -> DataFrame:
     from ..sources.reports import filter_graph
 
-    s = timeline(spark, d).where(F.col("i") < 1 + F.col("user_id") % 3).select("user_id", "i", (F.col("t") / 3600).alias("a"), (F.col("t") / 3600 + 1).alias("b"))
-    return filter_graph(s, ["user_id"], "i", "a", "b")
-
-
-@query("b7_filter_graph_all", """WITH s AS (SELECT user_id, i, t / 3600 AS a, t / 3600 + 1 AS b, count(*) OVER (PARTITION BY user_id) AS n FROM tl)
-SELECT user_id, CASE WHEN max(n) = 1 THEN max(printf('[0:v]trim=start=%.3f:end=%.3f,setpts=PTS-STARTPTS[v]', a, b)) ELSE string_agg(printf('[0:v]trim=start=%.3f:end=%.3f,setpts=PTS-STARTPTS[v%d]', a, b, i), ';' ORDER BY i)
- || ';' || string_agg('[v' || i || ']', '' ORDER BY i) || 'concat=n=' || max(n) || ':v=1[v]' END AS graph FROM s GROUP BY 1""")
-def b7_all(spark, d) -> DataFrame:
-    from ..sources.reports import filter_graph
-
     s = timeline(spark, d).select("user_id", "i", (F.col("t") / 3600).alias("a"), (F.col("t") / 3600 + 1).alias("b"))
     return filter_graph(s, ["user_id"], "i", "a", "b")
 
