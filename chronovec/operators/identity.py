@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..storage import cleared, written
+from . import metric
 
 
 def pairs(df: DataFrame, keys: list[str], id_: str, cols: list[str]) -> DataFrame:
@@ -70,10 +71,45 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def summary(x: str) -> list[Column]:
-    """Count, mean, deviation, ends and percentiles of a column."""
-    p = lambda q: F.percentile(x, F.lit(q))
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), p(0.10).alias("p10"), p(0.15).alias("p15"), p(0.90).alias("p90")]
+#: Keys whose brackets of percentiles are sent to all tasks; where there are more, they are joined.
+MOST_KEYS = 10_000
+#: Percentiles are bracketed to within a few of so many parts of the rows.
+PARTS = 100_000
+
+
+def distribution(df: DataFrame, keys: list[str], x: str, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Count, mean, deviation, ends and exact percentiles of a column by key (E10); nulls do not count.
+
+    A sketch first brackets each percentile between two values with few ranks
+    between them. A second pass counts what lies below and groups the values
+    inside, so ties are one row however many they are, and no task sorts a
+    key. Percentiles between two ranks are interpolated.
+    """
+    quantiles = quantiles or {"p10": 0.10, "p15": 0.15, "p90": 0.90}
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    spread = 3 / PARTS
+    ends = [F.struct(*[F.percentile_approx("_x", F.lit(min(1.0, max(0.0, q + d))), F.lit(PARTS)).alias(n) for n, d in (("lo", -spread), ("hi", spread))]).alias(f"_{name}") for name, q in quantiles.items()]
+    whole = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"), *ends), "distribution")
+    cuts = whole.select(*keys, *[f"_{n}" for n in quantiles])
+    small = whole.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    same = [rows[k].eqNullSafe(cuts[k]) for k in keys]
+    met = rows.join(F.broadcast(cuts) if small else cuts, same if keys else None, "inner").select(*[rows[k] for k in keys], "_x", *[f"_{n}" for n in quantiles])
+    found = whole
+    for name, q in quantiles.items():
+        lo, hi, v = F.col(f"_{name}")["lo"], F.col(f"_{name}")["hi"], F.col("_x")
+        # values inside the bracket one by one; below it only how many and the last, above it only the first
+        side = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
+        cells = met.groupBy(*keys, side.alias("_side"), F.when(side == 0, v).alias("_v")).agg(F.count("*").alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last"))
+        order = Window.partitionBy(*keys).orderBy("_side", "_v")
+        ranked = cells.withColumns({"_to": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+        at = (F.col("_all") - 1) * q
+        holds = lambda r: (r >= F.col("_to") - F.col("_n")) & (r < F.col("_to"))
+        known = lambda r: (F.col("_side") == 0) | ((F.col("_side") < 0) & (r == F.col("_to") - 1)) | ((F.col("_side") > 0) & (r == F.col("_to") - F.col("_n")))
+        value = lambda r: F.when(~known(r), F.raise_error(F.lit("a percentile lies outside its bracket"))).when(F.col("_side") < 0, F.col("_last")).otherwise(F.col("_first"))
+        both = ranked.groupBy(*keys).agg(F.max(F.when(holds(F.floor(at)), value(F.floor(at)))).alias("_a"), F.max(F.when(holds(F.ceil(at)), value(F.ceil(at)))).alias("_b"), F.max(at - F.floor(at)).alias("_f"))
+        part = both.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias(name))
+        found = found.join(part, [found[k].eqNullSafe(part[f"_k{i}"]) for i, k in enumerate(keys)] if keys else None, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
+    return found.select(*keys, "n", "mean", "std", "min", "max", *quantiles)
 
 
 #: Parts of the range of similarities, and then of such a part, that percentiles are looked up in.
@@ -321,31 +357,43 @@ def _stars(links: DataFrame, scene: str, rounds: int) -> DataFrame:
         small = large.join(low, [scene, "u"]).where("v <> m").select(scene, F.col("v").alias("u"), F.col("m").alias("v"))
         new = down(small.unionByName(low.select(scene, "u", F.col("m").alias("v"))))
         after = state(new)
+        cleared(e)
         e = new
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("clusters did not settle")
-    return e.groupBy(scene, F.col("u").alias("i")).agg(F.min("v").alias("root"))
+    found = written(e.groupBy(scene, F.col("u").alias("i")).agg(F.min("v").alias("root")), "roots")
+    cleared(e)
+    return found
 
 
 def dbscan(df: DataFrame, scene: str, id_: str, v: str, eps: float = 0.25, least: int = 5, rounds: int = 30) -> DataFrame:
-    """Clusters by cosine distance within a scene; noise has none.
+    """``scene, id_, cluster, largest``: clusters by cosine distance within a scene; noise has none.
 
-    Neighbours come from a join within the scene, labels from contracting the
-    core points to stars around the smallest core id, in rounds that follow
-    the logarithm of the longest chain. A border point joins the neighbouring
-    core with the smallest label.
+    Neighbours come from an exact metric index (``metric``), not from all
+    pairs of a scene. Core points are contracted to stars around the smallest
+    core id, in rounds that follow the logarithm of the longest chain. A border
+    point joins the neighbouring core with the smallest label. ``largest``
+    marks the cluster with most members of a scene, the smaller label on ties.
     """
-    side = lambda s: df.select(scene, F.col(id_).alias(f"i{s}"), F.col(v).alias(f"v{s}"))
-    near = side("a").join(side("b"), scene).where(1 - V.cosine(F.col("va"), F.col("vb")) <= eps).select(scene, "ia", "ib").persist()
-    core = near.groupBy(scene, "ia").count().where(F.col("count") >= least).select(scene, "ia").persist()
-    links = near.join(core, [scene, "ia"]).join(core.withColumnRenamed("ia", "ib"), [scene, "ib"])
-    label = core.select(scene, F.col("ia").alias("i")).join(_stars(links, scene, rounds), [scene, "i"], "left").select(scene, "i", F.coalesce("root", "i").alias("label"))
-    border = near.join(label.withColumnRenamed("i", "ib"), [scene, "ib"]).groupBy(scene, F.col("ia").alias(id_)).agg(F.min("label").alias("near"))
-    own = label.withColumnRenamed("i", id_)
-    return df.select(scene, id_).join(own, [scene, id_], "left").join(border, [scene, id_], "left").select(scene, id_, F.coalesce("label", "near").alias("cluster"))
+    copies, cells = metric.cells(df, scene, id_, v, eps, least)
+    blocks = written(metric.dealt(cells), "blocks")
+    counts = metric.neighbours(blocks, eps).unionByName(cells.where("home and not ball").select("scene", "id", "n")).groupBy("scene", "id").agg(F.sum("n").alias("n"))
+    balls = cells.where("ball").select("scene", "id", "cell")
+    core = written(counts.where(F.col("n") >= least).select("scene", "id").unionByName(balls.select("scene", "id")).distinct(), "core")
+    middle = balls.groupBy("scene", "cell").agg(F.min("id").alias("ib"))
+    met = written(metric.links(blocks.join(core.withColumn("core", F.lit(True)), ["scene", "id"], "left"), eps), "links")
+    links = met.where("core").select("scene", "ia", "ib").unionByName(balls.join(middle, ["scene", "cell"]).select("scene", F.col("id").alias("ia"), "ib"))
+    stars = _stars(links, "scene", rounds)
+    label = core.select("scene", F.col("id").alias("i")).join(stars, ["scene", "i"], "left").select("scene", "i", F.coalesce("root", "i").alias("label"))
+    border = met.where("not core").join(label.withColumnRenamed("i", "ib"), ["scene", "ib"]).groupBy("scene", F.col("ia").alias("i")).agg(F.min("label").alias("label"))
+    named = copies.join(label.unionByName(border), (copies["scene"] == label["scene"]) & (copies["rep"] == label["i"]), "left").select(copies["scene"].alias(scene), copies["id"].alias(id_), F.col("label").alias("cluster"))
+    found = written(df.select(scene, id_).distinct().join(named, [scene, id_], "left"), "clusters")
+    top = found.where("cluster is not null").groupBy(scene, "cluster").count().groupBy(scene).agg(F.max_by("cluster", F.struct("count", -F.col("cluster"))).alias("_top"))
+    cleared(blocks, core, met, cells, stars)
+    return found.join(top, scene, "left").select(scene, id_, "cluster", F.coalesce(F.col("cluster") == F.col("_top"), F.lit(False)).alias("largest"))
 
 
 def importance(df: DataFrame, keys: list[str], weights: dict[str, float], duration: float) -> DataFrame:

@@ -102,7 +102,8 @@ round(quantile_cont(c, 0.15), 6) AS p15, round(quantile_cont(c, 0.9), 6) AS p90
 def e10(spark, d) -> DataFrame:
     v = vectors(spark, d)
     n = v.select("vec_id", F.col("v").alias("a"), F.col("label").alias("la")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("b"), F.col("label").alias("lb")), "vec_id")
-    s = n.select((F.col("la") == F.col("lb")).alias("same"), V.cosine(F.col("a"), F.col("b")).alias("c")).groupBy("same").agg(*identity.summary("c"))
+    s = n.select((F.col("la") == F.col("lb")).alias("same"), V.cosine(F.col("a"), F.col("b")).alias("c"))
+    s = identity.distribution(s, ["same"], "c")
     return s.select("same", "n", *[R6(c).alias(c) for c in s.columns[2:]])
 
 
@@ -229,7 +230,9 @@ def n2(spark, d) -> DataFrame:
 @query("n11_dbscan", """WITH RECURSIVE p AS (SELECT a.vec_id AS ia, b.vec_id AS ib FROM vec a JOIN vec b ON a.vec_id // 100 = b.vec_id // 100 AND 1 - list_cosine_similarity(a.v, b.v) <= 0.7),
 c AS (SELECT ia FROM p GROUP BY 1 HAVING count(*) >= 4), l AS (SELECT ia, ib FROM p WHERE ia IN (SELECT ia FROM c) AND ib IN (SELECT ia FROM c)),
 r AS (SELECT ia AS i, ia AS root FROM c UNION SELECT l.ib, r.root FROM r JOIN l ON l.ia = r.i),
-o AS (SELECT i, min(root) AS own FROM r GROUP BY 1), n AS (SELECT p.ia AS i, min(own) AS near FROM p JOIN o ON o.i = p.ib GROUP BY 1)
-SELECT vec_id // 100 AS scene, vec_id, coalesce(own, near) AS cluster FROM vec LEFT JOIN o ON o.i = vec_id LEFT JOIN n ON n.i = vec_id""")
+o AS (SELECT i, min(root) AS own FROM r GROUP BY 1), n AS (SELECT p.ia AS i, min(own) AS near FROM p JOIN o ON o.i = p.ib GROUP BY 1),
+f AS (SELECT vec_id // 100 AS scene, vec_id, coalesce(own, near) AS cluster FROM vec LEFT JOIN o ON o.i = vec_id LEFT JOIN n ON n.i = vec_id),
+t AS (SELECT scene, arg_max(cluster, {'n': n, 'c': -cluster}) AS top FROM (SELECT scene, cluster, count(*) AS n FROM f WHERE cluster IS NOT NULL GROUP BY ALL) GROUP BY scene)
+SELECT f.scene, vec_id, cluster, coalesce(cluster = top, false) AS largest FROM f LEFT JOIN t USING (scene)""")
 def n11(spark, d) -> DataFrame:
     return identity.dbscan(_scenes(spark, d), "scene", "vec_id", "v", 0.7, 4)

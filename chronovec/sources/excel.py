@@ -1,12 +1,16 @@
 """Spreadsheet scans (A1) and write-back (B1), with the standard library only.
 
-Spreadsheets are small by their format (a sheet has about a million rows at
-most), so one is read or written by one task; many are handled side by side.
+Spreadsheets are small by their format, so one is read or written by one task;
+many are handled side by side. What the format cannot hold is refused before
+rows are gathered: more than ``MOST_ROWS`` rows or ``MOST_COLUMNS`` columns a
+sheet, more than ``MOST_CHARACTERS`` characters a cell. Characters that XML
+cannot hold are written, and read, as the format's ``_xHHHH_``.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
 from collections.abc import Iterator
@@ -20,6 +24,28 @@ from pyspark.sql import functions as F
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
+#: Fixed values of the format; the header is one of the rows.
+MOST_ROWS, MOST_COLUMNS, MOST_CHARACTERS = 1_048_576, 16_384, 32_767
+_UNFIT = re.compile("[\x00-\x08\x0b-\x0d\x0e-\x1f\ud800-\udfff\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+_ESCAPED = re.compile("_x([0-9A-Fa-f]{4})_")
+
+
+def _fit(text: str) -> str:
+    """Text as the format holds it."""
+    if len(text) > MOST_CHARACTERS:
+        raise ValueError(f"a cell holds at most {MOST_CHARACTERS} characters, not {len(text)}")
+    return escape(_UNFIT.sub(lambda m: f"_x{ord(m.group()):04X}_", text))
+
+
+def _plain(text: str) -> str:
+    return _ESCAPED.sub(lambda m: chr(int(m.group(1), 16)), text)
+
+
+def _said(item: ElementTree.Element) -> str:
+    """The text of a string item: its own and that of its runs, without notes on pronunciation."""
+    runs = [item, *item.findall(f"{_MAIN}r")]
+    return _plain("".join(t.text or "" for r in runs for t in r.findall(f"{_MAIN}t")))
+
 
 def _place(ref: str) -> int:
     """Number of a cell's column, from 0."""
@@ -43,7 +69,7 @@ def sheet_rows(content: bytes, sheet: str | int = 0) -> list[list[str | None]]:
     path = target[1:] if target[0] == "/" else f"xl/{target}"
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+        shared = [_said(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_MAIN}si")]
     rows = []
     for row in ElementTree.fromstring(book.read(path)).iter(f"{_MAIN}row"):
         cells: list[str | None] = []
@@ -51,21 +77,23 @@ def sheet_rows(content: bytes, sheet: str | int = 0) -> list[list[str | None]]:
             at = _place(c.get("r")) if c.get("r") else len(cells)
             cells += [None] * (at + 1 - len(cells))
             value = c.find(f"{_MAIN}v")
-            text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else None if value is None else value.text
+            text = "".join(_said(i) for i in c.findall(f"{_MAIN}is")) if c.get("t") == "inlineStr" else None if value is None else value.text
             cells[at] = shared[int(text)] if c.get("t") == "s" and text else text or None
         rows.append(cells)
     return rows
 
 
 def workbook(header: list[str], rows: list[tuple], sheet: str = "Sheet1") -> bytes:
-    """A workbook of one sheet; numbers stay numbers, all else is text."""
+    """A workbook of one sheet; numbers stay numbers, all else is text. Raises where the format cannot hold it."""
+    if len(rows) >= MOST_ROWS or len(header) > MOST_COLUMNS:
+        raise ValueError(f"a sheet holds at most {MOST_ROWS} rows and {MOST_COLUMNS} columns, not {len(rows) + 1} and {len(header)}")
 
     def cell(value, ref: str) -> str:
         if value is None or value != value:
             return ""
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value):
             return f'<c r="{ref}"><v>{value!r}</v></c>'
-        return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+        return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_fit(str(value))}</t></is></c>'
 
     lines = [f'<row r="{n}">' + "".join(cell(v, f"{_letters(k)}{n}") for k, v in enumerate(r)) + "</row>" for n, r in enumerate([tuple(header), *rows], 1)]
     head, office = '<?xml version="1.0" encoding="UTF-8"?>', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -113,8 +141,14 @@ def inferred(df: DataFrame) -> DataFrame:
 
 
 def workbooks(df: DataFrame, book: str) -> DataFrame:
-    """``(book, content)``: a workbook of the rows of each value of ``book`` (B1); a workbook's rows are held by one task."""
+    """``(book, content)``: a workbook of the rows of each value of ``book`` (B1); a workbook's rows are held by one task.
+
+    Rows are counted first, and raise if a book has more than a sheet holds.
+    """
     columns = [c for c in df.columns if c != book]
+    large = df.groupBy(book).count().where(F.col("count") >= MOST_ROWS).count()
+    if large or len(columns) > MOST_COLUMNS:
+        raise ValueError(f"a sheet holds at most {MOST_ROWS} rows and {MOST_COLUMNS} columns; {large} books have more rows, and rows have {len(columns)} columns")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf[columns].astype(object).where(pdf[columns].notna(), None).itertuples(index=False)

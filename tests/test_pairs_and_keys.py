@@ -34,6 +34,23 @@ def test_pair_summaries_against_all_pairs(spark, monkeypatch, block):
             assert got[f"{name}_{k}"] == pytest.approx(v, abs=2e-8), (name, k)
 
 
+@pytest.mark.parametrize("parts, most", [(20, 10_000), (20, 1), (100_000, 10_000)])
+def test_distribution_is_exact(spark, monkeypatch, parts, most):
+    """Coarse brackets, ties, one row, nulls and a null key; keys sent to all tasks or joined."""
+    monkeypatch.setattr(identity, "PARTS", parts)
+    monkeypatch.setattr(identity, "MOST_KEYS", most)
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(size=997).tolist(), "ties": [1.0] * 400 + [2.0] * 3 + rng.normal(size=50).tolist(), "one": [5.0], "two": [1.0, 3.0], None: rng.integers(0, 5, 60).astype(float).tolist(), "ten": list(map(float, range(10)))}
+    rows = [(k, v) for k, some in groups.items() for v in some] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k: r for r in identity.distribution(df, ["k"], "x").collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        want = {"n": len(v), "mean": np.mean(v), "std": np.std(v), "min": min(v), "max": max(v), "p10": np.percentile(v, 10), "p15": np.percentile(v, 15), "p90": np.percentile(v, 90)}
+        for name, x in want.items():
+            assert got[k][name] == pytest.approx(x, abs=1e-12), (k, name)
+
+
 def test_threshold_of_too_few_rows(spark):
     df = spark.createDataFrame([(1, "a", [1.0, 0.0])], "id long, person string, v array<double>")
     for rows in (df, df.limit(0)):

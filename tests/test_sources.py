@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronovec.functions.handlers import Handlers
@@ -165,3 +166,38 @@ def test_filter_of_boxes_is_the_conditional_mean(spark):
         mean = power(move, n) @ first + cross @ np.linalg.solve(seen, np.concatenate([z[b] - (power(move, b) @ first)[:4] for b in range(1, n + 1)]))
         r = got[n]
         assert np.allclose([(r.f_x1 + r.f_x2) / 2, (r.f_y1 + r.f_y2) / 2, r.f_x2 - r.f_x1, r.f_y2 - r.f_y1, r.vx, r.vy], mean[:6])
+
+
+def test_spreadsheets_hold_what_the_format_can(spark, tmp_path, monkeypatch):
+    odd = ["a\x0bb\x00c", "line\rend\r\n", "_x000B_ and _x00g0_", "\uffff\x1f", "tab\tnew\nline", "=1+1", "é & <b>", "x" * excel.MOST_CHARACTERS]
+    read = excel.sheet_rows(excel.workbook(["h"], [(v,) for v in odd] + [(float("inf"),)]))
+    assert [r[0] for r in read[1:]] == [*odd, "inf"]
+    df = spark.createDataFrame([("b", v) for v in odd], "book string, v string")
+    assert sorted(r.v for r in excel.parsed(excel.workbooks(df, "book"), ["v"]).collect()) == sorted(odd)
+    with pytest.raises(ValueError, match="32767 characters"):
+        excel.workbook(["h"], [("x" * (excel.MOST_CHARACTERS + 1),)])
+    with pytest.raises(ValueError, match="columns"):
+        excel.workbook(["h"] * (excel.MOST_COLUMNS + 1), [])
+    monkeypatch.setattr(excel, "MOST_ROWS", 5)
+    with pytest.raises(ValueError, match="1 books have more rows"):
+        excel.workbooks(df, "book")
+    with pytest.raises(ValueError, match="at most 5 rows"):
+        excel.workbook(["h"], [(1,)] * 5)
+    assert len(excel.sheet_rows(excel.workbook(["h"], [(1,)] * 4))) == 5
+
+
+def test_pronunciation_is_no_text():
+    import io
+    import zipfile
+
+    content = excel.workbook(["h"], [("x",)])
+    book, out = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
+    main = excel._MAIN[1:-1]
+    with zipfile.ZipFile(out, "w") as z:
+        for name in book.namelist():
+            data = book.read(name)
+            if name.endswith("sheet1.xml"):
+                data = f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row></sheetData></worksheet>'.encode()
+            z.writestr(name, data)
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><r><t>To</t></r><r><t>kyo</t></r><rPh sb="0" eb="2"><t>read aloud</t></rPh></si></sst>')
+    assert excel.sheet_rows(out.getvalue()) == [["Tokyo"]]
