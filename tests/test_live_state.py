@@ -29,6 +29,15 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """State is kept by partition, and each has a store to open."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = random.Random(6)
