@@ -1,13 +1,14 @@
 """Exact range search on unit vectors by pivots and the triangle inequality (for N11).
 
-Equal vectors are one entry with a weight. Every scene draws about the square
-root of its size of pivots, the rows with the smallest hashes of ids, none within half the
-range of another; a vector lives in the cell of its nearest pivot, its home, and is a guest in those
-later cells in which a neighbour may live: where neither the cell's radius nor
-the plane between the two pivots rules it out. So two neighbours meet in
-exactly one cell. Where the vectors within half the range of a pivot make a
-core by themselves, they are all neighbours of each other, and no two of them
-are compared.
+Equal vectors are one entry with a weight. A small scene is one cell; a larger
+one draws about the square root of its size of pivots, the rows with the
+smallest hashes of ids, none within half the range of another. A vector lives
+in the cell of its nearest pivot, its home, and is a guest in those later
+cells in which a neighbour may live: where neither the cell's radius nor the
+plane between the two pivots rules it out. So two neighbours meet in exactly
+one cell. Where the vectors within half the range of a pivot make a core by
+themselves, they are all neighbours of each other, and no two of them are
+compared.
 
 Cells are cut into blocks of at most ``BLOCK`` rows or so; pairs of blocks are
 matrix products. What leaves a block is a count or a link a row, not a row a
@@ -26,6 +27,8 @@ from ..storage import written
 #: Rows of a block, on average.
 BLOCK = 2048
 MOST_PIVOTS = 1024
+#: Scenes of at most so many vectors are one cell: comparing them all is cheaper than an index.
+SMALL = 1024
 #: Bounds are widened by this, against rounding.
 SLACK = 1e-7
 _CELL = "scene {}, cell long, id {}, n long, v array<double>, home boolean, d double"
@@ -56,7 +59,8 @@ def cells(df: DataFrame, scene: str, id_: str, v: str, eps: float, least: int) -
     copies = some.join(groups, ["scene", "v"]).select("scene", "id", "rep")
     sizes = groups.groupBy("scene").agg(F.count("*").alias("size"))
     rows = groups.join(sizes, "scene").withColumnRenamed("rep", "id").withColumns({"part": F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("size") / BLOCK)), "hash": F.xxhash64("id")})
-    drawn = rows.groupBy("scene", F.pmod("hash", F.least(F.lit(MOST_PIVOTS), F.ceil(F.sqrt("size")))).alias("cell")).agg(F.min_by("v", F.struct("hash", "id")).alias("pivot"), F.first("size").alias("size"))
+    pivots = F.when(F.col("size") <= SMALL, F.lit(1).cast("long")).otherwise(F.least(F.lit(MOST_PIVOTS), F.ceil(F.sqrt("size"))))
+    drawn = rows.groupBy("scene", F.pmod("hash", pivots).alias("cell")).agg(F.min_by("v", F.struct("hash", "id")).alias("pivot"), F.first("size").alias("size"))
     drawn = written(drawn, "pivots")
     kinds = dict(rows.dtypes)
     schema = _CELL.format(kinds["scene"], kinds["id"])

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from chronovec.operators import identity
+from chronovec.operators import identity, metric
 
 
 def chain(n):
@@ -19,7 +19,8 @@ def test_chain_of_core_points_is_one_cluster(spark):
     assert len(found) == 240 and all(r.cluster is not None for r in found)
 
 
-def test_unsettled_clusters_raise(spark):
+def test_unsettled_clusters_raise(spark, monkeypatch):
+    monkeypatch.setattr(metric, "SMALL", 1)  # a chain within one cell is settled there
     df = spark.createDataFrame(chain(120), "scene long, id long, v array<double>")
     with pytest.raises(RuntimeError):
         identity.dbscan(df, "scene", "id", "v", 1 - math.cos(0.021), 3, rounds=1)

@@ -36,8 +36,9 @@ def plain(rows, eps, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block, eps, least", [(7, 0.05, 4), (2048, 0.05, 4), (11, 0.2, 3), (2048, 0.7, 6), (5, 0.0, 2), (40, 0.02, 30)])
-def test_clusters_equal_all_pairs(spark, monkeypatch, block, eps, least):
+@pytest.mark.parametrize("small, block, eps, least", [(1, 7, 0.05, 4), (1, 2048, 0.05, 4), (30, 11, 0.2, 3), (1, 2048, 0.7, 6), (1, 5, 0.0, 2), (1024, 40, 0.02, 30)])
+def test_clusters_equal_all_pairs(spark, monkeypatch, small, block, eps, least):
+    monkeypatch.setattr(metric, "SMALL", small)
     monkeypatch.setattr(metric, "BLOCK", block)
     rng = np.random.default_rng(block)
     rows, n = [], 0
