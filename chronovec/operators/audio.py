@@ -83,11 +83,28 @@ def pearson(x: str, y: str) -> Column:
     return F.when(F.count("*") < 2, 0.0).otherwise(F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0)))
 
 
+#: Steps of the order in a stretch that ``lag_correlation`` deals to one task at a time.
+STRETCH = 4096
+
+
 def lag_correlation(a: DataFrame, b: DataFrame, order: str, x: str, y: str, most: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Correlation of a[t] with b[t + lag] for every lag up to ``most`` either way (D7), for each key."""
-    shifted = a.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_at", F.col(order) + F.col("lag"))
-    j = shifted.join(b.select(*keys, F.col(order).alias("_at"), y), [*keys, "_at"])
-    return j.groupBy(*keys, "lag").agg(F.count("*").alias("n"), pearson(x, y).alias("corr"))
+    """Correlation of a[t] with b[t + lag] for every lag up to ``most`` either way (D7), for each key.
+
+    Rows of both sides are dealt by key and stretch of the order, those of b
+    also to a stretch beside theirs that they reach. A window then shows each
+    row of a those of b around it: rows are exchanged once, not once a lag,
+    and neither side is broadcast.
+    """
+    at, part = F.col(order), lambda c: F.floor(c / STRETCH)
+    there = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, order)])
+    left = a.where(there).select(*keys, at.alias("_at"), part(at).alias("_part"), F.col(x).alias("_x"), F.lit(None).alias("_y"), F.lit(True).alias("_own"))
+    reached = F.explode(F.sequence(part(at - most), part(at + most)))
+    right = b.where(there).select(*keys, at.alias("_at"), reached.alias("_part"), F.lit(None).alias("_x"), F.col(y).alias("_y"), F.lit(False).alias("_own"))
+    around = Window.partitionBy(*keys, "_part").orderBy("_at").rangeBetween(-most, most)
+    near = F.collect_list(F.when(~F.col("_own"), F.struct("_at", "_y"))).over(around)
+    j = left.unionByName(right).withColumn("_near", near).where("_own").select(*keys, "_at", "_x", F.explode("_near").alias("_b"))
+    j = j.withColumn("lag", (F.col("_b._at") - F.col("_at")).cast("int")).where(F.col("_at") + F.col("lag") == F.col("_b._at")).withColumn("_y", F.col("_b._y"))
+    return j.groupBy(*keys, "lag").agg(F.count("*").alias("n"), pearson("_x", "_y").alias("corr"))
 
 
 def best_lag(corrs: DataFrame, least: int = 10) -> DataFrame:

@@ -306,9 +306,10 @@ def _next_user(spark, d) -> tuple[DataFrame, DataFrame]:
     # the next id is in the same run of ids, or the first of the next run; only one row a run is sorted as a whole
     first = u.groupBy("run").agg(F.min("user_id").alias("first")).withColumn("after", F.lead("first").over(Window.orderBy("run"))).select("run", "after")
     near = F.lead("user_id").over(Window.partitionBy("run").orderBy("user_id"))
-    pairs = u.withColumn("near", near).join(first, "run").select("user_id", F.coalesce("near", "after").alias("next")).where("next is not null")
-    a = t.select("user_id", "i", F.col("value").alias("a")).join(pairs.select("user_id"), "user_id")
-    b = t.select(F.col("user_id").alias("next"), "i", F.col("value").alias("b")).join(pairs, "next").select("user_id", "i", "b")
+    # users and their events grow with the table: joins are merges, as files look small enough to be broadcast when rows are not
+    pairs = u.withColumn("near", near).join(first.hint("merge"), "run").select("user_id", F.coalesce("near", "after").alias("next")).where("next is not null")
+    a = t.select("user_id", "i", F.col("value").alias("a"))
+    b = t.select(F.col("user_id").alias("next"), "i", F.col("value").alias("b")).join(pairs.hint("merge"), "next").select("user_id", "i", "b")
     return a, b
 
 
@@ -318,7 +319,7 @@ NEXT_USER = "u AS (SELECT user_id, lead(user_id) OVER (ORDER BY user_id) AS nx F
 @query("d6_zip_timelines", f"WITH {NEXT_USER} SELECT a.user_id, a.i, a.value AS a, b.value AS b FROM a JOIN b ON a.user_id = b.user_id AND a.i = b.i")
 def d6(spark, d) -> DataFrame:
     a, b = _next_user(spark, d)
-    return a.join(b, ["user_id", "i"])
+    return a.join(b.hint("merge"), ["user_id", "i"])
 
 
 @query("d7_lag_correlation", f"""WITH {NEXT_USER}, s AS (SELECT unnest(range(-10, 11)) AS lag), j AS (SELECT a.user_id, lag, a.value AS x, b.value AS y FROM a, s, b WHERE a.user_id = b.user_id AND b.i = a.i + lag)
