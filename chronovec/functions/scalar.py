@@ -8,6 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of doubles, the same in any order of rows, so that a mean at a threshold is found to be there.
+
+    Values of at most 12 decimals are added up as decimals. If a group holds
+    others (longer or not finite ones), its mean is that of doubles.
+    """
+    d = value.try_cast("decimal(38,12)")
+    held = F.bool_and(value.isNull() | F.coalesce(d.cast("double") == value, F.lit(False)))
+    return F.coalesce(F.when(held, F.try_divide(F.try_sum(d).cast("double"), F.count(value))), F.avg(value))
+
+
 def gpu_score(util: Column) -> Column:
     """100 in the band from 70 to 90, less outside it."""
     return F.when(util.between(70, 90), 100.0).when(util < 70, util / 70 * 100).otherwise(F.greatest(F.lit(0.0), 100 - (util - 90) * 2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import exact_mean
 from ..storage import written
 
 
@@ -47,8 +48,8 @@ def histogram(df: DataFrame, keys: list[str], t: str, ok: Column, recent: float
 
 def load_summary(df: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:
     """Mean, peak, samples and a label for the mean."""
-    s = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("peak"), F.count("*").alias("samples"))
-    return s.withColumn("status", F.when(F.col("mean") < low, "underused").when(F.col("mean") > high, "overloaded").otherwise("good"))
+    s = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("peak"), F.count("*").alias("samples"), exact_mean(F.col(value)).alias("_m"))
+    return s.withColumn("status", F.when(F.col("_m") < low, "underused").when(F.col("_m") > high, "overloaded").otherwise("good")).drop("_m")
 
 
 def job_stats(df: DataFrame, keys: list[str], status: str, seconds: str) -> DataFrame:

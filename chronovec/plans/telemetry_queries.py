@@ -106,7 +106,7 @@ def e29(spark, d) -> DataFrame:
 @query("e31_report_labels", """WITH u AS (SELECT user_id, avg(value) AS fps, avg(present::INT) * 100 AS ok, max(value) / 2 AS gpu FROM tl GROUP BY 1)
 SELECT user_id, concat_ws(',', CASE WHEN fps < 30 THEN 'slow' WHEN fps > 100 THEN 'fast' END, CASE WHEN ok < 95 THEN 'failures' END, CASE WHEN gpu < 50 THEN 'gpu underused' WHEN gpu > 95 THEN 'gpu saturated' END) AS labels FROM u""")
 def e31(spark, d) -> DataFrame:
-    u = timeline(spark, d).groupBy("user_id").agg(F.avg("value").alias("fps"), (F.avg(F.col("present").cast("int")) * 100).alias("ok"), (F.max("value") / 2).alias("gpu"))
+    u = timeline(spark, d).groupBy("user_id").agg(scalar.exact_mean(F.col("value")).alias("fps"), (F.avg(F.col("present").cast("int")) * 100).alias("ok"), (F.max("value") / 2).alias("gpu"))
     return u.select("user_id", F.array_join(telemetry.report_labels(F.col("fps"), F.col("ok"), F.col("gpu")), ",").alias("labels"))
 
 
@@ -144,7 +144,8 @@ a AS (SELECT user_id, unnest([CASE WHEN fps < 20 AND gpu < 70 THEN 'batch_size:i
 CASE WHEN mem / 32000 * 100 > 85 THEN 'batch_size:decrease' END, CASE WHEN mem / 32000 * 100 > 85 THEN 'memory_pool_mb:decrease' END, CASE WHEN lat > 100 THEN 'batch_size:decrease' END, CASE WHEN lat > 100 THEN 'frame_skip_ratio:increase' END, CASE WHEN gpu < 50 THEN 'batch_size:increase' END, CASE WHEN gpu < 50 THEN 'cuda_streams:increase' END,
 CASE WHEN fps > 40 THEN 'encoding_crf:decrease' END]) AS x FROM u) SELECT user_id, x AS action FROM a WHERE x IS NOT NULL""")
 def j13(spark, d) -> DataFrame:
-    u = timeline(spark, d).groupBy("user_id").agg((F.avg("value") / 3).alias("fps"), F.avg("value").alias("gpu"), (F.max("value") * 70).alias("mem"), F.max("value").alias("lat"))
+    mean = scalar.exact_mean(F.col("value"))
+    u = timeline(spark, d).groupBy("user_id").agg((mean / 3).alias("fps"), mean.alias("gpu"), (F.max("value") * 70).alias("mem"), F.max("value").alias("lat"))
     a = u.select("user_id", F.explode(scalar.tuning_actions(F.col("fps"), F.col("gpu"), F.col("mem"), F.col("lat"), "aggressive")).alias("a"))
     return a.select("user_id", F.concat_ws(":", "a.parameter", "a.action").alias("action"))
 
