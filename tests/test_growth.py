@@ -1,9 +1,13 @@
 """Work that must not grow in one place with the tables."""
 
+import tracemalloc
+from collections import deque
+
 import pytest
 
 from chronovec.operators import audio
 from chronovec.plans import catalog
+from chronovec.sources import excel
 
 
 def plan(df):
@@ -32,3 +36,34 @@ def test_lags_of_gaps_copies_and_nulls(spark):
     assert {(r.k, r.lag): r.n for r in got.collect()} == want and dict(got.dtypes)["lag"] == "int"
     pairs = left.join(right.withColumnRenamed("t", "s"), "k").where("s - t = 2 and k = 'u'")
     assert got.where("lag = 2 and k = 'u'").first()["corr"] == pytest.approx(pairs.agg(audio.pearson("a", "b")).first()[0])
+
+
+def test_a_sheet_is_written_and_read_row_by_row():
+    """What is held does not grow with the rows, but for the packed file."""
+
+    def held(n):
+        tracemalloc.start()
+        content = excel.workbook(["a", "b", "c"], ((k, f"name {k % 9}", None) for k in range(n)))
+        deque(excel.rows_of(content), 0)
+        peak = tracemalloc.get_traced_memory()[1] - 2 * len(content)
+        tracemalloc.stop()
+        return peak
+
+    assert held(20_000) < 1.2 * held(5_000) + 200_000
+
+
+def test_books_of_many_batches(spark):
+    """Books that go on from one Arrow batch to the next, whole numbers beside nulls, a book without a name."""
+    rows = [(f"b{k % 3}" if k % 4 else None, k, None if k % 5 == 0 else 10**17 + k) for k in range(400)]
+    df = spark.createDataFrame(rows, "book string, k long, v long").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    try:
+        books = excel.workbooks(df, "book").collect()
+        assert sorted(r.book or "" for r in books) == ["", "b0", "b1", "b2"]
+        for b in books:
+            header, *got = excel.sheet_rows(bytes(b.content))
+            assert header == ["k", "v"]
+            assert sorted((int(r[0]), r[1] if len(r) > 1 else None) for r in got) == [(k, v and str(v)) for name, k, v in rows if name == b.book]
+        assert sorted(int(r.k) for r in excel.parsed(excel.workbooks(df, "book"), ["k", "v"]).collect()) == list(range(400))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
